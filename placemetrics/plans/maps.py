@@ -70,22 +70,23 @@ def city_attributes(roles: DataFrame, places: DataFrame,
     return arrange(rows, "dev_role", "city")
 
 
-def metric_text(metric: str) -> Column:
+def metric_text(metric: str, share_digits: int) -> Column:
     """Visitors whole, shares in percent, quotients with two decimals."""
-    return {"visitors": comma_label("visitors", 0), "share": percent_label("share", 1),
+    return {"visitors": comma_label("visitors", 0), "share": percent_label("share", share_digits),
             "loc_quo": comma_label("loc_quo", 2)}[metric]
 
 
 def city_layer(cities: DataFrame, role: str, metric: str) -> DataFrame:
     """Markers of one role: cities without the metric are left out."""
-    return map_layer(cities, role, metric, METRIC_LABELS[metric], "cities", metric_text(metric),
-                     CITY_BINS)
+    return map_layer(cities, role, metric, METRIC_LABELS[metric], "cities",
+                     metric_text(metric, 1), CITY_BINS)
 
 
 def province_layer(provinces: DataFrame, role: str, metric: str) -> DataFrame:
     """Areas of one role: every province stays, also without the metric."""
-    return map_layer(provinces, role, metric, METRIC_LABELS[metric], "name", metric_text(metric),
-                     PROVINCE_BINS, require_metric=False, with_radius=False)
+    return map_layer(provinces, role, metric, METRIC_LABELS[metric], "name",
+                     metric_text(metric, 2), PROVINCE_BINS, require_metric=False,
+                     with_radius=False)
 
 
 def single_roles(cities: DataFrame) -> DataFrame:
