@@ -13,21 +13,29 @@ __all__ = ["half_open_bin", "bin_index", "pretty_step", "raw_cell",
            "pretty_bin"]
 
 
-def bin_index(column: Column | str, edges: Sequence[float]) -> Column:
-    """1-based number of the bin ``[edge, next edge)``; NULL outside all of them."""
-    column = as_column(column)
+def _by_bin(column: Column, edges: Sequence[float], values: Sequence) -> Column:
+    if len(values) != len(edges) - 1:
+        raise ValueError("one value per bin is needed")
     result = None
-    for index, upper in enumerate(edges[1:], start=1):
-        inside = (column >= F.lit(edges[index - 1])) & (column < F.lit(upper))
-        result = F.when(inside, index) if result is None else result.when(inside, index)
+    for low, high, value in zip(edges, edges[1:], values):
+        inside = (column >= F.lit(low)) & (column < F.lit(high))
+        result = (F.when(inside, F.lit(value)) if result is None
+                  else result.when(inside, F.lit(value)))
     return result
 
 
+def bin_index(column: Column | str, edges: Sequence[float]) -> Column:
+    """1-based number of the bin ``[edge, next edge)``; NULL outside all of them."""
+    return _by_bin(as_column(column), edges, list(range(1, len(edges))))
+
+
 def half_open_bin(column: Column | str, edges: Sequence[float], labels: Sequence[str]) -> Column:
-    """Label of the bin closed on the left and open on the right."""
-    if len(labels) != len(edges) - 1:
-        raise ValueError("one label per bin is needed")
-    return F.element_at(F.array(*[F.lit(label) for label in labels]), bin_index(column, edges))
+    """Label of the bin closed on the left and open on the right.
+
+    The labels are branches, not elements picked by number: an element lookup under
+    ANSI rules is declared non-null, which is wrong for a missing number.
+    """
+    return _by_bin(as_column(column), edges, labels)
 
 
 def pretty_step(cell: Column | str) -> Column:

@@ -76,7 +76,7 @@ def pack_options(options: Mapping[str, Column | str] | Sequence[Column]) -> Colu
 
 
 def pack_coded_options(df: DataFrame, columns: Sequence[str], selected: Sequence[str],
-                       layout: DataFrame, code: str, label: str) -> Column:
+                       layout: DataFrame, code: str, label: str, into: str) -> DataFrame:
     """``pack_options`` for coded columns whose labels are in a layout table.
 
     The layout has one row per survey column, so its code-to-label map is bounded
@@ -84,8 +84,9 @@ def pack_coded_options(df: DataFrame, columns: Sequence[str], selected: Sequence
     """
     labels = scalar(layout.filter(F.col(code).isin(list(columns))),
                     F.map_from_entries(F.collect_list(F.struct(code, label))))
-    return _packed([F.when(F.col(c).isin(list(selected)), F.get(F.array(labels), F.lit(0))[c])
-                    for c in columns])
+    packed = _packed([F.when(F.col(c).isin(list(selected)), F.col("__labels")[c])
+                      for c in columns])
+    return df.withColumn("__labels", labels).withColumn(into, packed).drop("__labels")
 
 
 def explode_members(df: DataFrame, column: str, into: str | None = None,

@@ -100,14 +100,13 @@ def survey_2017(raw: DataFrame, layout: DataFrame) -> DataFrame:
     raw = rename_by(raw, lambda names: [
         "respondent_id" if "RespondentID" in n else n for n in names])
     labelled = layout.filter(F.col("`Measurement Level`").isNotNull())
-    lists = []
+    lists = list(MULTI_SELECT_2017)
+    df = raw
     for name, (code, chosen) in MULTI_SELECT_2017.items():
         columns = [c for c in raw.columns if code in c]
-        lists.append(pack_coded_options(raw, columns, [chosen], labelled, "Variable",
-                                        "Label").alias(name))
-    df = raw.select(*_answers(raw, QUESTIONS_2017), *lists)
-    texts = [c for c in QUESTIONS_2017.values()]
-    df = df.withColumns({c: to_ascii(F.col(c).cast("string")) for c in texts})
+        df = pack_coded_options(df, columns, [chosen], labelled, "Variable", "Label", name)
+    df = df.select(*_answers(raw, QUESTIONS_2017), *lists)
+    df = df.withColumns({c: to_ascii(F.col(c).cast("string")) for c in QUESTIONS_2017.values()})
     df = df.withColumns({c: F.col(c).try_cast("double") for c in
                          ("respondent_id", "salary_usd", "local_currency_per_usd")})
     return df.withColumns({"company_size": F.regexp_replace("company_size", " employees", ""),
