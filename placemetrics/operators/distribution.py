@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from placemetrics.functions.semantics import as_column
 from placemetrics.operators.joins import join_null_safe, scalar
 
-__all__ = ["value_positions", "medians", "approximate_medians", "median_of_column"]
+__all__ = ["value_positions", "summarise", "medians", "approximate_medians", "median_of_column"]
 
 RANGES = 64
 ACCURACY = 10000
@@ -67,50 +67,65 @@ def value_positions(df: DataFrame, value: str, within: Sequence[str] = (),
         "n_group")
 
 
-def medians(df: DataFrame, columns: Mapping[str, Column | str],
-            within: Sequence[str] = ()) -> DataFrame:
-    """Exact medians of several columns per group, NULLs left out (rules N8, N21).
+def summarise(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
+              medians: Mapping[str, Column | str]) -> DataFrame:
+    """Aggregates and exact medians per group, NULLs left out (rules N8, N21).
 
-    First pass: a bracket around the middle of each group from the sketch, whose
-    rank error is at most one ``ACCURACY``-th of the group.  Second pass: values
-    below the bracket are only counted, values inside it are counted one by one
-    and ordered.  All columns share both passes in long form.  A group without
-    any value has no row here, so callers join the result from the left.
+    First pass: the aggregates, and from a sketch a bracket around the middle of every
+    column, with a rank error of at most one ``ACCURACY``-th of the group.  Second
+    pass: values below a bracket are only counted, those inside are counted one by
+    one and ordered.  All columns share the two passes.
     """
-    names = list(columns)
-    long = df.select(*within, *[as_column(c).cast("double").alias(n) for n, c in columns.items()])
-    if len(names) > 1:
-        long = long.unpivot(list(within), names, "__measure", "__value")
-    else:
-        long = long.select(*within, F.lit(names[0]).alias("__measure"),
-                           F.col(names[0]).alias("__value"))
-    long = long.filter(F.col("__value").isNotNull())
-    groups = [*within, "__measure"]
-    sketch = F.percentile_approx(
-        "__value", [0.5 - 2.5 / ACCURACY, 0.5 + 2.5 / ACCURACY], ACCURACY)
-    small = F.count(F.lit(1)) <= SMALL_GROUP
-    brackets = long.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.when(small, F.min("__value")).otherwise(F.get(sketch, F.lit(0))).alias("__low"),
-        F.when(small, F.max("__value")).otherwise(F.get(sketch, F.lit(1))).alias("__high"))
-    inside = join_null_safe(long, brackets, groups, "inner").filter(
-        F.col("__value") <= F.col("__high"))
-    counts = (inside.withColumn("__value", F.when(F.col("__value") >= F.col("__low"),
-                                                  F.col("__value")))
-              .groupBy(*groups, "__n", "__value").agg(F.count(F.lit(1)).alias("__equal")))
-    so_far = (Window.partitionBy(*groups).orderBy(F.col("__value").asc_nulls_first())
+    names = list(medians)
+    values = {f"__v{i}": as_column(c).cast("double") for i, c in enumerate(medians.values())}
+    rows = df.withColumns(values)
+    brackets = []
+    for value in values:
+        sketch = F.percentile_approx(
+            value, [0.5 - 2.5 / ACCURACY, 0.5 + 2.5 / ACCURACY], ACCURACY)
+        small = F.count(value) <= SMALL_GROUP
+        brackets.append(F.struct(
+            F.count(value).alias("n"),
+            F.when(small, F.min(value)).otherwise(F.get(sketch, F.lit(0))).alias("low"),
+            F.when(small, F.max(value)).otherwise(F.get(sketch, F.lit(1))).alias("high"),
+        ).alias(f"__b{value[3:]}"))
+    first = rows.groupBy(*keys).agg(*aggregates, *brackets)
+    bracket_names = [f"__b{value[3:]}" for value in values]
+    placed = _per_group(rows.select(*keys, *values), first.select(*keys, *bracket_names), keys,
+                        bracket_names)
+    # Each value up to the upper end of its bracket; NULL stands for "below the bracket".
+    found = F.array(*[
+        F.when(F.col(v) <= F.col(f"{b}.high"), F.struct(
+            F.lit(i).alias("measure"), F.col(f"{b}.n").alias("n"),
+            F.when(F.col(v) >= F.col(f"{b}.low"), F.col(v)).alias("value")))
+        for i, (v, b) in enumerate(zip(values, bracket_names))])
+    counts = (placed.select(*keys, F.explode(found).alias("f")).filter(F.col("f").isNotNull())
+              .groupBy(*keys, "f").agg(F.count(F.lit(1)).alias("__equal"))
+              .select(*keys, "f.*", "__equal"))
+    so_far = (Window.partitionBy(*keys, "measure").orderBy(F.col("value").asc_nulls_first())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = counts.withColumn("__upto", F.sum("__equal").over(so_far))
+    ordered = counts.withColumn("__upto", F.sum("__equal").over(so_far))
 
-    def at(position: Column, name: str) -> Column:
-        hit = ((F.col("__measure") == name) & (F.col("__upto") >= position)
+    def at(position: Column, measure: int) -> Column:
+        hit = ((F.col("measure") == measure) & (F.col("__upto") >= position)
                & (F.col("__upto") - F.col("__equal") < position))
-        return F.max(F.when(hit, F.col("__value")))
+        return F.max(F.when(hit, F.col("value")))
+
+    lower = F.floor((F.col("n") + 1) / 2)
+    upper = F.floor(F.col("n") / 2) + 1
+    middles = ordered.groupBy(*keys).agg(*[
+        ((at(lower, i) + at(upper, i)) / 2).alias(name) for i, name in enumerate(names)])
+    summary = first.drop(*bracket_names)
+    if keys:
+        return join_null_safe(summary, middles, keys, "left")
+    return summary.withColumn("__m", scalar(middles, F.first(F.struct(*names)))).select(
+        *summary.columns, *[F.col(f"__m.{n}").alias(n) for n in names])
 
-    lower = F.floor((F.col("__n") + 1) / 2)
-    upper = F.floor(F.col("__n") / 2) + 1
-    return placed.groupBy(*within).agg(*[
-        ((at(lower, n) + at(upper, n)) / 2).alias(n) for n in names])
+
+def medians(df: DataFrame, columns: Mapping[str, Column | str],
+            within: Sequence[str] = ()) -> DataFrame:
+    """Exact medians of several columns per group."""
+    return summarise(df, list(within), [], columns)
 
 
 def median_of_column(df: DataFrame, column: str) -> Column:

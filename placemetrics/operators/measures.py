@@ -17,7 +17,7 @@ from placemetrics.functions.bins import half_open_bin, pretty_bin, pretty_step,
 from placemetrics.functions.semantics import (as_column, divide, first_match, growth, if_known,
                                               is_in, to_number)
 from placemetrics.operators.joins import join_null_safe, scalar
-from placemetrics.operators.reshape import explode_members
+from placemetrics.operators.ranking import whole_table
 
 __all__ = [
     "add_share", "share_of_group", "member_share", "members_per_entity", "count_histogram",
@@ -32,11 +32,11 @@ __all__ = [
 
 def add_share(df: DataFrame, value: str, into: str, within: Sequence[str] = (),
               members: str = "few") -> DataFrame:
-    """``value`` over its total in the group (rule W1); over the grand total without groups."""
+    """``value`` over its total in the group (rule W1), or over the grand total."""
+    if members == "few":
+        return df.withColumn(into, divide(value, F.sum(value).over(whole_table(*within))))
     if not within:
         return df.withColumn(into, divide(value, scalar(df, F.sum(value))))
-    if members == "few":
-        return df.withColumn(into, divide(value, F.sum(value).over(Window.partitionBy(*within))))
     totals = df.groupBy(*within).agg(F.sum(value).alias("__total"))
     return (join_null_safe(df, totals, within, "left")
             .withColumn(into, divide(value, "__total")).drop("__total"))
@@ -50,22 +50,37 @@ def share_of_group(df: DataFrame, keys: Sequence[str], within: Sequence[str] = (
     return add_share(counts, count, share, within, members)
 
 
-def member_share(df: DataFrame, members: str, entity_total: Column | DataFrame,
-                 by: Sequence[str] = (), into: str | None = None, keep_missing: bool = False,
-                 count: str = "respondents", share: str = "respondents_share") -> DataFrame:
+def member_share(df: DataFrame, members: str, by: Sequence[str] = (), into: str | None = None,
+                 entities: str = "answered", entity_total: Column | None = None,
+                 keep_missing: bool = False, count: str = "respondents",
+                 share: str = "respondents_share",
+                 total: str = "total_respondents") -> DataFrame:
     """M-3: how many entities name each member, over a count of entities.
 
-    ``entity_total`` is the denominator: a scalar, or a table with the ``by``
-    columns and ``total_respondents``.  Which entities it counts is the caller's
-    choice: those who answered, all of them, or those left after cleaning.
+    The denominator counts the entities of the same ``by`` group that have a list
+    (``entities="answered"``) or all of them (``"all"``); another one can be given as
+    ``entity_total``.  Every entity adds one marker row to its exploded members, so
+    members and entities are counted in a single pass over the data.
     """
     into = into or members
-    named = explode_members(df.select(*by, members), members, into, keep_missing)
-    counts = named.groupBy(into, *by).agg(F.count(F.lit(1)).alias(count))
-    if isinstance(entity_total, DataFrame):
-        joined = join_null_safe(counts, entity_total, list(by), "inner")
-        return joined.withColumn(share, divide(count, "total_respondents"))
-    return counts.withColumn(share, divide(count, entity_total))
+    item = F.transform(members, lambda m: F.struct(F.lit(False).alias("entity"), m.alias("member")))
+    nothing = F.array(F.struct(F.lit(False).alias("entity"),
+                               F.lit(None).cast("string").alias("member")))
+    marker = F.array(F.struct(F.lit(True).alias("entity"),
+                              F.lit(None).cast("string").alias("member")))
+    items = F.coalesce(item, nothing) if keep_missing else F.coalesce(
+        item, F.slice(nothing, 1, 0))
+    counted = F.col(members).isNotNull() if entities == "answered" else F.lit(True)
+    tagged = F.when(counted, F.concat(marker, items)).otherwise(items)
+    counts = (df.select(*by, F.explode(tagged).alias("__i"))
+              .groupBy(F.col("__i.member").alias(into), F.col("__i.entity").alias("__entity"), *by)
+              .agg(F.count(F.lit(1)).alias(count)))
+    if entity_total is not None:
+        return counts.filter(~F.col("__entity")).drop("__entity").withColumn(
+            share, divide(count, entity_total))
+    whole = F.max(F.when(F.col("__entity"), F.col(count))).over(whole_table(*by))
+    return (counts.withColumn(total, whole).filter(~F.col("__entity")).drop("__entity")
+            .withColumn(share, divide(count, total)))
 
 
 def members_per_entity(df: DataFrame, entity: Sequence[str], into: str) -> DataFrame:
@@ -83,10 +98,7 @@ def count_histogram(df: DataFrame, count: str, entities: str = "respondents",
 def relative_to(df: DataFrame, value: str, is_reference: Column, into: str,
                 within: Sequence[str] = ()) -> DataFrame:
     """M-5: ratio to the reference member; NULL where there is none (rule N14)."""
-    if not within:
-        reference = scalar(df.filter(is_reference), F.max(value))
-    else:
-        reference = F.max(F.when(is_reference, F.col(value))).over(Window.partitionBy(*within))
+    reference = F.max(F.when(is_reference, F.col(value))).over(whole_table(*within))
     return df.withColumn(into, divide(value, reference))
 
 

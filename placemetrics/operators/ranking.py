@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from placemetrics.operators.distribution import value_positions
 from placemetrics.operators.joins import join_null_safe, scalar
 
-__all__ = ["top_n", "add_rank", "rank_of", "add_position", "arrange", "keep_maximum",
+__all__ = ["whole_table", "top_n", "add_rank", "rank_of", "add_position", "arrange", "keep_maximum",
            "suppress_small"]
 
 
+def whole_table(*within: str) -> WindowSpec:
+    """Window over a group, or over the whole of a table that has one row per member."""
+    return Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+
+
 def top_n(df: DataFrame, n: int, by: str, within: Sequence[str] = (),
           smallest: bool = False) -> DataFrame:
     """The n best rows per group with all ties; rows without a weight drop out (rule N15).
@@ -41,7 +46,7 @@ def add_rank(df: DataFrame, by: str, into: str, within: Sequence[str] = (),
     if ties not in ("average", "min"):
         raise ValueError("ties must be 'average' or 'min'")
     if members == "few":
-        group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+        group = whole_table(*within)
         order = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
         rank = F.rank().over(group.orderBy(order))
         if ties == "average":
@@ -68,16 +73,14 @@ def add_rank(df: DataFrame, by: str, into: str, within: Sequence[str] = (),
             .withColumn(into, F.coalesce(into, "__after_all")).drop("__after_all"))
 
 
-def rank_of(df: DataFrame, by: str, is_member: Column, ties: str = "min") -> DataFrame:
-    """The rows meeting a predicate with their rank among all rows of ``df``.
+def rank_of(df: DataFrame, by: str, is_member: Column) -> DataFrame:
+    """The rows meeting a predicate with their smallest rank among all rows of ``df``.
 
-    Only two counts are needed, so nothing is sorted.
+    Only the better rows are counted, so nothing is sorted or gathered.
     """
     value = scalar(df.filter(is_member), F.max(by))
-    higher = scalar(df.withColumn("__value", value), F.count_if(F.col(by) > F.col("__value")))
-    equal = scalar(df.withColumn("__value", value), F.count_if(F.col(by) == F.col("__value")))
-    rank = (higher + 1).cast("int") if ties == "min" else higher + (equal + 1) / 2
-    return df.filter(is_member).withColumn("rank", rank)
+    better = scalar(df.withColumn("__value", value), F.count_if(F.col(by) > F.col("__value")))
+    return df.filter(is_member).withColumn("rank", (better + 1).cast("int"))
 
 
 def add_position(df: DataFrame, by: str, into: str, tie_breaker: Sequence[str] = (),
@@ -94,7 +97,10 @@ def arrange(df: DataFrame, *columns: str) -> DataFrame:
                         else F.col(c).asc_nulls_last() for c in columns])
 
 
-def keep_maximum(df: DataFrame, column: str) -> DataFrame:
+def keep_maximum(df: DataFrame, column: str, members: str = "few") -> DataFrame:
+    if members == "few":
+        return (df.withColumn("__most", F.max(column).over(whole_table()))
+                .filter(F.col(column) == F.col("__most")).drop("__most"))
     return df.filter(F.col(column) == scalar(df, F.max(column)))
 
 

@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.functions.semantics import as_column
-from placemetrics.operators.distribution import medians
-from placemetrics.operators.joins import join_null_safe
 
 # Fixed values.
 HOME_COUNTRY = "canada"
@@ -47,8 +45,3 @@ def total(df: DataFrame, value: str | Column, name: str) -> DataFrame:
 
 def row_count(df: DataFrame, name: str = "respondents") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
-
-
-def with_medians(summary: DataFrame, rows: DataFrame, columns: dict, keys: list[str]) -> DataFrame:
-    """Exact medians of ``rows`` beside an aggregate with the same keys."""
-    return join_null_safe(summary, medians(rows, columns, keys), keys, "left")

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from placemetrics.functions.semantics import (count_present, divide, growth, is_in, money_mean,
                                               ratio_of_counts)
 from placemetrics.functions.text import title_case
-from placemetrics.operators.joins import keep_members, lookup, recode_by_lookup
-from placemetrics.operators.measures import (add_share, growth_between_ends, index_to_base,
-                                             relative_to, share_of_group)
+from placemetrics.operators.distribution import summarise
+from placemetrics.operators.joins import lookup, recode_by_lookup
+from placemetrics.operators.measures import (add_share, index_to_base, relative_to,
+                                             share_of_group)
 from placemetrics.operators.ranking import arrange, suppress_small, top_n
 from placemetrics.operators.reshape import with_literal_order
 from placemetrics.plans.common import (HOME_COUNTRY, LATEST_YEAR, PRO_DEV, present, row_count,
-                                       total, with_medians)
+                                       total)
 
 COUNTRY_KEYS = ["year", "country", "region", "region_carow_label"]
 
@@ -37,12 +38,12 @@ def country_years(respondents: DataFrame, population: DataFrame,
 def country_years_prodevs(respondents: DataFrame) -> DataFrame:
     """Salary and experience of professional developers per country and year.
 
-    One aggregate collects all counts and means, split by gender where needed, and
-    one median pass all medians, instead of a join per pivoted statistic.
+    All counts, means and medians, also those split by gender, come from one
+    summary instead of a join per pivoted statistic.
     """
     rows = respondents.filter(present("country") & (F.col("pro_status") == PRO_DEV))
     male, female = (F.when(F.col("gender") == g, F.col("salary_cad")) for g in ("male", "female"))
-    summary = rows.groupBy(*COUNTRY_KEYS).agg(
+    summary = summarise(rows, COUNTRY_KEYS, [
         F.count(F.lit(1)).alias("respondents"),
         money_mean("salary_cad").alias("mean_salary_cad"),
         money_mean("salary_usd").alias("mean_salary_usd"),
@@ -53,15 +54,15 @@ def country_years_prodevs(respondents: DataFrame) -> DataFrame:
                         present("pro_experience_bin"))
         .alias("respondents_share_pro_experience_bin_above_15"),
         count_present(male).alias("n_salary_responses_males"),
-        count_present(female).alias("n_salary_responses_females"))
-    summary = with_medians(summary, rows, {
+        count_present(female).alias("n_salary_responses_females"),
+    ], {
         "median_salary_cad": "salary_cad",
         "median_salary_usd": "salary_usd",
         "median_salary_intl_dollar": "salary_intl_dollar",
         "median_pro_experience_years": "pro_experience_mid_year",
         "median_salary_cad_males": male,
         "median_salary_cad_females": female,
-    }, COUNTRY_KEYS)
+    })
     return add_share(summary, "respondents", "respondents_share", ["year"]).withColumn(
         "salary_pc_diff_females_males",
         growth("median_salary_cad_females", "median_salary_cad_males"))
@@ -114,10 +115,12 @@ def region_index(regions: DataFrame) -> DataFrame:
 def growth_of_leading_countries(countries: DataFrame, first: int = 2015, last: int = LATEST_YEAR,
                                 n: int = 15) -> DataFrame:
     """Change of share between two years among the countries with the largest mean share."""
-    leading = top_n(countries.filter(F.col("year") >= first).groupBy("country")
-                    .agg(F.avg("respondents_share").alias("mean_respondents_share")),
-                    n, "mean_respondents_share")
-    ends = keep_members(countries, leading, ["country"]).filter(is_in("year", [first, last]))
-    return arrange(growth_between_ends(ends, "respondents_share", ["country"], "year",
-                                       "respondents_share_pc_change"),
+    share = F.when(is_in("year", [first, last]), F.col("respondents_share"))
+    end = F.when(is_in("year", [first, last]), F.col("year"))
+    per_country = countries.groupBy("country").agg(
+        F.avg(F.when(F.col("year") >= first, F.col("respondents_share"))).alias("mean_share"),
+        growth(F.max_by(share, end), F.min_by(share, end)).alias("respondents_share_pc_change"),
+        F.count(end).alias("ends"))
+    leading = top_n(per_country, n, "mean_share").filter(F.col("ends") > 0)
+    return arrange(leading.select("country", "respondents_share_pc_change"),
                    "-respondents_share_pc_change")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placemetrics.functions.semantics import divide
 from placemetrics.functions.text import times_label
-from placemetrics.operators.joins import keep_members, lookup
+from placemetrics.operators.joins import lookup
 from placemetrics.operators.measures import (count_histogram, growth_on_previous, index_to_base,
                                              member_share, members_per_entity)
 from placemetrics.operators.ranking import add_rank, arrange, keep_maximum, top_n
-from placemetrics.operators.reshape import explode_members, to_wide
+from placemetrics.operators.reshape import explode_members, to_long, to_wide
 from placemetrics.plans.common import (HOME_COUNTRY, LATEST_YEAR, PRO_DEV, latest,
                                        pro_devs_at_home, row_count)
 from placemetrics.plans.survey import HOME, REST_OF_WORLD
@@ -24,9 +24,8 @@ MOST_LANGUAGES_SHOWN = 10.5
 
 def language_regions(respondents: DataFrame, metadata: DataFrame) -> DataFrame:
     """Share of each region's respondents naming a language."""
-    rows = latest(respondents, "region_carow_label", "languages", pro_status=PRO_DEV)
-    totals = rows.groupBy("region_carow_label").agg(F.count(F.lit(1)).alias("total_respondents"))
-    shares = member_share(rows, "languages", totals, by=["region_carow_label"], into="language")
+    rows = latest(respondents, "region_carow_label", pro_status=PRO_DEV)
+    shares = member_share(rows, "languages", by=["region_carow_label"], into="language")
     return lookup(shares, metadata, "language")
 
 
@@ -40,11 +39,10 @@ def top_languages(regions: DataFrame, n: int = 10) -> DataFrame:
 
 
 def top_language_shares(regions: DataFrame, n: int = 10) -> DataFrame:
-    top = top_languages(regions, n).select("language_label", "canada_rank")
-    rows = keep_members(regions, top, ["language_label"])
-    return arrange(lookup(rows, top, "language_label").select(
-        "language_label", "region_carow_label", "respondents_share", "canada_rank"),
-        "respondents_share")
+    """Both regions' shares of the n languages ranked highest at home."""
+    top = to_long(top_languages(regions, n), "region_carow_label", "respondents_share",
+                  [HOME, REST_OF_WORLD], ids=["language_label", "canada_rank"])
+    return arrange(top.filter(F.col("respondents_share").isNotNull()), "respondents_share")
 
 
 def n_language_respondents(regions: DataFrame, region: str = HOME) -> DataFrame:
@@ -87,8 +85,7 @@ def language_years(respondents: DataFrame, metadata: DataFrame) -> DataFrame:
     """Yearly share of each language at home, its index and its yearly growth."""
     rows = respondents.filter((F.col("country") == HOME_COUNTRY) & F.col("languages").isNotNull())
     rows = rows.withColumn("languages", F.transform("languages", F.trim))
-    totals = rows.groupBy("year").agg(F.count(F.lit(1)).alias("total_respondents"))
-    shares = member_share(rows, "languages", totals, by=["year"], into="language")
+    shares = member_share(rows, "languages", by=["year"], into="language")
     shares = index_to_base(shares, "respondents_share", ["language"], "year",
                            "respondents_share_ind")
     shares = growth_on_previous(shares, "respondents_share", ["language"], "year",
@@ -110,7 +107,12 @@ def widely_used(years: DataFrame, minimum: float = MIN_MEAN_SHARE) -> DataFrame:
 
 
 def widely_used_years(years: DataFrame, minimum: float = MIN_MEAN_SHARE) -> DataFrame:
-    return keep_members(years, widely_used(years, minimum), ["language"])
+    """The yearly rows of the widely used languages."""
+    language = Window.partitionBy("language")
+    rows = years.withColumns({"__mean": F.avg("respondents_share").over(language),
+                              "__years": F.count(F.lit(1)).over(language)})
+    return keep_maximum(rows, "__years").filter(F.col("__mean") >= minimum).drop(
+        "__mean", "__years")
 
 
 def latest_growth(years: DataFrame, minimum: float = MIN_MEAN_SHARE,
@@ -120,13 +122,14 @@ def latest_growth(years: DataFrame, minimum: float = MIN_MEAN_SHARE,
                    "-respondents_share_pc_growth_yoy")
 
 
-def home_to_world_ratio(regions: DataFrame, metadata: DataFrame,
-                        minimum: int = MIN_RESPONDENTS) -> DataFrame:
+def home_to_world_ratio(regions: DataFrame, minimum: int = MIN_RESPONDENTS) -> DataFrame:
     """Share at home over share elsewhere, for languages with enough respondents."""
-    wide = to_wide(regions, ["language"], "region_carow_label", "respondents_share",
-                   [HOME, REST_OF_WORLD])
-    wide = wide.withColumn("carow_ratio", divide(HOME, REST_OF_WORLD))
-    enough = regions.filter((F.col("region_carow_label") == HOME)
-                            & (F.col("respondents") >= minimum))
-    joined = lookup(keep_members(wide, enough, ["language"]), metadata, "language")
-    return arrange(joined.withColumn("text", times_label("carow_ratio")), "carow_ratio")
+    is_home = F.col("region_carow_label") == HOME
+    wide = regions.groupBy("language", "language_label").agg(
+        F.max(F.when(is_home, F.col("respondents"))).alias("__respondents"),
+        F.max(F.when(is_home, F.col("respondents_share"))).alias(HOME),
+        F.max(F.when(~is_home, F.col("respondents_share"))).alias(REST_OF_WORLD))
+    ratio = divide(HOME, REST_OF_WORLD)
+    enough = wide.filter(F.col("__respondents") >= minimum).drop("__respondents")
+    return arrange(enough.withColumns({"carow_ratio": ratio, "text": times_label(ratio)}),
+                   "carow_ratio")

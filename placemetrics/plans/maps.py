@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from placemetrics.functions.semantics import is_in, not_in, recode
 from placemetrics.functions.text import comma_label, percent_label, title_case

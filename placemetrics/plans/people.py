@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placemetrics.functions.semantics import (count_present, divide, is_in, matches, money_mean,
                                               recode, recode_by_pattern)
 from placemetrics.functions.text import clean_packed, ratio_label, title_case
-from placemetrics.operators.joins import keep_members, scalar
+from placemetrics.operators.distribution import summarise
 from placemetrics.operators.measures import add_share, member_share, share_of_group
-from placemetrics.operators.ranking import add_rank, arrange, suppress_small, top_n
+from placemetrics.operators.ranking import add_rank, arrange, suppress_small
 from placemetrics.operators.reshape import to_wide, with_literal_order
 from placemetrics.plans.common import (HOME_COUNTRY, LATEST_YEAR, PRO_DEV, latest, present,
-                                       pro_devs_at_home, row_count, total, with_medians)
+                                       pro_devs_at_home, row_count, total)
 from placemetrics.plans.survey import EDUCATION_LABELS, HOME
 
 # Job-seeking statuses in order, with labels.
@@ -128,10 +128,10 @@ EDUCATION_KEYS = ["educ_level_group_label", "region"]
 
 def education_regions(respondents: DataFrame) -> DataFrame:
     rows = latest(respondents, "region", "educ_level_group_label", pro_status=PRO_DEV)
-    counts = rows.groupBy(*EDUCATION_KEYS).agg(
+    counts = summarise(rows, EDUCATION_KEYS, [
         F.count(F.lit(1)).alias("respondents"), money_mean("salary_cad").alias("mean_salary_cad"),
-        count_present("salary_cad").alias("n_salary_responses"))
-    counts = with_medians(counts, rows, {"median_salary_cad": "salary_cad"}, EDUCATION_KEYS)
+        count_present("salary_cad").alias("n_salary_responses"),
+    ], {"median_salary_cad": "salary_cad"})
     shares = add_share(counts, "respondents", "respondents_share", ["region"])
     return shares.withColumn("educ_ord", with_literal_order("educ_level_group_label",
                                                             list(EDUCATION_LABELS.values())))
@@ -151,9 +151,9 @@ def education_salaries(education: DataFrame, region: str = HOME) -> DataFrame:
 
 def informal_education(respondents: DataFrame) -> DataFrame:
     """Members over all professional developers at home, non-answerers included."""
-    rows = pro_devs_at_home(respondents)
-    n = scalar(rows, F.count(F.lit(1)))
-    return member_share(rows, "informal_educ", n, keep_missing=True)
+    shares = member_share(pro_devs_at_home(respondents), "informal_educ", entities="all",
+                          keep_missing=True)
+    return shares.drop("total_respondents")
 
 
 def informal_education_labelled(shares: DataFrame) -> DataFrame:
@@ -199,36 +199,38 @@ def gender_at_home(genders: DataFrame, year: int = LATEST_YEAR) -> DataFrame:
 
 
 def _large_countries(genders: DataFrame, minimum: int, year: int) -> DataFrame:
-    counts = genders.filter(F.col("year") == year).groupBy("country").agg(
-        F.sum("respondents").alias("respondents"))
-    return suppress_small(counts, minimum, "respondents")
-
-
-def most_female_countries(genders: DataFrame, minimum: int = 50, n: int = 20,
-                          year: int = LATEST_YEAR) -> DataFrame:
-    rows = genders.filter((F.col("year") == year) & (F.col("gender") == "female"))
-    rows = keep_members(rows, _large_countries(genders, minimum, year), ["country"])
-    return top_n(rows, n, "respondents_share")
+    """One year's rows of the countries with enough respondents over all genders."""
+    country = F.sum("respondents").over(Window.partitionBy("country"))
+    return (genders.filter(F.col("year") == year).withColumn("__country", country)
+            .filter(F.col("__country") >= minimum).drop("__country"))
 
 
 def genders_of_most_female(genders: DataFrame, minimum: int = 50, n: int = 20,
                            year: int = LATEST_YEAR) -> DataFrame:
-    top = most_female_countries(genders, minimum, n, year)
-    rows = keep_members(genders.filter(F.col("year") == year), top, ["country"])
-    return rows.select("country", "gender", recode("gender", GENDER_LABELS, F.lit(None))
-                       .alias("gender_label"), "respondents", "respondents_share")
+    """All genders of the n countries with the largest share of women, ties kept."""
+    share = F.max(F.when(F.col("gender") == "female", F.col("respondents_share"))).over(
+        Window.partitionBy("country"))
+    rows = _large_countries(genders, minimum, year).withColumn("__female", share)
+    # Countries are ranked by their one row for women; the others follow their country.
+    women = F.when(F.col("gender") == "female", F.col("respondents_share"))
+    rows = add_rank(rows.withColumn("__women", women), "__women", "__rank", ties="min")
+    place = F.min("__rank").over(Window.partitionBy("country"))
+    rows = rows.withColumn("__place", place).filter(F.col("__place") <= n)
+    return arrange(rows.select("country", "gender", recode("gender", GENDER_LABELS, F.lit(None))
+                               .alias("gender_label"), "respondents", "respondents_share",
+                               "__female"), "__female").drop("__female")
 
 
 def n_gender_countries(genders: DataFrame, minimum: int = 50,
                        year: int = LATEST_YEAR) -> DataFrame:
-    return row_count(_large_countries(genders, minimum, year), "countries")
+    return _large_countries(genders, minimum, year).agg(
+        F.count_distinct("country").alias("countries"))
 
 
 def female_rank(genders: DataFrame, country: str = HOME_COUNTRY, minimum: int = 50,
                 year: int = LATEST_YEAR) -> DataFrame:
-    rows = genders.filter((F.col("gender") == "female") & (F.col("year") == year))
-    rows = keep_members(rows, _large_countries(genders, minimum, year), ["country"])
-    ranked = add_rank(rows, "respondents_share", "rank")
+    women = _large_countries(genders, minimum, year).filter(F.col("gender") == "female")
+    ranked = add_rank(women, "respondents_share", "rank")
     return ranked.filter(F.col("country") == country).select(
         "country", "respondents", "respondents_share", "rank")
 
@@ -292,7 +294,7 @@ def n_ethnicity_respondents(respondents: DataFrame) -> DataFrame:
 
 def ethnicities(respondents: DataFrame) -> DataFrame:
     rows = _with_ethnicities(respondents).select(F.split("packed", ";", -1).alias("ethnicity"))
-    return member_share(rows, "ethnicity", scalar(rows, F.count(F.lit(1))))
+    return member_share(rows, "ethnicity").drop("total_respondents")
 
 
 def ethnicities_sorted(shares: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def role_shares(respondents: DataFrame) -> DataFrame:
     """Role counts over distinct respondents, not over answers."""
     rows = respondents_with_roles(respondents)
     n = scalar(rows, F.count_distinct("respondent_id"))
-    return member_share(rows, "dev_roles", n, into="dev_role")
+    return member_share(rows, "dev_roles", into="dev_role", entity_total=n)
 
 
 def role_shares_labelled(shares: DataFrame, labels: DataFrame) -> DataFrame:

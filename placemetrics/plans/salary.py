@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placemetrics.functions.semantics import divide, not_in, ratio_of_counts
+from placemetrics.functions.semantics import not_in, ratio_of_counts
 from placemetrics.functions.text import money_label, rank_label, title_case
-from placemetrics.operators.joins import scalar
-from placemetrics.operators.ranking import add_rank, arrange, rank_of, suppress_small, top_n
+from placemetrics.operators.measures import relative_to
+from placemetrics.operators.ranking import add_rank, arrange, suppress_small, top_n
 from placemetrics.operators.reshape import to_long
 from placemetrics.plans.common import HOME_COUNTRY, LATEST_YEAR, present, row_count
 from placemetrics.plans.survey import HOME
@@ -44,9 +44,9 @@ def n_salary_countries(countries: DataFrame, minimum: int = MIN_SALARIES, ppp: b
 
 def salary_rank(countries: DataFrame, country: str = HOME_COUNTRY, minimum: int = MIN_SALARIES,
                 year: int = LATEST_YEAR) -> DataFrame:
-    ranked = rank_of(_enough(countries, year, minimum), "median_salary_cad",
-                     F.col("country") == country)
-    return ranked.select("country", "rank", "median_salary_cad", "n_salary_responses")
+    ranked = add_rank(_enough(countries, year, minimum), "median_salary_cad", "rank", ties="min")
+    return ranked.filter(F.col("country") == country).select(
+        "country", "rank", "median_salary_cad", "n_salary_responses")
 
 
 def one_country_salary(countries: DataFrame, country: str = "united states",
@@ -58,13 +58,12 @@ def one_country_salary(countries: DataFrame, country: str = "united states",
 def market_and_ppp(countries: DataFrame, minimum: int = MIN_SALARIES, n: int = 20,
                    home: str = HOME_COUNTRY, year: int = LATEST_YEAR) -> DataFrame:
     """Salaries relative to home on both bases, ranked and cut to the top on each."""
-    base = _year(countries, year).filter(F.col("country") == home)
-    rows = _enough(countries, year, minimum, ppp=True)
-    relative = rows.select(
-        "country", "region_carow_label",
-        divide("median_salary_cad", scalar(base, F.max("median_salary_cad"))).alias(MARKET),
-        divide("median_salary_intl_dollar",
-               scalar(base, F.max("median_salary_intl_dollar"))).alias(PPP))
+    is_home = F.col("country") == home
+    rows = _year(countries, year)
+    rows = relative_to(rows, "median_salary_cad", is_home, MARKET)
+    rows = relative_to(rows, "median_salary_intl_dollar", is_home, PPP)
+    relative = _enough(rows, year, minimum, ppp=True).select("country", "region_carow_label",
+                                                             MARKET, PPP)
     long = to_long(relative, "currency", "median_salary_ind", [MARKET, PPP],
                    ids=["country", "region_carow_label"])
     ranked = add_rank(long, "median_salary_ind", "median_salary_rank", ["currency"])
@@ -76,9 +75,9 @@ def market_and_ppp(countries: DataFrame, minimum: int = MIN_SALARIES, n: int = 2
 
 def ppp_rank(countries: DataFrame, country: str = HOME_COUNTRY, minimum: int = MIN_SALARIES,
              year: int = LATEST_YEAR) -> DataFrame:
-    ranked = rank_of(_enough(countries, year, minimum, ppp=True), "median_salary_intl_dollar",
-                     F.col("country") == country, ties="average")
-    return ranked.select(F.col("rank").alias("median_salary_intl_dollar_rank"))
+    ranked = add_rank(_enough(countries, year, minimum, ppp=True), "median_salary_intl_dollar",
+                      "median_salary_intl_dollar_rank")
+    return ranked.filter(F.col("country") == country).select("median_salary_intl_dollar_rank")
 
 
 def currency_mismatch(respondents: DataFrame, year: int = LATEST_YEAR) -> DataFrame:

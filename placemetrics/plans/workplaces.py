@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placemetrics.functions.semantics import (count_present, divide, growth, is_in, matches, not_in,
                                               recode_by_pattern)
 from placemetrics.functions.text import title_case
-from placemetrics.operators.joins import keep_members, lookup
+from placemetrics.operators.distribution import summarise
+from placemetrics.operators.joins import lookup
 from placemetrics.operators.measures import (add_share, growth_on_previous, index_to_base,
                                              running_share, share_of_group)
-from placemetrics.operators.ranking import arrange, suppress_small, top_n
+from placemetrics.operators.ranking import add_rank, arrange, suppress_small
 from placemetrics.operators.reshape import to_wide, with_literal_order
 from placemetrics.plans.common import (HOME_COUNTRY, LATEST_YEAR, PRO_DEV, latest, pro_devs_at_home,
-                                       total, with_medians)
+                                       total)
 from placemetrics.plans.survey import HOME, REST_OF_WORLD
 
 # Answers about the company that say nothing.
@@ -61,9 +62,9 @@ STATUSES_LEFT_OUT = ["retired", "i prefer not to say"]
 
 
 def _counts_with_salary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("respondents"),
-                                     count_present("salary_cad").alias("n_salary_responses"))
-    return with_medians(counts, rows, {"median_salary_cad": "salary_cad"}, keys)
+    return summarise(rows, keys, [F.count(F.lit(1)).alias("respondents"),
+                                  count_present("salary_cad").alias("n_salary_responses")],
+                     {"median_salary_cad": "salary_cad"})
 
 
 # --- company --------------------------------------------------------------------
@@ -126,8 +127,9 @@ def _at_home(table: DataFrame) -> DataFrame:
 
 def top_industries(table: DataFrame, n: int = 10) -> DataFrame:
     """Every home row whose label is among those of the n largest industries."""
-    top = top_n(_at_home(table), n, "respondents_share").select("industry_original_label")
-    return arrange(keep_members(_at_home(table), top, ["industry_original_label"]).select(
+    ranked = add_rank(_at_home(table), "respondents_share", "__rank", ties="min")
+    best = F.min("__rank").over(Window.partitionBy("industry_original_label"))
+    return arrange(ranked.withColumn("__best", best).filter(F.col("__best") <= n).select(
         "industry_original", "industry_original_label", "respondents_share"), "respondents_share")
 
 
@@ -179,20 +181,19 @@ def industry_years(respondents: DataFrame, first: int = 2015) -> DataFrame:
                          "respondents_share_ind")
 
 
-def stable_industries(years: DataFrame, minimum: int = 20, n_years: int = 3,
-                      left_out: Sequence[str] = INCONSISTENT_INDUSTRIES) -> DataFrame:
-    """Industries with enough respondents in every one of the years."""
-    steady = years.groupBy("industry_consolidated").agg(
-        F.min("respondents").alias("least"), F.count(F.lit(1)).alias("years"))
-    return steady.filter((F.col("least") >= minimum) & (F.col("years") == n_years)
-                         & not_in("industry_consolidated", left_out)
-                         ).select("industry_consolidated")
+def stable_industry_years(years: DataFrame, minimum: int = 20, n_years: int = 3,
+                          left_out: Sequence[str] = INCONSISTENT_INDUSTRIES) -> DataFrame:
+    """Rows of the industries with enough respondents in every one of the years."""
+    industry = Window.partitionBy("industry_consolidated")
+    steady = years.withColumns({"__least": F.min("respondents").over(industry),
+                                "__years": F.count(F.lit(1)).over(industry)}).filter(
+        (F.col("__least") >= minimum) & (F.col("__years") == n_years)
+        & not_in("industry_consolidated", left_out)).drop("__least", "__years")
+    return steady.withColumn("industry_label", title_case("industry_consolidated"))
 
 
-def stable_industry_years(years: DataFrame, minimum: int = 20, n_years: int = 3) -> DataFrame:
-    rows = keep_members(years, stable_industries(years, minimum, n_years),
-                        ["industry_consolidated"])
-    return rows.withColumn("industry_label", title_case("industry_consolidated"))
+def stable_industries(years: DataFrame, minimum: int = 20, n_years: int = 3) -> DataFrame:
+    return stable_industry_years(years, minimum, n_years).select("industry_consolidated").distinct()
 
 
 def industry_growth(years: DataFrame, first: int = 2015, previous: int = 2016,

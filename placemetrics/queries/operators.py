@@ -13,7 +13,7 @@ from placemetrics.functions.semantics import (count_present, divide, first_match
 from placemetrics.functions.text import (clean_packed, comma_label, drop_parenthesised, money_label,
                                          percent_label, replace_all, slug, title_case, to_ascii)
 from placemetrics.operators.distribution import median_of_column, medians
-from placemetrics.operators.joins import (drop_members, full_join, join_null_safe, keep_members,
+from placemetrics.operators.joins import (drop_members, full_join, keep_members,
                                           lookup, recode_by_lookup, scalar)
 from placemetrics.operators.measures import (add_share, concentration, count_histogram,
                                              member_share, members_per_entity, normalise_salary,
@@ -22,7 +22,7 @@ from placemetrics.operators.ranking import add_rank, arrange, keep_maximum, rank
 from placemetrics.operators.reshape import (explode_packed, keep_first, pack_coded_options,
                                             pack_options, stack_tables, to_long, to_wide)
 from placemetrics.queries import tables as t
-from placemetrics.queries.registry import quoted, register, rounded, title_sql
+from placemetrics.queries.registry import register, rounded, title_sql
 
 
 def table(name: str):
@@ -157,8 +157,8 @@ def named_parts(spark, folder):
 
 
 register("member_share_of_entities",
-         lambda s, d: member_share(named_parts(s, d), "words", scalar(
-             named_parts(s, d), F.count_distinct("p_partkey")), into="word", count="parts",
+         lambda s, d: member_share(named_parts(s, d), "words", into="word", entity_total=scalar(
+             named_parts(s, d), F.count_distinct("p_partkey")), count="parts",
              share="parts_share"),
          """SELECT word, count(*) AS parts, count(*) / (SELECT count(DISTINCT p_partkey) FROM part)
          AS parts_share FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part)
@@ -166,10 +166,8 @@ register("member_share_of_entities",
 
 
 def member_share_by_brand(spark, folder):
-    rows = named_parts(spark, folder)
-    totals = rows.groupBy("p_brand").agg(F.count(F.lit(1)).alias("total_respondents"))
-    return member_share(rows, "words", totals, by=["p_brand"], into="word", count="parts",
-                        share="parts_share").withColumnRenamed("total_respondents", "total")
+    return member_share(named_parts(spark, folder), "words", by=["p_brand"], into="word",
+                        count="parts", share="parts_share", total="total")
 
 
 register("member_share_by_group", member_share_by_brand,
@@ -279,7 +277,8 @@ register("average_rank",
          PARTITION BY suppliers) - 1) / 2 AS rank FROM (SELECT s_nationkey,
          count(*) AS suppliers FROM supplier GROUP BY 1)""")
 register("keep_maximum",
-         lambda s, d: keep_maximum(orders_per_customer(s, d).drop("spent"), "orders"),
+         lambda s, d: keep_maximum(orders_per_customer(s, d).drop("spent"), "orders",
+                                   members="many"),
          f"""SELECT c_custkey, c_nationkey, orders FROM {_PER_CUSTOMER}
          QUALIFY orders = max(orders) OVER ()""")
 

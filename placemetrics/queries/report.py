@@ -357,8 +357,8 @@ register("latest_language_growth", on(language_years, languages.latest_growth),
          """SELECT language, respondents_share, respondents_share_pc_growth_yoy FROM ly
          WHERE language IN (SELECT language FROM lw) AND year = 2017""", ["ly", "lw"])
 register("language_home_to_world_ratio",
-         lambda s, d: languages.home_to_world_ratio(language_regions(s, d), language_labels(s),
-                                                    minimum=20).drop("text"),
+         lambda s, d: languages.home_to_world_ratio(language_regions(s, d), minimum=20)
+         .drop("text"),
          """SELECT c.language, c.respondents_share AS "Canada", w.respondents_share AS "ROW",
          c.respondents_share / w.respondents_share AS carow_ratio, c.language_label
          FROM lr c LEFT JOIN lr w ON c.language = w.language AND w.region_carow_label = 'ROW'

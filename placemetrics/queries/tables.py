@@ -17,6 +17,7 @@ from placemetrics.operators.measures import normalise_salary, parse_experience
 from placemetrics.operators.reshape import pack_options
 from placemetrics.plans.places import ALL_ROLES
 from placemetrics.plans.survey import HOME, REST_OF_WORLD, region_of
+from placemetrics.sources.files import written_once
 
 FIRST_YEAR_SHIFT = 16
 
@@ -294,8 +295,8 @@ def national_sheet(spark: SparkSession, folder: str) -> DataFrame:
     """Roles by provinces, cities and the nation, in wide form."""
     cells = [F.sum(F.when(F.col("s_nationkey") == i, F.col("visitors"))).alias(place)
              for i, place in enumerate([*PROVINCES, *CITIES])]
-    return role_visits(spark, folder).groupBy("dev_role").agg(*cells,
-                                                              F.sum("visitors").alias("canada"))
+    return written_once(role_visits(spark, folder).groupBy("dev_role").agg(
+        *cells, F.sum("visitors").alias("canada")))
 
 
 def international_sheet(spark: SparkSession, folder: str) -> DataFrame:
@@ -306,7 +307,7 @@ def international_sheet(spark: SparkSession, folder: str) -> DataFrame:
               .alias(f"nation_{i}") for i in range(25)]
     countries = [F.sum(F.when(F.col("n_regionkey") == i, F.col("visitors"))).alias(name)
                  for i, name in enumerate(["africa", "america", "asia", "europe", "middle east"])]
-    return visits.groupBy("dev_role").agg(*cities, *countries)
+    return written_once(visits.groupBy("dev_role").agg(*cities, *countries))
 
 
 def city_countries(spark: SparkSession, folder: str) -> DataFrame:
@@ -325,6 +326,7 @@ def employment_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     counts = _customer_counts(spark, folder).groupBy("place", "c_mktsegment").agg(
         F.count(F.lit(1)).cast("double").alias("Value"))
     label = F.initcap(F.replace("place", F.lit("_"), F.lit(" ")))
+    counts = written_once(counts)
     provinces = counts.filter(F.col("place").isin(PROVINCES) & ~F.col("place").isin(TERRITORIES))
     territories = counts.filter(F.col("place").isin(TERRITORIES))
     return (provinces.select(label.alias("GEOGRAPHY"), "Value"),
@@ -338,7 +340,8 @@ def city_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
         named = _customer_counts(spark, folder).withColumn(
             "GEO", from_mapping("place", STATISTICAL_CITIES))
         cities = named.filter(F.col("GEO").isNotNull()).groupBy("GEO").agg(value.alias("Value"))
-        return cities.unionByName(rows.agg(value.alias("Value")).withColumn("GEO", F.lit("Canada")))
+        nation = rows.agg(value.alias("Value")).withColumn("GEO", F.lit("Canada"))
+        return written_once(cities.unionByName(nation))
 
     return (table(F.count_if(F.col("c_acctbal") > 2000).cast("double")),
             table(F.count(F.lit(1)).cast("double")))
