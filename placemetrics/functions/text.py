@@ -55,6 +55,9 @@ CITY_RULES = [
 # Answers that say nothing about the respondent.
 DECLINED_ANSWERS = r"(I don.t know|I prefer not to say)"
 
+_SMALL = f"^({'|'.join(re.escape(w) for w in SMALL_WORDS)})$"
+# Inner capitals, single characters, words left as written, words in quotation marks.
+_UNTOUCHED = rf"^(\p{{Alpha}}.*\p{{Upper}}.*|.|{'|'.join(UNTOUCHED_WORDS)}|'.*')$"
 _TOKEN = r'([ \-/"()\n\t]|[^ \-/"()\n\t]+)'
 
 
@@ -63,14 +66,13 @@ def title_case(column: Column | str) -> Column:
     tokens = F.regexp_extract_all(as_column(column), F.lit(_TOKEN), 1)
 
     def cased(token: Column, index: Column, all_tokens: Column) -> Column:
-        small = F.lower(token).isin(SMALL_WORDS)
+        small = F.lower(token).rlike(_SMALL)
         before = F.get(all_tokens, index - 1)
         two_before = F.get(all_tokens, index - 2)
         starts_clause = F.coalesce(
             ((before == " ") & two_before.rlike("[-:]$")) | (before == '"'), F.lit(False))
         lowered = small & (index > 0) & ~starts_clause
-        untouched = (token.rlike(r"^\p{Alpha}.*\p{Upper}") | (F.length(token) == 1)
-                     | token.isin(UNTOUCHED_WORDS) | token.rlike("^'.*'$"))
+        untouched = token.rlike(_UNTOUCHED)
         upper_first = F.concat(F.upper(F.substring(token, 1, 1)),
                                F.substring(token, 2, 2147483647))
         return (F.when(lowered, F.lower(token)).when(untouched, token)

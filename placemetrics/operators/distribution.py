@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from placemetrics.functions.semantics import as_column
 from placemetrics.operators.joins import join_null_safe, scalar
+from placemetrics.storage import written_once
 
 __all__ = ["value_positions", "summarise", "medians", "approximate_medians", "median_of_column"]
 
@@ -74,47 +75,44 @@ def summarise(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
     First pass: the aggregates, and from a sketch a bracket around the middle of every
     column, with a rank error of at most one ``ACCURACY``-th of the group.  Second
     pass: values below a bracket are only counted, those inside are counted one by
-    one and ordered.  All columns share the two passes.
+    one and ordered.  All columns share the two passes.  The first one runs when this
+    function is called.
     """
     names = list(medians)
-    values = {f"__v{i}": as_column(c).cast("double") for i, c in enumerate(medians.values())}
-    rows = df.withColumns(values)
-    brackets = []
-    for value in values:
-        sketch = F.percentile_approx(
-            value, [0.5 - 2.5 / ACCURACY, 0.5 + 2.5 / ACCURACY], ACCURACY)
-        small = F.count(value) <= SMALL_GROUP
-        brackets.append(F.struct(
-            F.count(value).alias("n"),
-            F.when(small, F.min(value)).otherwise(F.get(sketch, F.lit(0))).alias("low"),
-            F.when(small, F.max(value)).otherwise(F.get(sketch, F.lit(1))).alias("high"),
-        ).alias(f"__b{value[3:]}"))
-    first = rows.groupBy(*keys).agg(*aggregates, *brackets)
-    bracket_names = [f"__b{value[3:]}" for value in values]
-    placed = _per_group(rows.select(*keys, *values), first.select(*keys, *bracket_names), keys,
-                        bracket_names)
+    n = range(len(names))
+    rows = df.withColumns({f"__v{i}": as_column(c).cast("double")
+                           for i, c in enumerate(medians.values())})
+    # Plain SQL text: these expressions repeat per column and need no Column objects.
+    probabilities = f"array({0.5 - 2.5 / ACCURACY}D, {0.5 + 2.5 / ACCURACY}D)"
+    brackets = [f"""named_struct('n', count(__v{i}),
+        'low', CASE WHEN count(__v{i}) <= {SMALL_GROUP} THEN min(__v{i})
+               ELSE get(percentile_approx(__v{i}, {probabilities}, {ACCURACY}), 0) END,
+        'high', CASE WHEN count(__v{i}) <= {SMALL_GROUP} THEN max(__v{i})
+                ELSE get(percentile_approx(__v{i}, {probabilities}, {ACCURACY}), 1) END)
+        AS __b{i}""" for i in n]
+    # One small row per group, written once: the second pass joins it at its known size,
+    # normally as a broadcast, so the raw rows are read twice and never moved by key.
+    first = written_once(rows.groupBy(*keys).agg(*aggregates, *[F.expr(b) for b in brackets]))
+    bracket_names = [f"__b{i}" for i in n]
+    placed = _per_group(rows.select(*keys, *[f"__v{i}" for i in n]),
+                        first.select(*keys, *bracket_names), keys, bracket_names)
     # Each value up to the upper end of its bracket; NULL stands for "below the bracket".
-    found = F.array(*[
-        F.when(F.col(v) <= F.col(f"{b}.high"), F.struct(
-            F.lit(i).alias("measure"), F.col(f"{b}.n").alias("n"),
-            F.when(F.col(v) >= F.col(f"{b}.low"), F.col(v)).alias("value")))
-        for i, (v, b) in enumerate(zip(values, bracket_names))])
-    counts = (placed.select(*keys, F.explode(found).alias("f")).filter(F.col("f").isNotNull())
+    found = ", ".join(f"""CASE WHEN __v{i} <= __b{i}.high THEN named_struct('measure', {i},
+        'n', __b{i}.n, 'value', CASE WHEN __v{i} >= __b{i}.low THEN __v{i} END) END""" for i in n)
+    counts = (placed.select(*keys, F.expr(f"explode(array({found}))").alias("f"))
+              .filter("f IS NOT NULL")
               .groupBy(*keys, "f").agg(F.count(F.lit(1)).alias("__equal"))
               .select(*keys, "f.*", "__equal"))
     so_far = (Window.partitionBy(*keys, "measure").orderBy(F.col("value").asc_nulls_first())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ordered = counts.withColumn("__upto", F.sum("__equal").over(so_far))
-
-    def at(position: Column, measure: int) -> Column:
-        hit = ((F.col("measure") == measure) & (F.col("__upto") >= position)
-               & (F.col("__upto") - F.col("__equal") < position))
-        return F.max(F.when(hit, F.col("value")))
-
-    lower = F.floor((F.col("n") + 1) / 2)
-    upper = F.floor(F.col("n") / 2) + 1
-    middles = ordered.groupBy(*keys).agg(*[
-        ((at(lower, i) + at(upper, i)) / 2).alias(name) for i, name in enumerate(names)])
+    ordered = counts.withColumn("__upto", F.sum("__equal").over(so_far)).selectExpr(
+        *[f"`{k}`" for k in keys], "measure", "value",
+        "__upto >= floor((n + 1) / 2) AND __upto - __equal < floor((n + 1) / 2) AS __lower",
+        "__upto > floor(n / 2) AND __upto - __equal <= floor(n / 2) AS __upper")
+    middles = ordered.groupBy(*keys).agg(*[F.expr(
+        f"(max(CASE WHEN measure = {i} AND __lower THEN value END)"
+        f" + max(CASE WHEN measure = {i} AND __upper THEN value END)) / 2").alias(name)
+        for i, name in enumerate(names)])
     summary = first.drop(*bracket_names)
     if keys:
         return join_null_safe(summary, middles, keys, "left")

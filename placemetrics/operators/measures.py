@@ -153,8 +153,8 @@ def location_quotient(cells: DataFrame, place: str, member: str, value: str,
     The national total is the nation's own figure for ``all_member``, not a sum of
     places, because the places need not cover the nation.
     """
-    whole = scalar(national.filter(F.col(member) == all_member), F.max("national"))
-    shares = national.select(member, divide("national", whole).alias("national_share"))
+    shares = relative_to(national, "national", F.col(member) == all_member,
+                         "national_share").select(member, "national_share")
     joined = join_null_safe(cells, place_totals, [place], "inner")
     joined = join_null_safe(joined, shares, [member], "inner")
     return (joined.withColumn(share, divide(value, "total"))
@@ -263,26 +263,26 @@ def map_layer(places: DataFrame, role: str, metric: str, metric_label: str, name
               with_radius: bool = True) -> DataFrame:
     """M-12: the rows of one role with marker size, colour bin and label.
 
-    Smallest, largest and mean metric come as one scalar each; the layer itself is
-    a filter and a projection over the places.
+    Provinces stay without a metric, cities do not (``require_metric``).
     """
     rows = places.filter(F.col("dev_role") == role)
     if require_metric:
         rows = rows.filter(F.col(metric).isNotNull())
-    # One row: extremes and mean, then the bin width in steps so that each
-    # intermediate is worked out once.
-    stats = (rows.agg(F.min(metric).cast("double").alias("low"),
-                      F.max(metric).cast("double").alias("high"), F.avg(metric).alias("mean"))
-             .withColumn("cell", raw_cell("low", "high", bins))
-             .withColumn("step", pretty_step("cell")))
-    rows = rows.withColumn("__stats", stats.select(F.struct("high", "mean", "step")).scalar())
+    # A layer has one row per place, so its extremes and mean come from a window; each
+    # step towards the bin width is worked out once.
+    layer = whole_table()
+    rows = (rows.withColumns({
+        "__low": F.min(metric).over(layer).cast("double"),
+        "__high": F.max(metric).over(layer).cast("double"), "__mean": F.avg(metric).over(layer)})
+        .withColumn("__cell", raw_cell("__low", "__high", bins))
+        .withColumn("__step", pretty_step("__cell")))
     value = F.col(metric).cast("double")
-    low_edge, high_edge = pretty_bin(value, "__stats.high", "__stats.step")
+    low_edge, high_edge = pretty_bin(value, "__high", "__step")
     added = {
         "bin_low": low_edge, "bin_high": high_edge,
         "label": F.concat(as_column(name), F.lit(f" - {metric_label}: "),
                           F.coalesce(metric_text, F.lit("NA"))),
     }
     if with_radius:
-        added["radius"] = F.pow(divide(value, F.col("__stats.mean")) * 100, F.lit(RADIUS_POWER))
-    return rows.withColumns(added).drop("__stats")
+        added["radius"] = F.pow(divide(value, F.col("__mean")) * 100, F.lit(RADIUS_POWER))
+    return rows.withColumns(added).drop("__low", "__high", "__mean", "__cell", "__step")

@@ -31,23 +31,26 @@ def city_names(spark: SparkSession) -> DataFrame:
     return t.pairs(spark, t.CONSOLIDATED_CITIES, "city_so string, city_consolidated string")
 
 
-def provinces(spark: SparkSession, folder: str) -> DataFrame:
+def provinces(spark: SparkSession, folder: str, sheet: DataFrame | None = None) -> DataFrame:
+    sheet = t.national_sheet(spark, folder) if sheet is None else sheet
     employment = places.province_employment(*t.employment_tables(spark, folder))
     consolidations = t.pairs(spark, t.CONSOLIDATED_PROVINCES,
                              "province_original string, province_consolidated string")
-    return places.province_shares(t.national_sheet(spark, folder), employment, consolidations)
+    return places.province_shares(sheet, employment, consolidations)
 
 
-def cities(spark: SparkSession, folder: str) -> DataFrame:
+def cities(spark: SparkSession, folder: str, sheet: DataFrame | None = None) -> DataFrame:
+    sheet = t.national_sheet(spark, folder) if sheet is None else sheet
     statistics = places.city_statistics(*t.city_tables(spark, folder))
     names = t.pairs(spark, t.STATISTICAL_NAMES, "city_statcan string, city_consolidated string")
-    return places.city_table(t.national_sheet(spark, folder), statistics, city_names(spark), names,
-                             provinces(spark, folder))
+    return places.city_table(sheet, statistics, city_names(spark), names,
+                             provinces(spark, folder, sheet))
 
 
 def quotients(spark: SparkSession, folder: str) -> DataFrame:
-    return roles.role_city_quotients(t.national_sheet(spark, folder), cities(spark, folder),
-                                     city_names(spark), role_labels(spark))
+    sheet = t.national_sheet(spark, folder)
+    return roles.role_city_quotients(sheet, cities(spark, folder, sheet), city_names(spark),
+                                     role_labels(spark))
 
 
 def abroad(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,6 +107,11 @@ def on(build, plan):
     return lambda spark, folder: plan(build(spark, folder))
 
 
+def scale_factor(spark: SparkSession, folder: str) -> DataFrame:
+    sheet = t.national_sheet(spark, folder)
+    return places.scale_factor(sheet, provinces(spark, folder, sheet))
+
+
 # --- country --------------------------------------------------------------------
 
 register("country_years", countries, "SELECT * FROM cy", ["cy"])
@@ -171,7 +179,7 @@ register("provinces_in_fixed_order",
          WHEN 'ontario' THEN 6 WHEN 'quebec' THEN 7 WHEN 'atlantic canada' THEN 8 END
          AS province_ord, visitors_share FROM prov""", ["prov"])
 register("city_scale_factor",
-         lambda s, d: places.scale_factor(t.national_sheet(s, d), provinces(s, d)),
+         scale_factor,
          """SELECT (SELECT national FROM nat WHERE dev_role = 'all developers')
          / sum(visitors) AS scale_factor FROM prov""", ["nat", "prov"])
 register("city_statistics",

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from placemetrics.functions.semantics import if_known
 from placemetrics.operators.measures import normalise_salary, parse_experience
 from placemetrics.operators.reshape import pack_options
 from placemetrics.plans.places import ALL_ROLES
 from placemetrics.plans.survey import HOME, REST_OF_WORLD, region_of
-from placemetrics.sources.files import written_once
+from placemetrics.storage import written_once
 
 FIRST_YEAR_SHIFT = 16
 
@@ -225,8 +226,15 @@ INDUSTRY_CONSOLIDATIONS = {
 }
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table whose schema is looked up once per session, not once per use."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def pairs(spark: SparkSession, table: dict, columns: str) -> DataFrame:
@@ -249,12 +257,16 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
 
 
+def _option_list(options: dict[str, str]) -> Column:
+    return pack_options([F.expr(f"CASE WHEN {test} THEN '{label.replace(chr(39), chr(39) * 2)}' END")
+                         for label, test in options.items()])
+
+
 def respondents(spark: SparkSession, folder: str) -> DataFrame:
     """The harmonised table of respondents."""
     df = answers(spark, folder).select(
         *[F.expr(sql).alias(name) for name, sql in ANSWERS.items()],
-        *[pack_options({label: F.expr(sql) for label, sql in options.items()}).alias(name)
-          for name, options in OPTIONS.items()])
+        *[_option_list(options).alias(name) for name, options in OPTIONS.items()])
     df = df.withColumns({
         "region": region_of(F.col("country"), F.col("is_eu")),
         "region_carow_label": if_known(F.col("country") == "canada", F.lit(HOME),
