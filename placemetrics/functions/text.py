@@ -21,7 +21,7 @@ __all__ = [
 # Words a title keeps in lower case unless they come first.
 SMALL_WORDS = [
     "a", "and", "are", "as", "at", "be", "but", "by", "en", "for", "from", "if", "in",
-    "into", "is", "nor", "not", "of", "on", "or", "per", "so", "than", "that", "the",
+    "into", "is", "nor", "not", "of", "on", "or", "per", "so", "than", "that", "the", "to",
     "v", "v.", "via", "vs", "vs.", "with",
 ]
 

@@ -76,8 +76,10 @@ def summarise(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
     column, with a rank error of at most one ``ACCURACY``-th of the group.  Second
     pass: values below a bracket are only counted, those inside are counted one by
     one and ordered.  All columns share the two passes.  The first one runs when this
-    function is called.
+    function is called; without any median there is one ordinary lazy aggregate.
     """
+    if not medians:
+        return df.groupBy(*keys).agg(*aggregates)
     names = list(medians)
     n = range(len(names))
     rows = df.withColumns({f"__v{i}": as_column(c).cast("double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +37,27 @@ def country_years(respondents: DataFrame, population: DataFrame,
     return joined.withColumn("respondents_per_capita", divide("respondents", "population_2016"))
 
 
-def country_years_prodevs(respondents: DataFrame) -> DataFrame:
+MEDIANS = ["median_salary_cad", "median_salary_usd", "median_salary_intl_dollar",
+           "median_pro_experience_years", "median_salary_cad_males", "median_salary_cad_females"]
+
+
+def country_years_prodevs(respondents: DataFrame, wanted: Sequence[str] = MEDIANS) -> DataFrame:
     """Salary and experience of professional developers per country and year.
 
     All counts, means and medians, also those split by gender, come from one
-    summary instead of a join per pivoted statistic.
+    summary instead of a join per pivoted statistic.  Callers name the medians they
+    use, because medians take a second pass.
     """
     rows = respondents.filter(present("country") & (F.col("pro_status") == PRO_DEV))
     male, female = (F.when(F.col("gender") == g, F.col("salary_cad")) for g in ("male", "female"))
+    medians = {
+        "median_salary_cad": "salary_cad",
+        "median_salary_usd": "salary_usd",
+        "median_salary_intl_dollar": "salary_intl_dollar",
+        "median_pro_experience_years": "pro_experience_mid_year",
+        "median_salary_cad_males": male,
+        "median_salary_cad_females": female,
+    }
     summary = summarise(rows, COUNTRY_KEYS, [
         F.count(F.lit(1)).alias("respondents"),
         money_mean("salary_cad").alias("mean_salary_cad"),
@@ -55,17 +70,12 @@ def country_years_prodevs(respondents: DataFrame) -> DataFrame:
         .alias("respondents_share_pro_experience_bin_above_15"),
         count_present(male).alias("n_salary_responses_males"),
         count_present(female).alias("n_salary_responses_females"),
-    ], {
-        "median_salary_cad": "salary_cad",
-        "median_salary_usd": "salary_usd",
-        "median_salary_intl_dollar": "salary_intl_dollar",
-        "median_pro_experience_years": "pro_experience_mid_year",
-        "median_salary_cad_males": male,
-        "median_salary_cad_females": female,
-    })
-    return add_share(summary, "respondents", "respondents_share", ["year"]).withColumn(
-        "salary_pc_diff_females_males",
-        growth("median_salary_cad_females", "median_salary_cad_males"))
+    ], {name: medians[name] for name in wanted})
+    shares = add_share(summary, "respondents", "respondents_share", ["year"])
+    if {"median_salary_cad_males", "median_salary_cad_females"} - set(wanted):
+        return shares
+    return shares.withColumn("salary_pc_diff_females_males", growth(
+        "median_salary_cad_females", "median_salary_cad_males"))
 
 
 def region_years(respondents: DataFrame) -> DataFrame:

@@ -61,20 +61,24 @@ STATUS_ORDER = ["employed full-time", "independent contractor, freelancer, or se
 STATUSES_LEFT_OUT = ["retired", "i prefer not to say"]
 
 
-def _counts_with_salary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return summarise(rows, keys, [F.count(F.lit(1)).alias("respondents"),
-                                  count_present("salary_cad").alias("n_salary_responses")],
+def _counts(rows: DataFrame, keys: list[str], with_salary: bool) -> DataFrame:
+    """Respondents per group; salary figures only on request, as medians read the rows again."""
+    counts = [F.count(F.lit(1)).alias("respondents")]
+    if not with_salary:
+        return summarise(rows, keys, counts, {})
+    return summarise(rows, keys, [*counts, count_present("salary_cad").alias("n_salary_responses")],
                      {"median_salary_cad": "salary_cad"})
 
 
 # --- company --------------------------------------------------------------------
 
-def company_types(respondents: DataFrame, labels: DataFrame) -> DataFrame:
+def company_types(respondents: DataFrame, labels: DataFrame,
+                  with_salary: bool = True) -> DataFrame:
     known = F.when(F.col("company_type") == "something else: ", "other").otherwise(
         F.col("company_type"))
     rows = respondents.withColumn("company_type", F.when(not_in("company_type", NO_ANSWER), known))
     rows = latest(rows, "region_carow_label", "company_type", pro_status=PRO_DEV)
-    counts = _counts_with_salary(rows, ["region_carow_label", "company_type"])
+    counts = _counts(rows, ["region_carow_label", "company_type"], with_salary)
     counts = lookup(counts, labels, "company_type", ["company_type_label"])
     return add_share(counts, "respondents", "respondents_share", ["region_carow_label"]).withColumn(
         "company_type_label", recode_by_pattern("company_type", COMPANY_TYPE_RULES,
@@ -113,9 +117,9 @@ def company_sizes_wide(sizes: DataFrame) -> DataFrame:
 
 # --- industry -------------------------------------------------------------------
 
-def industries(respondents: DataFrame) -> DataFrame:
+def industries(respondents: DataFrame, with_salary: bool = True) -> DataFrame:
     rows = latest(respondents, "region_carow_label", "industry_original", pro_status=PRO_DEV)
-    counts = _counts_with_salary(rows, ["region_carow_label", "industry_original"])
+    counts = _counts(rows, ["region_carow_label", "industry_original"], with_salary)
     return add_share(counts, "respondents", "respondents_share", ["region_carow_label"]).withColumn(
         "industry_original_label", recode_by_pattern("industry_original", INDUSTRY_RULES,
                                                      title_case("industry_original")))

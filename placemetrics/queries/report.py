@@ -19,8 +19,13 @@ def countries(spark: SparkSession, folder: str) -> DataFrame:
                                  t.country_names(spark))
 
 
-def developers(spark: SparkSession, folder: str) -> DataFrame:
-    return country.country_years_prodevs(t.respondents(spark, folder))
+def developers(*medians: str):
+    return lambda spark, folder: country.country_years_prodevs(t.respondents(spark, folder),
+                                                               medians)
+
+
+CAD, PPP = "median_salary_cad", "median_salary_intl_dollar"
+BY_GENDER = ["median_salary_cad_males", "median_salary_cad_females"]
 
 
 def role_labels(spark: SparkSession) -> DataFrame:
@@ -74,10 +79,18 @@ def language_years(spark: SparkSession, folder: str) -> DataFrame:
     return languages.language_years(t.respondents(spark, folder), language_labels(spark))
 
 
+def company_type_labels(spark: SparkSession) -> DataFrame:
+    return t.pairs(spark, t.COMPANY_TYPE_LABELS, "company_type string, company_type_label string")
+
+
 def company_types(spark: SparkSession, folder: str) -> DataFrame:
-    labels = t.pairs(spark, t.COMPANY_TYPE_LABELS, "company_type string, company_type_label string")
-    return rounded(workplaces.company_types(t.respondents(spark, folder), labels),
-                   "median_salary_cad", digits=6)
+    return rounded(workplaces.company_types(t.respondents(spark, folder),
+                                            company_type_labels(spark)), CAD, digits=6)
+
+
+def company_type_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return workplaces.company_types(t.respondents(spark, folder), company_type_labels(spark),
+                                    with_salary=False)
 
 
 def company_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,6 +102,10 @@ def industries(spark: SparkSession, folder: str) -> DataFrame:
                    digits=6)
 
 
+def industry_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return workplaces.industries(t.respondents(spark, folder), with_salary=False)
+
+
 def industry_years(spark: SparkSession, folder: str) -> DataFrame:
     return workplaces.industry_years(t.respondents(spark, folder))
 
@@ -116,7 +133,7 @@ def scale_factor(spark: SparkSession, folder: str) -> DataFrame:
 
 register("country_years", countries, "SELECT * FROM cy", ["cy"])
 register("country_prodev_summary",
-         on(developers, lambda df: rounded(rounded(
+         on(developers(*country.MEDIANS), lambda df: rounded(rounded(
              df, *[c for c in df.columns if c.startswith("median")], digits=6),
              "mean_pro_experience_years", "salary_pc_diff_females_males")),
          """SELECT * REPLACE (
@@ -375,10 +392,10 @@ register("language_home_to_world_ratio",
 # --- companies, industries, employment --------------------------------------------
 
 register("company_types", company_types, "SELECT * FROM ct", ["ct"])
-register("company_types_sorted", on(company_types, workplaces.company_types_sorted),
+register("company_types_sorted", on(company_type_shares, workplaces.company_types_sorted),
          """SELECT company_type_label, region_carow_label, respondents_share FROM ct
          WHERE company_type <> 'other'""", ["ct"])
-register("company_types_side_by_side", on(company_types, workplaces.company_types_wide),
+register("company_types_side_by_side", on(company_type_shares, workplaces.company_types_wide),
          """SELECT company_type,
          max(respondents_share) FILTER (region_carow_label = 'Canada') AS "Canada",
          max(respondents_share) FILTER (region_carow_label = 'ROW') AS "ROW"
@@ -395,21 +412,21 @@ register("company_sizes_by_region", on(company_sizes, workplaces.company_sizes_w
          f"""SELECT company_size, size_ord, {_BY_REGION} FROM
          (SELECT *, respondents_share AS v FROM cs) GROUP BY 1, 2""", ["cs"])
 register("industries", industries, "SELECT * FROM ind", ["ind"])
-register("top_industries", on(industries, lambda df: workplaces.top_industries(df, n=4)),
+register("top_industries", on(industry_shares, lambda df: workplaces.top_industries(df, n=4)),
          """SELECT industry_original, industry_original_label, respondents_share FROM ind
          WHERE region_carow_label = 'Canada' AND industry_original_label IN (
            SELECT industry_original_label FROM ind WHERE region_carow_label = 'Canada'
            QUALIFY rank() OVER (ORDER BY respondents_share DESC) <= 4)""", ["ind"])
-register("industry_sample_size", on(industries, workplaces.n_industry_respondents),
+register("industry_sample_size", on(industry_shares, workplaces.n_industry_respondents),
          """SELECT CAST(sum(respondents) AS BIGINT) AS respondents FROM ind
          WHERE region_carow_label = 'Canada'""", ["ind"])
 register("software_and_web_share",
-         on(industries, lambda df: rounded(workplaces.industry_subset_share(df),
+         on(industry_shares, lambda df: rounded(workplaces.industry_subset_share(df),
                                            "respondents_share")),
          """SELECT round(sum(respondents_share), 9) AS respondents_share FROM ind
          WHERE region_carow_label = 'Canada'
          AND industry_original IN ('software', 'internet or web services')""", ["ind"])
-register("other_leading_industries", on(industries, workplaces.industry_subset),
+register("other_leading_industries", on(industry_shares, workplaces.industry_subset),
          """SELECT industry_original, respondents_share FROM ind
          WHERE region_carow_label = 'Canada' AND industry_original IN (
            'finance, banking, or insurance', 'health care services', 'consulting',
@@ -473,25 +490,25 @@ register("employment_sample_size",
 _ENOUGH = "year = 2017 AND n_salary_responses >= 20"
 _ENOUGH_PPP = _ENOUGH + " AND n_salary_intl_dollar_responses >= 20"
 register("top_salary_countries",
-         on(developers, lambda df: rounded(salary.top_salary_countries(df, n=10).drop("text"),
+         on(developers(CAD), lambda df: rounded(salary.top_salary_countries(df, n=10).drop("text"),
                                            "median_salary_cad", digits=6)),
          f"""SELECT country, {title_sql('country')} AS country_label,
          round(median_salary_cad, 6) AS median_salary_cad FROM pd WHERE {_ENOUGH}
          QUALIFY rank() OVER (ORDER BY median_salary_cad DESC) <= 10""", ["pd"])
-register("salary_countries", on(developers, salary.n_salary_countries),
+register("salary_countries", on(developers(), salary.n_salary_countries),
          f"SELECT count(*) AS countries FROM pd WHERE {_ENOUGH}", ["pd"])
 register("home_salary_rank",
-         on(developers, lambda df: rounded(salary.salary_rank(df), "median_salary_cad", digits=6)),
+         on(developers(CAD), lambda df: rounded(salary.salary_rank(df), "median_salary_cad", digits=6)),
          f"""SELECT country, rank, round(median_salary_cad, 6) AS median_salary_cad,
          n_salary_responses FROM (SELECT *, CAST(rank() OVER (ORDER BY median_salary_cad DESC)
          AS INTEGER) AS rank FROM pd WHERE {_ENOUGH}) WHERE country = 'canada'""", ["pd"])
 register("one_country_salary",
-         on(developers, lambda df: rounded(salary.one_country_salary(df), "median_salary_cad",
+         on(developers(CAD), lambda df: rounded(salary.one_country_salary(df), "median_salary_cad",
                                            digits=6)),
          """SELECT country, mean_salary_cad, round(median_salary_cad, 6) AS median_salary_cad,
          n_salary_responses FROM pd WHERE year = 2017 AND country = 'united states'""", ["pd"])
 register("salary_ranks_market_and_ppp",
-         on(developers, lambda df: rounded(
+         on(developers(CAD, PPP), lambda df: rounded(
              salary.market_and_ppp(df, minimum=15, n=10), "median_salary_ind")),
          f"""SELECT country, region_carow_label, currency, round(ind, 9) AS median_salary_ind,
          median_salary_rank, regexp_replace(CAST(median_salary_rank AS VARCHAR), '\\.0$', '')
@@ -507,9 +524,9 @@ register("salary_ranks_market_and_ppp",
              WHERE year = 2017 AND country = 'canada') FROM pd WHERE year = 2017
              AND n_salary_responses >= 15 AND n_salary_intl_dollar_responses >= 15)
          QUALIFY rank() OVER (PARTITION BY currency ORDER BY ind DESC) <= 10)""", ["pd"])
-register("ppp_countries", on(developers, lambda df: salary.n_salary_countries(df, ppp=True)),
+register("ppp_countries", on(developers(), lambda df: salary.n_salary_countries(df, ppp=True)),
          f"SELECT count(*) AS countries FROM pd WHERE {_ENOUGH_PPP}", ["pd"])
-register("home_ppp_rank", on(developers, salary.ppp_rank),
+register("home_ppp_rank", on(developers(PPP), salary.ppp_rank),
          f"""SELECT rk AS median_salary_intl_dollar_rank FROM (SELECT country,
          rank() OVER (ORDER BY median_salary_intl_dollar DESC)
          + (count(*) OVER (PARTITION BY median_salary_intl_dollar) - 1) / 2 AS rk
@@ -632,7 +649,7 @@ register("male_female_ratio",
          CAST(sum(respondents) FILTER (gender = 'female') AS BIGINT) AS female
          FROM g GROUP BY 1, 2)""", ["g"])
 register("pay_gap",
-         on(developers, lambda df: rounded(people.pay_gap(df, minimum=8), *[
+         on(developers(*BY_GENDER), lambda df: rounded(people.pay_gap(df, minimum=8), *[
              "median_salary_cad_males", "median_salary_cad_females",
              "salary_pc_diff_females_males"], digits=6)),
          f"""SELECT country, {title_sql('country')} AS country_label,
@@ -642,7 +659,7 @@ register("pay_gap",
          FROM pd WHERE year = 2017 AND n_salary_responses_males >= 8
          AND n_salary_responses_females >= 8""", ["pd"])
 register("pay_at_home",
-         on(developers, lambda df: rounded(people.pay_at_home(df), "median_salary_cad_males",
+         on(developers(*BY_GENDER), lambda df: rounded(people.pay_at_home(df), "median_salary_cad_males",
                                            "median_salary_cad_females", digits=6)),
          """SELECT year, country, round(median_salary_cad_males, 6) AS median_salary_cad_males,
          round(median_salary_cad_females, 6) AS median_salary_cad_females
