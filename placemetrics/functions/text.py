@@ -108,11 +108,13 @@ _ACCENTED, _PLAIN = _ascii_table()
 
 def to_ascii(column: Column | str) -> Column:
     """Latin letters without accents and ligatures (rule N24)."""
-    column = F.translate(as_column(column), _ACCENTED, _PLAIN)
+    text = as_column(column)
+    folded = F.translate(text, _ACCENTED, _PLAIN)
     for letter, base in PLAIN_FORMS.items():
         if len(base) > 1:
-            column = F.replace(column, F.lit(letter), F.lit(base))
-    return column
+            folded = F.replace(folded, F.lit(letter), F.lit(base))
+    # Most texts are plain already; testing for that is cheaper than translating.
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
 def replace_all(column: Column | str, rules: Iterable[tuple[str, str]]) -> Column:

@@ -41,10 +41,11 @@ def value_positions(df: DataFrame, value: str, within: Sequence[str] = (),
                     ranges: int = RANGES) -> DataFrame:
     """Per distinct value of a group: how many rows equal it and how many lie below.
 
-    Columns: ``within``, ``value``, ``n_equal``, ``n_below``, ``n_group``.
+    Columns: ``within``, ``value``, ``n_equal``, ``n_below``, ``n_group``.  The counts of
+    distinct values are written once, so that ``df`` itself is read a single time.
     """
-    counts = (df.filter(F.col(value).isNotNull())
-              .groupBy(*within, value).agg(F.count(F.lit(1)).alias("n_equal")))
+    counts = written_once(df.filter(F.col(value).isNotNull())
+                          .groupBy(*within, value).agg(F.count(F.lit(1)).alias("n_equal")))
     cuts = counts.groupBy(*within).agg(F.percentile_approx(
         value, [i / ranges for i in range(1, ranges)], 50 * ranges).alias("__cuts"))
     ranged = _per_group(counts, cuts, within, ["__cuts"]).withColumn(
