@@ -31,8 +31,8 @@ def country_years(respondents: DataFrame, population: DataFrame,
     shares = share_of_group(respondents.filter(present("country")), COUNTRY_KEYS, ["year"])
     population = population.withColumn("country", F.lower("country"))
     if country_names is not None:
-        population = recode_by_lookup(population, country_names, "country", "country_wb",
-                                      "country_so")
+        population = recode_by_lookup(population, country_names, "country", "country_in_population",
+                                      "country_in_survey")
     joined = lookup(shares, population, "country", ["population_2016"])
     return joined.withColumn("respondents_per_capita", divide("respondents", "population_2016"))
 

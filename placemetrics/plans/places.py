@@ -9,11 +9,11 @@ from placemetrics.functions.semantics import divide, growth, matches, strict_sum
 from placemetrics.functions.text import (CITY_RULES, rank_label, replace_all, slug, times_label,
                                          title_case, to_ascii)
 from placemetrics.operators.joins import join_null_safe, lookup, scalar
-from placemetrics.operators.measures import concentration, relative_to, scaled_share
+from placemetrics.operators.measures import concentration, scaled_share
 from placemetrics.operators.ranking import add_position, add_rank, arrange, top_n
 from placemetrics.operators.reshape import (keep_first, select_between, stack_tables, to_long,
                                             to_wide, with_literal_order)
-from placemetrics.plans.common import LATEST_YEAR, present, total
+from placemetrics.plans.common import LATEST_YEAR, present
 
 ALL_ROLES = "all developers"
 
@@ -87,7 +87,7 @@ def city_traffic(sheet: DataFrame, city_names: DataFrame) -> DataFrame:
     """Traffic per role and consolidated city, in long form."""
     long = to_long(select_between(sheet, *CITY_RANGE, ids=["dev_role"]), "city", "visitors",
                    ids=["dev_role"])
-    joined = join_null_safe(long, city_names, {"city": "city_so"}, "inner")
+    joined = join_null_safe(long, city_names, {"city": "city_in_traffic"}, "inner")
     return joined.groupBy("dev_role", "city_consolidated").agg(
         strict_sum("visitors").alias("visitors"))
 
@@ -96,8 +96,8 @@ def city_table(sheet: DataFrame, statistics: DataFrame, city_names: DataFrame,
                statistics_names: DataFrame, provinces: DataFrame) -> DataFrame:
     """Cities with traffic scaled to the nation and their concentration ratio."""
     traffic = all_roles_row(city_traffic(sheet, city_names)).drop("dev_role")
-    names = statistics_names.withColumn("city_statcan", canonical_city("city_statcan"))
-    named = join_null_safe(statistics, names, {"city": "city_statcan"}, "full")
+    names = statistics_names.withColumn("city_in_statistics", canonical_city("city_in_statistics"))
+    named = join_null_safe(statistics, names, {"city": "city_in_statistics"}, "full")
     employed = named.groupBy("city_consolidated").agg(
         strict_sum("employees").alias("employees"), strict_sum("population").alias("population"))
     cities = join_null_safe(traffic, employed, ["city_consolidated"], "inner")
@@ -196,18 +196,7 @@ def city_growth(cities: DataFrame, minimum: float = 1e5, first: int = 2016,
     return arrange(grown, "pc_growth")
 
 
-def covered_visitors(provinces: DataFrame) -> DataFrame:
-    return total(provinces, "visitors", "visitors")
-
-
 def scale_factor(sheet: DataFrame, provinces: DataFrame) -> DataFrame:
     """National visitors over the sum of the provinces."""
     return provinces.agg(divide(F.max(national_visitors(sheet)), F.sum("visitors"))
                          .alias("scale_factor"))
-
-
-def relative_to_city(cities: DataFrame, city: str, country: str,
-                     year: int = LATEST_YEAR) -> DataFrame:
-    rows = cities.filter(F.col("year") == year)
-    return relative_to(rows, "visitors", (F.col("city") == city) & (F.col("country") == country),
-                       "visitors_ind")

@@ -15,9 +15,9 @@ from placemetrics.functions.text import (clean_packed, comma_label, drop_parenth
 from placemetrics.operators.distribution import median_of_column, medians
 from placemetrics.operators.joins import (drop_members, full_join, keep_members,
                                           lookup, recode_by_lookup, scalar)
-from placemetrics.operators.measures import (add_share, concentration, count_histogram,
-                                             member_share, members_per_entity, normalise_salary,
-                                             share_of_group)
+from placemetrics.operators.measures import (add_share, compare_members, concentration,
+                                             count_histogram, growth_between_ends, member_share,
+                                             members_per_entity, normalise_salary, share_of_group)
 from placemetrics.operators.ranking import add_rank, arrange, keep_maximum, rank_of, top_n
 from placemetrics.operators.reshape import (explode_packed, keep_first, pack_coded_options,
                                             pack_options, stack_tables, to_long, to_wide)
@@ -325,6 +325,32 @@ register("summed_columns",
          "SELECT l_linestatus, " + ", ".join(
              f"CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) AS {c}" for c in _MEASURES)
          + " FROM lineitem GROUP BY 1")
+register("growth_between_ends",
+         lambda s, d: growth_between_ends(
+             t.answers(s, d).groupBy("n_name", F.year("o_orderdate").alias("year")).agg(
+                 F.count(F.lit(1)).alias("orders")), "orders", ["n_name"], "year", "growth"),
+         """SELECT n_name, arg_max(orders, year) / arg_min(orders, year) - 1 AS growth FROM (
+         SELECT n_name, year(o_orderdate) AS year, count(*) AS orders FROM orders
+         JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+         GROUP BY 1, 2) GROUP BY 1""")
+
+
+def segments_of_two_regions(spark, folder):
+    shares = share_of_group(customers(spark, folder), ["r_name", "c_mktsegment"], ["r_name"],
+                            "customers", "share")
+    return rounded(compare_members(shares, ["c_mktsegment"], "r_name", "share", "ASIA", "EUROPE",
+                                   {"ASIA": "asia", "EUROPE": "europe"}),
+                   "pc_diff", "pp_diff")
+
+
+register("compare_two_members", segments_of_two_regions, """SELECT c_mktsegment, asia, europe,
+    asia / europe AS ratio, round(asia / europe - 1, 9) AS pc_diff,
+    round(asia - europe, 9) AS pp_diff FROM (
+    SELECT c_mktsegment, max(share) FILTER (r_name = 'ASIA') AS asia,
+    max(share) FILTER (r_name = 'EUROPE') AS europe FROM (SELECT r_name, c_mktsegment,
+      count(*) / sum(count(*)) OVER (PARTITION BY r_name) AS share FROM customer
+      JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+      GROUP BY 1, 2) GROUP BY 1)""")
 register("growth_without_base",
          lambda s, d: t.read(s, d, "events").groupBy("user_id").agg(
              growth(F.count_if(F.col("event_type") == "purchase"),

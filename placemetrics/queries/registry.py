@@ -166,7 +166,7 @@ TABLES: dict[str, tuple[Sequence[str], str]] = {
         f"({i}, {quoted(p)}, {quoted(t.CONSOLIDATED_PROVINCES.get(p))}, "
         f"{quoted(t.CONSOLIDATED_CITIES.get(p))}, {quoted(t.STATISTICAL_CITIES.get(p))})"
         for i, p in enumerate([*t.PROVINCES, *t.CITIES]))
-        + ") v(nationkey, place, province, city, statcan)"),
+        + ") v(nationkey, place, province, city, stat_name)"),
     "nat": (("tv",), "SELECT dev_role, CAST(sum(visitors) AS BIGINT) AS national FROM tv GROUP BY 1"),
     "lab": ((), literal_rows(t.ROLE_LABELS, "dev_role, dev_role_label")),
     "prov_emp": (("place",), """SELECT place, avg(n) * 100 AS employees FROM (
@@ -180,11 +180,11 @@ TABLES: dict[str, tuple[Sequence[str], str]] = {
               CASE WHEN count(employees) = count(*) THEN sum(employees) END AS employees
               FROM tv JOIN place ON s_nationkey = nationkey LEFT JOIN prov_emp USING (place)
               WHERE province IS NOT NULL AND dev_role = 'all developers' GROUP BY 1)"""),
-    "city_names": ((), literal_rows(t.STATISTICAL_NAMES, "statcan, city_consolidated")),
-    "stat": (("place",), """SELECT statcan, CAST(count(*) FILTER (c_acctbal > 2000) AS DOUBLE) * 1000
+    "city_names": ((), literal_rows(t.STATISTICAL_NAMES, "stat_name, city_consolidated")),
+    "stat": (("place",), """SELECT stat_name, CAST(count(*) FILTER (c_acctbal > 2000) AS DOUBLE) * 1000
         AS employees, CAST(count(*) AS DOUBLE) AS population FROM customer
         JOIN place ON c_nationkey = nationkey
-        WHERE statcan IS NOT NULL AND NOT regexp_matches(statcan, '(?i)(ontario|quebec) part')
+        WHERE stat_name IS NOT NULL AND NOT regexp_matches(stat_name, '(?i)(ontario|quebec) part')
         GROUP BY 1"""),
     "cities": (("tv", "place", "prov", "nat", "stat", "city_names"), """
         SELECT *, visitors_share_scaled / employees_share AS visitor_employee_ratio FROM (
@@ -196,7 +196,7 @@ TABLES: dict[str, tuple[Sequence[str], str]] = {
               JOIN place ON s_nationkey = nationkey
               WHERE city IS NOT NULL AND dev_role = 'all developers' GROUP BY 1)
         JOIN (SELECT city_consolidated, sum(employees) AS employees, sum(population) AS population
-              FROM stat JOIN city_names USING (statcan) GROUP BY 1) USING (city_consolidated)
+              FROM stat JOIN city_names USING (stat_name) GROUP BY 1) USING (city_consolidated)
         CROSS JOIN (SELECT national, CAST(national AS DOUBLE)
                     / (SELECT sum(visitors) FROM prov) AS scale FROM nat
                     WHERE dev_role = 'all developers'))"""),

@@ -33,7 +33,7 @@ def role_labels(spark: SparkSession) -> DataFrame:
 
 
 def city_names(spark: SparkSession) -> DataFrame:
-    return t.pairs(spark, t.CONSOLIDATED_CITIES, "city_so string, city_consolidated string")
+    return t.pairs(spark, t.CONSOLIDATED_CITIES, "city_in_traffic string, city_consolidated string")
 
 
 def provinces(spark: SparkSession, folder: str, sheet: DataFrame | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def provinces(spark: SparkSession, folder: str, sheet: DataFrame | None = None)
 def cities(spark: SparkSession, folder: str, sheet: DataFrame | None = None) -> DataFrame:
     sheet = t.national_sheet(spark, folder) if sheet is None else sheet
     statistics = places.city_statistics(*t.city_tables(spark, folder))
-    names = t.pairs(spark, t.STATISTICAL_NAMES, "city_statcan string, city_consolidated string")
+    names = t.pairs(spark, t.STATISTICAL_NAMES, "city_in_statistics string, city_consolidated string")
     return places.city_table(sheet, statistics, city_names(spark), names,
                              provinces(spark, folder, sheet))
 
@@ -201,11 +201,11 @@ register("city_scale_factor",
          / sum(visitors) AS scale_factor FROM prov""", ["nat", "prov"])
 register("city_statistics",
          lambda s, d: places.city_statistics(*t.city_tables(s, d)),
-         """SELECT CASE statcan WHEN 'Ottawa-Gatineau, Ontario/Quebec' THEN 'ottawa  -  gatineau'
+         """SELECT CASE stat_name WHEN 'Ottawa-Gatineau, Ontario/Quebec' THEN 'ottawa  -  gatineau'
             WHEN 'Montréal, Quebec' THEN 'montreal' WHEN 'Québec, Quebec' THEN 'quebec city'
             WHEN 'Kitchener-Cambridge-Waterloo, Ontario'
             THEN 'Kitchener  -  Cambridge  -  Waterloo'
-            ELSE regexp_replace(statcan, ',.*', '') END AS city, employees, population FROM stat
+            ELSE regexp_replace(stat_name, ',.*', '') END AS city, employees, population FROM stat
          UNION ALL SELECT 'Canada', CAST(count(*) FILTER (c_acctbal > 2000) AS DOUBLE) * 1000,
             CAST(count(*) AS DOUBLE) FROM customer""", ["stat"])
 _CITY_COLUMNS = """visitors, round(visitors_scaled, 9) AS visitors_scaled,

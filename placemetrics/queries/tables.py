@@ -286,7 +286,7 @@ def population(spark: SparkSession, folder: str) -> DataFrame:
 def country_names(spark: SparkSession) -> DataFrame:
     """Two countries go by another name in the population table."""
     return pairs(spark, {"nation_24": "united states", "nation_1": "canada"},
-                 "country_wb string, country_so string")
+                 "country_in_population string, country_in_survey string")
 
 
 def role_visits(spark: SparkSession, folder: str) -> DataFrame:
@@ -362,9 +362,9 @@ def city_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 def city_sheet(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers as cities of the world with one column of visits per year."""
     years = range(1995, 2002)
-    visits = read(spark, folder, "lineitem").groupBy("l_suppkey").agg(*[
+    visits = written_once(read(spark, folder, "lineitem").groupBy("l_suppkey").agg(*[
         F.count_if(F.year("l_shipdate") == y).alias(f"Developers{y + FIRST_YEAR_SHIFT}")
-        for y in years])
+        for y in years]))
     named = (visits.join(read(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
              .join(read(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")))
     toronto = F.col("s_suppkey") == 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,26 +15,26 @@ from placemetrics.sources.files import read_csv
 __all__ = ["SCHEMAS", "read_mapping", "Mappings", "read_mappings", "currency_names",
            "purchasing_power"]
 
-# Columns of each lookup file.
+# Columns of each kind of lookup file, in file order.
 SCHEMAS = {
-    "city-so-mappings": "city_so string, city_consolidated string",
-    "city-statcan-mappings": "city_statcan string, city_consolidated string",
-    "company-type-mappings": "company_type string, company_type_label string",
-    "country-label-corrections":
-        "original_country_label string, corrected_country_label string",
-    "country-metadata": "country string, is_eu boolean, currency_code string",
-    "country-wb-so-mappings": "country_wb string, country_so string",
-    "currency-mappings": "currency_name string, currency_code string, currency_per_usd double",
-    "dev-role-survey-mappings": "dev_role string, dev_role_label string",
-    "dev-role-traffic-mappings": "dev_role string, dev_role_label string",
-    "employment-status-consolidations":
+    "traffic cities": "city_in_traffic string, city_consolidated string",
+    "statistics cities": "city_in_statistics string, city_consolidated string",
+    "company types": "company_type string, company_type_label string",
+    "country corrections": "original_country_label string, corrected_country_label string",
+    "country metadata": "country string, is_eu boolean, currency_code string",
+    "population countries": "country_in_population string, country_in_survey string",
+    "currencies": "currency_name string, currency_code string, currency_per_usd double",
+    "survey roles": "dev_role string, dev_role_label string",
+    "traffic roles": "dev_role string, dev_role_label string",
+    "employment statuses":
         "employment_status_original string, employment_status_consolidated string",
-    "industry-consolidations": "industry_original string, industry_consolidated string",
-    "intl-city-country-mappings": "city string, country string",
-    "language-metadata": "language string, language_label string, "
-                         "is_back_end_language boolean, is_front_end_language boolean",
-    "major-mappings": "major string, major_group string",
-    "province-consolidations": "province_original string, province_consolidated string",
+    "industries": "industry_original string, industry_consolidated string",
+    "world cities": "city string, country string",
+    "languages": "language string, language_label string, "
+                 "is_back_end_language boolean, is_front_end_language boolean",
+    "majors": "major string, major_group string",
+    "provinces": "province_original string, province_consolidated string",
+    "purchasing power": "country string, local_currency_per_intl_dollar double",
 }
 
 
@@ -49,8 +50,9 @@ class Mappings:
     purchasing_power: DataFrame
 
 
-def read_mapping(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_csv(spark, f"{folder}/{name}.csv", SCHEMAS[name])
+def read_mapping(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A lookup file of a known kind; columns go by position, whatever the header says."""
+    return read_csv(spark, path, SCHEMAS[kind])
 
 
 def currency_names(currencies: DataFrame) -> DataFrame:
@@ -66,13 +68,16 @@ def purchasing_power(rates: DataFrame, corrections: DataFrame) -> DataFrame:
                             "corrected_country_label")
 
 
-def read_mappings(spark: SparkSession, folder: str, ppp_path: str) -> Mappings:
-    corrections = read_mapping(spark, folder, "country-label-corrections")
-    rates = read_csv(spark, ppp_path, "country string, local_currency_per_intl_dollar double")
+def read_mappings(spark: SparkSession, paths: Mapping[str, str]) -> Mappings:
+    """The lookup tables of harmonising, given the path of each kind of file."""
+    def read(kind: str) -> DataFrame:
+        return read_mapping(spark, paths[kind], kind)
+
+    corrections = read("country corrections")
     return Mappings(
         country_corrections=corrections,
-        country_metadata=read_mapping(spark, folder, "country-metadata"),
-        industries=read_mapping(spark, folder, "industry-consolidations"),
-        employment_statuses=read_mapping(spark, folder, "employment-status-consolidations"),
-        currencies=currency_names(read_mapping(spark, folder, "currency-mappings")),
-        purchasing_power=purchasing_power(rates, corrections))
+        country_metadata=read("country metadata"),
+        industries=read("industries"),
+        employment_statuses=read("employment statuses"),
+        currencies=currency_names(read("currencies")),
+        purchasing_power=purchasing_power(read("purchasing power"), corrections))

@@ -11,9 +11,9 @@ from placemetrics.storage import written_once
 
 
 def test_mapping_with_mark_and_missing_values(spark, tmp_path):
-    text = "﻿city_so,city_consolidated\rcalgary,calgary\rvancouver_city,NA\r"
-    (tmp_path / "city-so-mappings.csv").write_text(text, encoding="utf-8")
-    df = read_mapping(spark, str(tmp_path), "city-so-mappings")
+    text = "﻿city_in_traffic,city_consolidated\rcalgary,calgary\rvancouver_city,NA\r"
+    (tmp_path / "cities.csv").write_text(text, encoding="utf-8")
+    df = read_mapping(spark, str(tmp_path / "cities.csv"), "traffic cities")
     assert sorted(map(tuple, df.collect())) == [("calgary", "calgary"), ("vancouver_city", None)]
 
 
@@ -61,17 +61,17 @@ def test_written_once_uses_the_checkpoint_folder(spark):
     assert df.count() == 5 and all(folder in f for f in df.inputFiles())
 
 
-def test_mappings_folder(spark, tmp_path):
+def test_mappings(spark, tmp_path):
     samples = {
-        "country-label-corrections": "korea south,south korea",
-        "country-metadata": "canada,FALSE,cad", "industry-consolidations": "internet,web",
-        "employment-status-consolidations": "retired,retired",
-        "currency-mappings": "Canadian dollars (C$),cad,1.32"}
-    for name, line in samples.items():
-        header = ",".join(c.split()[0] for c in SCHEMAS[name].split(", "))
-        (tmp_path / f"{name}.csv").write_text(f"{header}\n{line}\n")
-    (tmp_path / "ppp.csv").write_text("Country Name,2016\nKorea South,890.5\n")
-    found = read_mappings(spark, str(tmp_path), str(tmp_path / "ppp.csv"))
+        "country corrections": "korea south,south korea", "country metadata": "canada,FALSE,cad",
+        "industries": "internet,web", "employment statuses": "retired,retired",
+        "currencies": "Canadian dollars (C$),cad,1.32", "purchasing power": "Korea South,890.5"}
+    paths = {kind: str(tmp_path / f"{kind.replace(' ', '-')}.csv") for kind in samples}
+    for kind, line in samples.items():
+        header = ",".join(c.split()[0] for c in SCHEMAS[kind].split(", "))
+        with open(paths[kind], "w") as file:
+            file.write(f"{header}\n{line}\n")
+    found = read_mappings(spark, paths)
     assert found.currencies.first()["currency_name"] == "canadian dollars"
     assert tuple(found.purchasing_power.first()) == ("south korea", 890.5)
     assert found.country_metadata.first()["is_eu"] is False
