@@ -77,8 +77,8 @@ def yearly_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
     fourth = _rows(spark, folder, YEARS[2017]).select(
         F.col("o_orderkey").alias("x_RespondentID"),
         *[F.expr(sql).alias(name) for name, sql in texts.items()], *coded)
-    layout = spark.createDataFrame([(k, v, "Nominal") for k, v in LABELS.items()],
-                                   ["Variable", "Label", "Measurement Level"])
+    layout = t.pairs(spark, {k: (v, "Nominal") for k, v in LABELS.items()},
+                     "Variable string, Label string, Measurement Level string")
     return [survey_2014(first, ["X0", "X1"]), survey_2015(second), survey_2016(third),
             survey_2017(fourth, layout)]
 

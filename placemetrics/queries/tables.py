@@ -18,6 +18,7 @@ from placemetrics.operators.measures import normalise_salary, parse_experience
 from placemetrics.operators.reshape import pack_options
 from placemetrics.plans.places import ALL_ROLES
 from placemetrics.plans.survey import HOME, REST_OF_WORLD, region_of
+from placemetrics.sources.files import inline_table
 from placemetrics.storage import written_once
 
 FIRST_YEAR_SHIFT = 16
@@ -239,8 +240,8 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def pairs(spark: SparkSession, table: dict, columns: str) -> DataFrame:
     """A lookup table from a literal mapping."""
-    return spark.createDataFrame([(k, *(v if isinstance(v, tuple) else (v,)))
-                                  for k, v in table.items()], columns)
+    return inline_table(spark, [(k, *(v if isinstance(v, tuple) else (v,)))
+                                for k, v in table.items()], columns)
 
 
 def from_mapping(column: str, mapping: dict) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +49,22 @@ def keep_named_rows(df: DataFrame, column: str, names: Sequence[str]) -> DataFra
     return df.filter(F.lower(column).isin(list(names)))
 
 
+_ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(),
+                "double": pa.float64(), "boolean": pa.bool_()}
+
+
 def inline_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """A literal lookup table, given ``"name type, ..."``.
+
+    It goes in as an Arrow table, which Spark keeps as a local relation of known size;
+    rows handed over as Python objects would have no size, and a join with them would
+    shuffle the other side.
+    """
+    fields = [field.strip().rsplit(" ", 1) for field in schema.split(",")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    table = pa.table({name: pa.array(list(column), _ARROW_TYPES[kind])
+                      for (name, kind), column in zip(fields, columns)})
+    return spark.createDataFrame(table)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

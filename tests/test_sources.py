@@ -5,8 +5,10 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placemetrics.sources import (SCHEMAS, read_csv, read_csv_after, read_mapping, read_mappings,
-                                  write_by_year, write_csv, write_features)
+from placemetrics.operators import drop_matching, rename_by, select_matching
+from placemetrics.sources import (SCHEMAS, inline_table, keep_named_rows, read_csv, read_csv_after,
+                                  read_mapping, read_mappings, write_by_year, write_csv,
+                                  write_features)
 from placemetrics.storage import written_once
 
 
@@ -39,6 +41,21 @@ def test_leading_lines_are_skipped_also_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_inline_table_has_a_known_size(spark):
+    df = inline_table(spark, [("a", 1, None), ("b", None, 2.5)], "k string, n int, Some x double")
+    assert sorted(map(tuple, df.collect())) == [("a", 1, None), ("b", None, 2.5)]
+    joined = spark.range(10).selectExpr("CAST(id AS STRING) AS k").join(df, "k", "left")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    assert keep_named_rows(df, "k", ["b"]).count() == 1
+
+
+def test_column_selection(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a1 int, a2 int, b int")
+    assert select_matching(df, "^a").columns == ["a1", "a2"]
+    assert drop_matching(df, "^a").columns == ["b"]
+    assert rename_by(df, lambda names: [n.upper() for n in names]).columns == ["A1", "A2", "B"]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("paris", 2016, 1.5), ("rome", 2017, None)],
                                "city string, year int, v double")
