@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from placemetrics.llm import rule_ledger
+from placemetrics.llm import line_index, quality_gam, rule_ledger
 
 QUERIES = {
+    "op1_quality_gam": quality_gam.op1_quality_gam,
+    "op6_line_index": line_index.op6_line_index,
     "op10_rule_ledger": rule_ledger.op10_rule_ledger,
 }
 
 SQL = {
+    "op6_line_index": line_index.OP6_SQL,
     "op10_rule_ledger": rule_ledger.OP10_SQL,
 }
