@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from placemetrics.llm import kernel_langid, line_index, quality_gam, rule_ledger, swap_packing
+from placemetrics.llm import kernel_langid, line_index, quality_gam, rule_ledger, spot_signatures, swap_packing
 
 QUERIES = {
     "op1_quality_gam": quality_gam.op1_quality_gam,
+    "op2_spot_signatures": spot_signatures.op2_spot_signatures,
     "op5_swap_packing": swap_packing.op5_swap_packing,
     "op6_line_index": line_index.op6_line_index,
     "op7_kernel_langid": kernel_langid.op7_kernel_langid,
