@@ -38,6 +38,8 @@ SETTLED = 0.985
 DONORS = 32
 #: Chunks whose ids a worker remembers, at most, and the longest of them.
 REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+#: Characters whose words are held at once.
+BLOCK = 1 << 20
 #: Latin text without unusual spaces or combining marks: there every white space ends a word.
 _UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u024f]|<\\|")
 
@@ -60,7 +62,18 @@ class Tokens:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The texts' ids, worked out for about BLOCK characters at a time."""
+        block, size = [], 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+    def _block(self, texts: list[str]) -> list[bytes]:
         plain = [None if _UNUSUAL.search(t) else t.lower().split() for t in texts]
         get = self.known.get
         found = [None if chunks is None else list(map(get, chunks)) for chunks in plain]
