@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from placemetrics.llm import kernel_langid, line_index, lsh_forest, quality_gam, rule_ledger, spot_signatures, swap_packing
+from placemetrics.llm import kernel_langid, line_index, lsh_forest, quality_gam, rule_ledger, spot_signatures, suffix_dedup, swap_packing
 
 QUERIES = {
     "op1_quality_gam": quality_gam.op1_quality_gam,
     "op2_spot_signatures": spot_signatures.op2_spot_signatures,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_lsh_forest": lsh_forest.op4_lsh_forest,
     "op5_swap_packing": swap_packing.op5_swap_packing,
     "op6_line_index": line_index.op6_line_index,
