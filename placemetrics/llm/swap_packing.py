@@ -37,7 +37,7 @@ SETTLED = 0.985
 #: Emptiest bins that a bin tries to exchange with, in each pass.
 DONORS = 32
 #: Chunks whose ids a worker remembers, at most, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+REMEMBERED, REMEMBERED_CHARS = 800_000, 64
 #: Characters whose words are held at once.
 BLOCK = 1 << 20
 #: Latin text without unusual spaces or combining marks: there every white space ends a word.
@@ -57,6 +57,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self.whole([".", ","]), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -73,14 +74,23 @@ class Tokens:
                 block, size = [], 0
         yield from self._block(block)
 
+    def _learned(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of new chunks; a word with a stop or comma behind it is its word's ids and the mark's."""
+        marked = {c for c in missing if c[-1] in self.marks and c[:-1].isalpha()}
+        new = list((missing - marked) | {c[:-1] for c in marked if c[:-1] not in self.known})
+        learned = dict(zip(new, self.whole(new), strict=True))
+        for c in marked:
+            word = self.known.get(c[:-1])
+            learned[c] = (learned[c[:-1]] if word is None else word) + self.marks[c[-1]]
+        return learned
+
     def _block(self, texts: list[str]) -> list[bytes]:
         plain = [None if _UNUSUAL.search(t) else t.lower().split() for t in texts]
         get = self.known.get
         found = [None if chunks is None else list(map(get, chunks)) for chunks in plain]
         missing = {c for chunks, values in zip(plain, found, strict=True) if values is not None and None in values
                    for c, value in zip(chunks, values, strict=True) if value is None}
-        new = list(missing)
-        learned = dict(zip(new, self.whole(new), strict=True))
+        learned = self._learned(missing)
         out = []
         for text, chunks, values in zip(texts, plain, found, strict=True):
             if values is None:
