@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placemetrics.llm import kernel_langid, line_index, lsh_forest, pfair_mixing, quality_gam, rule_ledger, spot_signatures, suffix_dedup, swap_packing
+from placemetrics.llm import kernel_langid, line_index, lsh_forest, pfair_mixing, quality_gam, rule_ledger, spot_signatures, suffix_dedup, surrogates, swap_packing
 
 QUERIES = {
     "op1_quality_gam": quality_gam.op1_quality_gam,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_index": line_index.op6_line_index,
     "op7_kernel_langid": kernel_langid.op7_kernel_langid,
     "op8_pfair_mixing": pfair_mixing.op8_pfair_mixing,
+    "op9_surrogates": surrogates.op9_surrogates,
     "op10_rule_ledger": rule_ledger.op10_rule_ledger,
 }
 
