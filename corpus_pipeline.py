@@ -45,8 +45,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; equal rows once."""
     kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"])
+
+    def only_kept(rows: DataFrame) -> DataFrame:
+        return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+    return _beside(docs, ("kept_id",), only_kept).dropDuplicates(["doc_id", "text"])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
