@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,15 @@ _PLACES = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)],
 BLOCK = 1 << 20
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it (unless it is installed)."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
@@ -42,6 +52,7 @@ def _own_folder() -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back: cuts lineage, survives executors."""
+    importable(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

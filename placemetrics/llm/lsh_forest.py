@@ -2,9 +2,9 @@
 
 1. Every text becomes its set of shingles; equal sets become one node, named by its smallest
    doc_id.  A node's signature has one minimum per bin of the hash range.
-2. The signature bins are dealt to ORDERS sorted orders.  In each order a node meets the
-   rows next to it, those with the longest common prefix; where many rows share a prefix, a
-   neighbour is one with a deeper prefix.  A common prefix of LEAST_DEPTH bins is needed.
+2. The signature bins are dealt to ORDERS sorted orders.  In each order a node meets the rows
+   next to it.  A common prefix of LEAST_DEPTH bins is needed; in a crowded region, where many
+   rows share that, the depth adapts: only the longest common prefixes count.
 3. A crowded region (many rows with one prefix) also compares each row with its hubs: the
    rows that agree most often with the region's commonest key over all orders.
 4. Candidates whose signatures agree enough are confirmed on the full sets, first the best
@@ -35,6 +35,8 @@ BINS, ORDERS, KEY_BINS = 128, 12, 10
 LEAST_DEPTH = 3
 #: Rows after a row, in each order, that it is compared with.
 NEXT = 6
+#: Rows after a row in a crowded region that it is compared with if their prefixes tie.
+TIES = 2
 #: Rows with one prefix from which on a region is crowded, and its hubs.
 CROWDED, HUBS = 48, 8
 #: Agreement of two signatures below which a pair is not confirmed on the full sets: four
@@ -105,9 +107,17 @@ def forest(nodes: DataFrame) -> DataFrame:
 
 
 def _next_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows at most NEXT apart with a common prefix; and the partition's end rows (b is null)."""
+    """Pairs of rows at most NEXT apart with a common prefix; and the partition's end rows (b is null).
+
+    Where the last CROWDED rows all have the least prefix in common, a pair counts only if it
+    has the longest common prefix of one of the two rows, and ties only TIES rows on.
+    """
     names = ["a", "b", "tree", "key"]
-    tree, prefix, node = np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    tree, keys, node = np.zeros(0, np.int32), np.zeros((0, KEY_BINS), np.uint16), np.zeros(0, np.int64)
+
+    def depth(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(tree[x] == tree[y], np.logical_and.accumulate(keys[x] == keys[y], 1).sum(1), 0)
+
     started, last = False, None
     for batch in batches:
         if not batch.num_rows:
@@ -116,22 +126,24 @@ def _next_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = batch.slice(0, NEXT)
             yield pa.RecordBatch.from_arrays([head.column(2), pa.nulls(head.num_rows, pa.int64()), head.column(0), head.column(1)], names)
             started = True
-        keys = batch.column(1).to_pylist()
-        short = b"".join(k[: 2 * LEAST_DEPTH].ljust(8, b"\0") for k in keys)
         kept = len(tree)
         tree = np.r_[tree, batch.column(0).to_numpy()]
-        prefix = np.r_[prefix, np.frombuffer(short, ">u8").astype(np.uint64)]
+        keys = np.r_[keys, np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, KEY_BINS)]
         node = np.r_[node, batch.column(2).to_numpy()]
+        beside = np.r_[0, depth(np.arange(len(node) - 1), np.arange(1, len(node)))]  # with the row before
+        longest = np.maximum(beside, np.r_[beside[1:], 0])
         found = []
         for step in range(1, NEXT + 1):
             at = np.arange(max(step, kept), len(node))
-            same = (tree[at] == tree[at - step]) & (prefix[at] == prefix[at - step])
-            found.append(np.stack([node[at[same] - step], node[at[same]]], 1))
+            common = depth(at - step, at)
+            crowded = (at >= CROWDED) & (depth(np.maximum(at - CROWDED, 0), at) >= LEAST_DEPTH)
+            good = (common >= LEAST_DEPTH) & (~crowded | ((step <= TIES) & (common >= np.minimum(longest[at], longest[at - step]))))
+            found.append(np.stack([node[at[good] - step], node[at[good]]], 1))
         pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
         n = len(pairs)
         yield pa.RecordBatch.from_arrays(
             [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        tree, prefix, node = tree[-NEXT:], prefix[-NEXT:], node[-NEXT:]
+        tree, keys, node = tree[-CROWDED:], keys[-CROWDED:], node[-CROWDED:]
         tail = batch.slice(max(0, batch.num_rows - NEXT))
         last = tail if last is None or tail.num_rows == NEXT else pa.Table.from_batches([last, tail]).combine_chunks().to_batches()[0]
     if last is not None:
