@@ -35,9 +35,9 @@ from placemetrics.llm.induced_sort import Workspace, suffix_order
 WINDOW, GRAM = 400, 32
 #: Bytes of text of one shard, about; memory of its queues and arrays before they go to disk;
 #: symbols of a string of names that are ordered in memory.
-SHARD_BYTES, SORT_MEMORY, IN_MEMORY = 2 << 20, 64 << 20, 4 << 20
-#: Different blocks with one gram from which on they are spread over shards.
-SPLIT = 2000
+SHARD_BYTES, SORT_MEMORY, IN_MEMORY = 1 << 20, 64 << 20, 4 << 20
+#: Different blocks with one gram, about 2 MB of text, from which on they are spread over shards.
+SPLIT = 4096
 #: Window starts looked at together.
 BLOCK = 1 << 20
 
@@ -166,7 +166,8 @@ def repeated_windows(frame: pd.DataFrame, memory: int = SORT_MEMORY, in_memory:
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(row, first, last): intervals of window starts whose window starts elsewhere too."""
     found = stored(occurrences(docs), "blocks")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # written, so that the join below reads two shuffles and Spark can split a gram with many rows
+    grams = stored(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
     candidates = stored(found.join(grams, "gram"), "repeated")
     kinds = candidates.groupBy("gram", "block").agg(
         F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("one"))

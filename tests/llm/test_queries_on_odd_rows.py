@@ -87,7 +87,7 @@ def removed_by_brute_force(rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("split", [2000, 1])
+@pytest.mark.parametrize("split", [4096, 1])
 def test_op3_removes_what_brute_force_removes(spark, folder, odd_rows, monkeypatch, split):
     monkeypatch.setattr(suffix_dedup, "SPLIT", split)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 20_000)
