@@ -103,14 +103,26 @@ def _ascii_table() -> tuple[str, str]:
     return "".join(accented), "".join(plain)
 
 
+# Punctuation and signs with a plain form.
+PLAIN_PUNCTUATION = {
+    "\u00a0": " ", "\u2002": " ", "\u2003": " ", "\u2009": " ", "\u202f": " ", "\u3000": " ",
+    "‘": "'", "’": "'", "‚": ",", "‛": "'", "“": '"', "”": '"', "„": ",,", "‟": '"',
+    "‹": "<", "›": ">", "«": "<<", "»": ">>", "′": "'", "″": '"',
+    "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-",
+    "…": "...", "·": ".", "•": "*", "×": "*", "÷": "/", "¡": "!", "¿": "?",
+    "©": "(C)", "®": "(R)", "™": "TM", "¼": " 1/4", "½": " 1/2", "¾": " 3/4",
+}
+
 _ACCENTED, _PLAIN = _ascii_table()
+_ACCENTED += "".join(c for c, plain in PLAIN_PUNCTUATION.items() if len(plain) == 1)
+_PLAIN += "".join(plain for plain in PLAIN_PUNCTUATION.values() if len(plain) == 1)
 
 
 def to_ascii(column: Column | str) -> Column:
-    """Latin letters without accents and ligatures (rule N24)."""
+    """Latin letters, quotes, dashes and signs in ASCII; marks after letters go (rule N24)."""
     text = as_column(column)
-    folded = F.translate(text, _ACCENTED, _PLAIN)
-    for letter, base in PLAIN_FORMS.items():
+    folded = F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"([A-Za-z])[\u0300-\u036F]+", "$1")
+    for letter, base in (PLAIN_FORMS | PLAIN_PUNCTUATION).items():
         if len(base) > 1:
             folded = F.replace(folded, F.lit(letter), F.lit(base))
     # Most texts are plain already; testing for that is cheaper than translating.

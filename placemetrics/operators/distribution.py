@@ -23,8 +23,8 @@ __all__ = ["value_positions", "summarise", "medians", "approximate_medians", "me
 
 RANGES = 64
 ACCURACY = 10000
-# Groups up to this size are ordered whole.
-SMALL_GROUP = 5000
+# Half the width of the first bracket around the middle, as a share of the group.
+FIRST_WIDTH = 2.5 / ACCURACY
 
 
 def _per_group(df: DataFrame, groups: DataFrame, within: Sequence[str],
@@ -74,31 +74,56 @@ def summarise(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
     """Aggregates and exact medians per group, NULLs left out (rules N8, N21).
 
     First pass: the aggregates, and from a sketch a bracket around the middle of every
-    column, with a rank error of at most one ``ACCURACY``-th of the group.  Second
-    pass: values below a bracket are only counted, those inside are counted one by
-    one and ordered.  All columns share the two passes.  The first one runs when this
-    function is called; without any median there is one ordinary lazy aggregate.
+    column.  Second pass: values below a bracket are only counted, those inside are
+    counted one by one and ordered.  The counts tell whether the middle ranks lie
+    inside the bracket.  Groups where one does not are passed again with a bracket
+    that is wider on both sides, in the end the whole group.  All columns share the
+    passes, which run when this function is called; without any median there is one
+    ordinary lazy aggregate.
     """
     if not medians:
         return df.groupBy(*keys).agg(*aggregates)
     names = list(medians)
-    n = range(len(names))
     rows = df.withColumns({f"__v{i}": as_column(c).cast("double")
                            for i, c in enumerate(medians.values())})
-    # Plain SQL text: these expressions repeat per column and need no Column objects.
-    probabilities = f"array({0.5 - 2.5 / ACCURACY}D, {0.5 + 2.5 / ACCURACY}D)"
-    brackets = [f"""named_struct('n', count(__v{i}),
-        'low', CASE WHEN count(__v{i}) <= {SMALL_GROUP} THEN min(__v{i})
-               ELSE get(percentile_approx(__v{i}, {probabilities}, {ACCURACY}), 0) END,
-        'high', CASE WHEN count(__v{i}) <= {SMALL_GROUP} THEN max(__v{i})
-                ELSE get(percentile_approx(__v{i}, {probabilities}, {ACCURACY}), 1) END)
-        AS __b{i}""" for i in n]
     # One small row per group, written once: the second pass joins it at its known size,
     # normally as a broadcast, so the raw rows are read twice and never moved by key.
-    first = written_once(rows.groupBy(*keys).agg(*aggregates, *[F.expr(b) for b in brackets]))
-    bracket_names = [f"__b{i}" for i in n]
-    placed = _per_group(rows.select(*keys, *[f"__v{i}" for i in n]),
-                        first.select(*keys, *bracket_names), keys, bracket_names)
+    first = written_once(rows.groupBy(*keys).agg(
+        *aggregates, *[F.expr(_bracket(i, FIRST_WIDTH)) for i in range(len(names))]))
+    brackets = [f"__b{i}" for i in range(len(names))]
+    found = written_once(_middles(rows, first.select(*keys, *brackets), keys, names))
+    settled, width = found.filter("__inside"), FIRST_WIDTH
+    while not (missed := found.filter("NOT __inside").select(*keys)).isEmpty():
+        width *= 20
+        again = join_null_safe(rows, missed, keys, "left_semi") if keys else rows
+        wider = written_once(again.groupBy(*keys).agg(
+            *[F.expr(_bracket(i, width)) for i in range(len(names))]))
+        found = written_once(_middles(again, wider, keys, names))
+        settled = settled.union(found.filter("__inside"))
+    middles = settled.drop("__inside")
+    summary = first.drop(*brackets)
+    if keys:
+        return join_null_safe(summary, middles, keys, "left")
+    return summary.withColumn("__m", scalar(middles, F.first(F.struct(*names)))).select(
+        *summary.columns, *[F.col(f"__m.{n}").alias(n) for n in names])
+
+
+def _bracket(i: int, width: float) -> str:
+    """Count and two cuts around the middle of column ``__v<i>``, as plain SQL text."""
+    if width >= 0.5:
+        cuts = f"min(__v{i}), 'high', max(__v{i})"
+    else:
+        cut = f"percentile_approx(__v{i}, array({0.5 - width}D, {0.5 + width}D), {ACCURACY})"
+        cuts = f"get({cut}, 0), 'high', get({cut}, 1)"
+    return f"named_struct('n', count(__v{i}), 'low', {cuts}) AS __b{i}"
+
+
+def _middles(rows: DataFrame, brackets: DataFrame, keys: Sequence[str],
+             names: Sequence[str]) -> DataFrame:
+    """Per group the median of every column, and whether all middles lay in their brackets."""
+    n = range(len(names))
+    placed = _per_group(rows.select(*keys, *[f"__v{i}" for i in n]), brackets, keys,
+                        [f"__b{i}" for i in n])
     # Each value up to the upper end of its bracket; NULL stands for "below the bracket".
     found = ", ".join(f"""CASE WHEN __v{i} <= __b{i}.high THEN named_struct('measure', {i},
         'n', __b{i}.n, 'value', CASE WHEN __v{i} >= __b{i}.low THEN __v{i} END) END""" for i in n)
@@ -112,15 +137,17 @@ def summarise(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
         *[f"`{k}`" for k in keys], "measure", "value",
         "__upto >= floor((n + 1) / 2) AND __upto - __equal < floor((n + 1) / 2) AS __lower",
         "__upto > floor(n / 2) AND __upto - __equal <= floor(n / 2) AS __upper")
-    middles = ordered.groupBy(*keys).agg(*[F.expr(
-        f"(max(CASE WHEN measure = {i} AND __lower THEN value END)"
-        f" + max(CASE WHEN measure = {i} AND __upper THEN value END)) / 2").alias(name)
-        for i, name in enumerate(names)])
-    summary = first.drop(*bracket_names)
-    if keys:
-        return join_null_safe(summary, middles, keys, "left")
-    return summary.withColumn("__m", scalar(middles, F.first(F.struct(*names)))).select(
-        *summary.columns, *[F.col(f"__m.{n}").alias(n) for n in names])
+    ends = [F.expr(f"max(CASE WHEN measure = {i} AND {end} THEN value END)").alias(f"{end}{i}")
+            for i in n for end in ("__lower", "__upper")]
+    middles = ordered.groupBy(*keys).agg(*ends)
+    together = (join_null_safe(brackets, middles, keys, "left") if keys
+                else _per_group(brackets, middles, [], [c for i in n for c in (f"__lower{i}", f"__upper{i}")]))
+    inside = " AND ".join(
+        f"(__b{i}.n = 0 OR (__lower{i} IS NOT NULL AND __upper{i} IS NOT NULL))" for i in n)
+    return together.selectExpr(
+        *[f"`{k}`" for k in keys],
+        *[f"(__lower{i} + __upper{i}) / 2 AS `{name}`" for i, name in enumerate(names)],
+        f"{inside} AS __inside")
 
 
 def medians(df: DataFrame, columns: Mapping[str, Column | str],

@@ -23,14 +23,19 @@ def top_n(df: DataFrame, n: int, by: str, within: Sequence[str] = (),
           smallest: bool = False) -> DataFrame:
     """The n best rows per group with all ties; rows without a weight drop out (rule N15).
 
-    Filtering a rank lets Spark cut every partition to its own n best (and ties)
-    before the shuffle, so a large group is never moved whole.
+    Equal weights are counted with map-side partials.  Only the n best distinct weights
+    of each partition and group are ordered; those with fewer than n better rows name
+    the rows to keep, so any number of tied rows is neither moved nor sorted.
     """
     order = F.col(by).asc() if smallest else F.col(by).desc()
     window = (Window.partitionBy(*within) if within else Window).orderBy(order)
-    return (df.filter(F.col(by).isNotNull())
-            .withColumn("__rank", F.rank().over(window))
-            .filter(F.col("__rank") <= n).drop("__rank"))
+    weights = (df.filter(F.col(by).isNotNull()).groupBy(*within, by)
+               .agg(F.count(F.lit(1)).alias("__n"))
+               .withColumn("__place", F.row_number().over(window)).filter(F.col("__place") <= n))
+    better = F.sum("__n").over(window.rowsBetween(Window.unboundedPreceding, -1))
+    kept = (weights.withColumn("__better", F.coalesce(better, F.lit(0)))
+            .filter(F.col("__better") < n).select(*within, by))
+    return join_null_safe(df, kept, [*within, by], "left_semi")
 
 
 def add_rank(df: DataFrame, by: str, into: str, within: Sequence[str] = (),

@@ -57,9 +57,8 @@ def one_language(regions: DataFrame, language: str, region: str = HOME) -> DataF
 
 def languages_per_person(respondents: DataFrame) -> DataFrame:
     """Number of languages of each professional developer at home."""
-    rows = explode_members(pro_devs_at_home(respondents, "languages")
-                           .select("respondent_id", "languages"), "languages", "language")
-    return members_per_entity(rows, ["respondent_id"], "n_languages")
+    rows = pro_devs_at_home(respondents, "languages").filter(F.size("languages") > 0)
+    return rows.groupBy("respondent_id").agg(F.sum(F.size("languages")).alias("n_languages"))
 
 
 def language_count_histogram(respondents: DataFrame) -> DataFrame:

@@ -146,9 +146,25 @@ CITY_LABELS = [
 ]
 
 
+# The growth figure renames two cities only.
+GROWTH_CITY_LABELS = [
+    ("london", "united kingdom", "London, UK"),
+    ("central district", None, "Hong Kong"),
+]
+
+
 def city_label(city: Column, country: Column) -> Column:
+    """Label in the comparison of cities."""
     label = F.when(matches(city, "qu.*bec"), "Quebec City").otherwise(title_case(city))
-    for name, nation, text in reversed(CITY_LABELS):
+    return _renamed(label, city, country, CITY_LABELS)
+
+
+def growth_city_label(city: Column, country: Column) -> Column:
+    return _renamed(title_case(city), city, country, GROWTH_CITY_LABELS)
+
+
+def _renamed(label: Column, city: Column, country: Column, labels: list[tuple]) -> Column:
+    for name, nation, text in reversed(labels):
         test = city == name if nation is None else (city == name) & (country == nation)
         label = F.when(test, text).otherwise(label)
     return label
@@ -168,9 +184,12 @@ def global_city_comparison(cities: DataFrame, reference: tuple[str, str] = ("tor
     both = keep_first(stack_tables(largest, national), ["city", "country"], ["source"])
     is_reference = (F.col("city") == reference[0]) & (F.col("country") == reference[1])
     base = scalar(rows.filter(is_reference), F.max("visitors"))
-    placed = add_position(both, "visitors", "position", ["city", "country"])
+    # Every one of the first n positions is among the largest; only those are numbered.
+    numbered = (add_position(largest, "visitors", "position", ["city", "country"])
+                .filter(F.col("position") <= n).select("city", "country", "position"))
+    placed = join_null_safe(both, numbered, ["city", "country"], "left")
     label = city_label(F.col("city"), F.col("country"))
-    label = F.when(F.col("position") <= n, rank_label("position", label)).otherwise(label)
+    label = F.when(F.col("position").isNotNull(), rank_label("position", label)).otherwise(label)
     placed = placed.withColumns({"city_label": label, "visitors_ind": divide("visitors", base)})
     return arrange(placed.select("city", "country", "city_group", "city_label", "visitors",
                                  "visitors_ind", times_label("visitors_ind").alias("text")),
@@ -192,7 +211,7 @@ def city_growth(cities: DataFrame, minimum: float = 1e5, first: int = 2016,
                    {first: "visitors_first", last: "visitors_last"})
     grown = wide.filter(F.col("visitors_first") >= minimum).withColumns({
         "pc_growth": growth("visitors_last", "visitors_first"),
-        "city_label": city_label(F.col("city"), F.col("country"))})
+        "city_label": growth_city_label(F.col("city"), F.col("country"))})
     return arrange(grown, "pc_growth")
 
 

@@ -14,7 +14,7 @@ from placemetrics.operators.joins import join_null_safe, keep_members, lookup, s
 from placemetrics.operators.measures import (PARENT_ROLES, add_role_parents, location_quotient,
                                              member_share, relative_to, share_of_group)
 from placemetrics.operators.ranking import arrange, top_n
-from placemetrics.operators.reshape import (explode_members, select_between, stack_tables, to_long,
+from placemetrics.operators.reshape import (select_between, stack_tables, to_long,
                                             with_literal_order)
 from placemetrics.plans.common import HOME_COUNTRY, LATEST_YEAR, latest, pro_devs_at_home, row_count
 from placemetrics.plans.places import (ALL_ROLES, PROVINCE_RANGE, all_roles_row, city_traffic)
@@ -88,15 +88,15 @@ def n_with_roles(respondents: DataFrame) -> DataFrame:
 
 def any_role_share(respondents: DataFrame, pattern: str = "desktop|mobile") -> DataFrame:
     """Share of respondents with at least one role matching a pattern."""
-    rows = explode_members(respondents_with_roles(respondents), "dev_roles", "dev_role")
+    rows = respondents_with_roles(respondents).filter(F.size("dev_roles") > 0)
     per_person = rows.groupBy("respondent_id").agg(
-        F.bool_or(matches("dev_role", pattern)).alias("has_role"))
+        F.bool_or(F.exists("dev_roles", lambda role: matches(role, pattern))).alias("has_role"))
     return per_person.agg(share_of_rows(F.col("has_role")).alias("respondents_share"))
 
 
 def several_roles_share(respondents: DataFrame) -> DataFrame:
-    rows = explode_members(respondents_with_roles(respondents), "dev_roles", "dev_role")
-    per_person = rows.groupBy("respondent_id").agg(F.count(F.lit(1)).alias("n_dev_roles"))
+    rows = respondents_with_roles(respondents).filter(F.size("dev_roles") > 0)
+    per_person = rows.groupBy("respondent_id").agg(F.sum(F.size("dev_roles")).alias("n_dev_roles"))
     return per_person.agg(share_of_rows(F.col("n_dev_roles") > 1).alias("respondents_share"))
 
 
@@ -125,7 +125,7 @@ def role_city_quotients(sheet: DataFrame, cities: DataFrame, city_names: DataFra
 
 
 def top_cities_per_role(quotients: DataFrame, n: int = 5) -> DataFrame:
-    single = quotients.filter(not_in("dev_role", [*GROUP_LABELS]))
+    single = quotients.filter(F.col("dev_role_label").isin(ROLE_ORDER))
     top = top_n(single, n, "location_quotient", within=["dev_role"])
     top = top.withColumns({
         "city_label": title_case(F.regexp_replace("city_consolidated", "_", "-")),

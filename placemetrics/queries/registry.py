@@ -259,16 +259,14 @@ TABLES: dict[str, tuple[Sequence[str], str]] = {
               SELECT city, 'international', dev_role, dev_role_label, visitors_city,
               visitors_share_city, location_quotient FROM ilq LEFT JOIN lab USING (dev_role))
         JOIN parent USING (dev_role)"""),
-    "cyr": ((), f"""SELECT * FROM (UNPIVOT (SELECT city, country, {", ".join(
-        f"count(*) FILTER (year(l_shipdate) = {y}) AS y{y + 16}" for y in range(1995, 2002))}
-        FROM lineitem JOIN (SELECT s_suppkey,
-            CASE WHEN s_suppkey = 3 THEN 'toronto' ELSE lower(s_name) END AS city,
-            CASE WHEN s_suppkey = 3 OR n_regionkey = 1 THEN 'canada' ELSE lower(n_name) END
-              AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-        ON l_suppkey = s_suppkey GROUP BY s_suppkey, city, country)
-        ON {", ".join(f"y{y + 16}" for y in range(1995, 2002))} INTO NAME y VALUE visitors)"""),
-    "cty": (("cyr",), """SELECT city, country, CAST(substring(y, 2) AS INTEGER) AS year,
-        visitors FROM cyr"""),
+    "cyr": ((), """SELECT s_suppkey, CASE WHEN s_suppkey = 3 THEN 'toronto' ELSE lower(s_name) END AS city,
+        CASE WHEN s_suppkey = 3 OR n_regionkey = 1 THEN 'canada' ELSE lower(n_name) END AS country
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)"""),
+    "cty": (("cyr",), """SELECT city, country, CAST(y + 16 AS INTEGER) AS year, count(l_suppkey) AS visitors
+        FROM cyr CROSS JOIN (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem)
+        LEFT JOIN lineitem ON l_suppkey = s_suppkey AND year(l_shipdate) = y
+        GROUP BY s_suppkey, city, country, y"""),
     # languages
     "lang": ((), literal_rows(t.LANGUAGE_LABELS, "language, language_label")),
     "lr": (("devs", "lang"), """SELECT language, carow AS region_carow_label, respondents,

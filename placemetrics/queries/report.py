@@ -230,17 +230,18 @@ register("most_populous_cities_share",
 register("world_city_years", world_cities,
          "SELECT city, country, year, visitors FROM cty", ["cty"])
 register("world_city_comparison",
-         lambda s, d: places.global_city_comparison(world_cities(s, d)).drop("text"),
+         lambda s, d: places.global_city_comparison(world_cities(s, d)),
          f"""SELECT city, country, city_group,
          CASE WHEN position <= 20 THEN position || '. ' || label ELSE label END AS city_label,
-         visitors, visitors / (SELECT visitors FROM cty WHERE year = 2017 AND city = 'toronto'
+         visitors, visitors_ind, format('{{:,.2f}}x', round_even(visitors_ind, 2)) AS text
+         FROM (SELECT *, visitors / (SELECT visitors FROM cty WHERE year = 2017 AND city = 'toronto'
            AND country = 'canada') AS visitors_ind
          FROM (SELECT *, {title_sql('city')} AS label,
                row_number() OVER (ORDER BY visitors DESC, city, country) AS position
                FROM (SELECT city, country, visitors, CASE WHEN rk <= 20
                      THEN 'Top 20 Cities Globally' ELSE 'Other Canadian Cities' END AS city_group
                      FROM (SELECT *, rank() OVER (ORDER BY visitors DESC) AS rk FROM cty
-                           WHERE year = 2017) WHERE rk <= 20 OR country = 'canada'))""", ["cty"])
+                           WHERE year = 2017) WHERE rk <= 20 OR country = 'canada')))""", ["cty"])
 register("world_city_ranks", on(world_cities, places.city_ranks),
          """SELECT * FROM (SELECT *, CAST(rank() OVER (ORDER BY visitors DESC) AS INTEGER) AS rank
          FROM cty WHERE year = 2017) WHERE country = 'canada'""", ["cty"])
@@ -382,10 +383,10 @@ register("latest_language_growth", on(language_years, languages.latest_growth),
          """SELECT language, respondents_share, respondents_share_pc_growth_yoy FROM ly
          WHERE language IN (SELECT language FROM lw) AND year = 2017""", ["ly", "lw"])
 register("language_home_to_world_ratio",
-         lambda s, d: languages.home_to_world_ratio(language_regions(s, d), minimum=20)
-         .drop("text"),
+         lambda s, d: languages.home_to_world_ratio(language_regions(s, d), minimum=20),
          """SELECT c.language, c.respondents_share AS "Canada", w.respondents_share AS "ROW",
-         c.respondents_share / w.respondents_share AS carow_ratio, c.language_label
+         c.respondents_share / w.respondents_share AS carow_ratio, c.language_label,
+         format('{:,.2f}x', round_even(c.respondents_share / w.respondents_share, 2)) AS text
          FROM lr c LEFT JOIN lr w ON c.language = w.language AND w.region_carow_label = 'ROW'
          WHERE c.region_carow_label = 'Canada' AND c.respondents >= 20""", ["lr"])
 
@@ -487,13 +488,15 @@ register("employment_sample_size",
 
 # --- salaries -------------------------------------------------------------------
 
+_MONEY = "format('C${:,.0f}', round_even(median_salary_cad, 0))"
 _ENOUGH = "year = 2017 AND n_salary_responses >= 20"
 _ENOUGH_PPP = _ENOUGH + " AND n_salary_intl_dollar_responses >= 20"
 register("top_salary_countries",
-         on(developers(CAD), lambda df: rounded(salary.top_salary_countries(df, n=10).drop("text"),
+         on(developers(CAD), lambda df: rounded(salary.top_salary_countries(df, n=10),
                                            "median_salary_cad", digits=6)),
          f"""SELECT country, {title_sql('country')} AS country_label,
-         round(median_salary_cad, 6) AS median_salary_cad FROM pd WHERE {_ENOUGH}
+         round(median_salary_cad, 6) AS median_salary_cad,
+         {_MONEY} AS text FROM pd WHERE {_ENOUGH}
          QUALIFY rank() OVER (ORDER BY median_salary_cad DESC) <= 10""", ["pd"])
 register("salary_countries", on(developers(), salary.n_salary_countries),
          f"SELECT count(*) AS countries FROM pd WHERE {_ENOUGH}", ["pd"])
@@ -539,25 +542,33 @@ register("currency_mismatch", on(t.respondents, salary.currency_mismatch),
 register("salary_by_industry",
          on(industries, lambda df: salary.salary_by(df, "industry_original_label", minimum=10,
                                                     key="industry_original",
-                                                    left_out=["other (please specify)"])
-            .drop("text")),
-         """SELECT industry_original_label, median_salary_cad, n_salary_responses FROM ind
+                                                    left_out=["other (please specify)"])),
+         f"""SELECT industry_original_label, median_salary_cad, n_salary_responses, {_MONEY} AS text FROM ind
          WHERE region_carow_label = 'Canada' AND n_salary_responses >= 10
          AND industry_original <> 'other (please specify)'""", ["ind"])
 register("salary_by_company_type",
-         on(company_types, lambda df: salary.salary_by(df, "company_type_label", minimum=10)
-            .drop("text")),
-         """SELECT company_type_label, median_salary_cad, n_salary_responses FROM ct
+         on(company_types, lambda df: salary.salary_by(df, "company_type_label", minimum=10)),
+         f"""SELECT company_type_label, median_salary_cad, n_salary_responses, {_MONEY} AS text FROM ct
          WHERE region_carow_label = 'Canada' AND n_salary_responses >= 10""", ["ct"])
 
 # --- people ---------------------------------------------------------------------
 
 register("job_seeking_by_status",
-         on(t.respondents, lambda df: people.seeking_by_status(df).drop(
-             "seeking_label", "employment_label")),
+         on(t.respondents, lambda df: people.seeking_by_status(df)),
          """SELECT employment_status_original, job_seeking_status, count(*) AS respondents,
          count(*) / sum(count(*)) OVER (PARTITION BY employment_status_original)
            AS respondents_share,
+         CASE job_seeking_status WHEN 'i am actively looking for a job'
+           THEN 'Actively looking for a job'
+           WHEN 'i''m not actively looking, but i am open to new opportunities'
+           THEN 'Not actively looking for a job,' || chr(10) || 'but open to new opportunities'
+           WHEN 'i am not interested in new job opportunities'
+           THEN 'Not interested in new job opportunities' END AS seeking_label,
+         CASE employment_status_original WHEN 'employed full-time' THEN 'Employed full-time'
+           WHEN 'independent contractor, freelancer, or self-employed'
+           THEN 'Independent contractor, freelancer,' || chr(10) || 'or self-employed'
+           WHEN 'employed part-time' THEN 'Employed part-time'
+           WHEN 'unemployed' THEN 'Unemployed' END AS employment_label,
          CASE job_seeking_status WHEN 'i am actively looking for a job' THEN 1
            WHEN 'i am not interested in new job opportunities' THEN 3 ELSE 2 END AS seeking_ord,
          CASE employment_status_original WHEN 'employed full-time' THEN 1
@@ -629,9 +640,10 @@ register("gender_at_home", on(genders, people.gender_at_home),
          """SELECT gender, respondents, respondents_share FROM g
          WHERE country = 'canada' AND year = 2017""", ["g"])
 register("genders_of_most_female_countries",
-         on(genders, lambda df: people.genders_of_most_female(df, minimum=20, n=10).drop(
-             "gender_label")),
-         """SELECT country, gender, respondents, respondents_share FROM g SEMI JOIN gtop
+         on(genders, lambda df: people.genders_of_most_female(df, minimum=20, n=10)),
+         """SELECT country, gender, CASE gender WHEN 'male' THEN 'Male' WHEN 'female' THEN 'Female'
+           WHEN 'transgendered or non-conforming' THEN 'Transgendered' || chr(10) || 'or non-conforming'
+           END AS gender_label, respondents, respondents_share FROM g SEMI JOIN gtop
          USING (country) WHERE year = 2017""", ["g", "gtop"])
 register("gender_countries", on(genders, lambda df: people.n_gender_countries(df, minimum=20)),
          "SELECT count(*) AS countries FROM gl", ["gl"])
@@ -642,8 +654,9 @@ register("home_female_rank", on(genders, lambda df: people.female_rank(df, minim
          FROM g SEMI JOIN gl USING (country) WHERE year = 2017 AND gender = 'female')
          WHERE country = 'canada'""", ["g", "gl"])
 register("male_female_ratio",
-         on(genders, lambda df: people.male_female_ratio(df).drop("text")),
-         """SELECT *, male / female AS male_female_ratio FROM (
+         on(genders, lambda df: people.male_female_ratio(df)),
+         """SELECT *, male / female AS male_female_ratio,
+         format('{:,.1f}:1', round_even(male / female, 1)) AS text FROM (
          SELECT year, region_carow_label,
          CAST(sum(respondents) FILTER (gender = 'male') AS BIGINT) AS male,
          CAST(sum(respondents) FILTER (gender = 'female') AS BIGINT) AS female

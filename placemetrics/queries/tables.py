@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from placemetrics.functions.semantics import if_known
 from placemetrics.operators.measures import normalise_salary, parse_experience
@@ -19,7 +18,6 @@ from placemetrics.operators.reshape import pack_options
 from placemetrics.plans.places import ALL_ROLES
 from placemetrics.plans.survey import HOME, REST_OF_WORLD, region_of
 from placemetrics.sources.files import inline_table
-from placemetrics.storage import written_once
 
 FIRST_YEAR_SHIFT = 16
 
@@ -227,15 +225,8 @@ INDUSTRY_CONSOLIDATIONS = {
 }
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose schema is looked up once per session, not once per use."""
-    path = f"{folder}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def pairs(spark: SparkSession, table: dict, columns: str) -> DataFrame:
@@ -298,29 +289,37 @@ def role_visits(spark: SparkSession, folder: str) -> DataFrame:
     counts = (visits.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
               .join(parts, F.col("l_partkey") == F.col("p_partkey"))
               .groupBy("p_type", "s_nationkey").agg(F.count(F.lit(1)).alias("visitors")))
-    role = from_mapping("p_type", {k: v[0] for k, v in ROLES.items()})
-    group = from_mapping("p_type", {k: v[1] for k, v in ROLES.items()})
+    def of(place: int) -> Column:
+        known = from_mapping("p_type", {k: v[place] for k, v in ROLES.items()})
+        return F.coalesce(known, F.raise_error(F.concat(F.lit("no role for part type "), "p_type")))
+
+    role, group = of(0), of(1)
     return (counts.withColumn("dev_role", F.explode(F.array(role, group, F.lit(ALL_ROLES))))
             .groupBy("dev_role", "s_nationkey").agg(F.sum("visitors").alias("visitors")))
 
 
 def national_sheet(spark: SparkSession, folder: str) -> DataFrame:
     """Roles by provinces, cities and the nation, in wide form."""
+    places = [*PROVINCES, *CITIES]
     cells = [F.sum(F.when(F.col("s_nationkey") == i, F.col("visitors"))).alias(place)
-             for i, place in enumerate([*PROVINCES, *CITIES])]
-    return written_once(role_visits(spark, folder).groupBy("dev_role").agg(
-        *cells, F.sum("visitors").alias("canada")))
+             for i, place in enumerate(places)]
+    beyond = F.count_if(~F.col("s_nationkey").between(0, len(places) - 1))
+    return role_visits(spark, folder).groupBy("dev_role").agg(
+        *cells, F.when(beyond > 0, F.raise_error("a nation has no place in the sheet"))
+        .otherwise(F.sum("visitors")).alias("canada"))
 
 
 def international_sheet(spark: SparkSession, folder: str) -> DataFrame:
     """Roles by nations as cities and world regions as countries, in wide form."""
     visits = role_visits(spark, folder).join(
         read(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    cities = [F.sum(F.when(F.col("n_name") == f"NATION_{i}", F.col("visitors")))
-              .alias(f"nation_{i}") for i in range(25)]
-    countries = [F.sum(F.when(F.col("n_regionkey") == i, F.col("visitors"))).alias(name)
-                 for i, name in enumerate(["africa", "america", "asia", "europe", "middle east"])]
-    return written_once(visits.groupBy("dev_role").agg(*cities, *countries))
+    # The sheet's columns are the names in the two small dimensions.
+    cities = [F.sum(F.when(F.col("n_name") == r["n_name"], F.col("visitors"))).alias(r["n_name"].lower())
+              for r in read(spark, folder, "nation").orderBy("n_nationkey").collect()]
+    countries = [F.sum(F.when(F.col("n_regionkey") == r["r_regionkey"], F.col("visitors")))
+                 .alias(r["r_name"].lower())
+                 for r in read(spark, folder, "region").orderBy("r_regionkey").collect()]
+    return visits.groupBy("dev_role").agg(*cities, *countries)
 
 
 def city_countries(spark: SparkSession, folder: str) -> DataFrame:
@@ -339,7 +338,6 @@ def employment_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     counts = _customer_counts(spark, folder).groupBy("place", "c_mktsegment").agg(
         F.count(F.lit(1)).cast("double").alias("Value"))
     label = F.initcap(F.replace("place", F.lit("_"), F.lit(" ")))
-    counts = written_once(counts)
     provinces = counts.filter(F.col("place").isin(PROVINCES) & ~F.col("place").isin(TERRITORIES))
     territories = counts.filter(F.col("place").isin(TERRITORIES))
     return (provinces.select(label.alias("GEOGRAPHY"), "Value"),
@@ -354,18 +352,21 @@ def city_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
             "GEO", from_mapping("place", STATISTICAL_CITIES))
         cities = named.filter(F.col("GEO").isNotNull()).groupBy("GEO").agg(value.alias("Value"))
         nation = rows.agg(value.alias("Value")).withColumn("GEO", F.lit("Canada"))
-        return written_once(cities.unionByName(nation))
+        return cities.unionByName(nation)
 
     return (table(F.count_if(F.col("c_acctbal") > 2000).cast("double")),
             table(F.count(F.lit(1)).cast("double")))
 
 
 def city_sheet(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers as cities of the world with one column of visits per year."""
-    years = range(1995, 2002)
-    visits = written_once(read(spark, folder, "lineitem").groupBy("l_suppkey").agg(*[
-        F.count_if(F.year("l_shipdate") == y).alias(f"Developers{y + FIRST_YEAR_SHIFT}")
-        for y in years]))
+    """Suppliers as cities of the world with one column of visits per year.
+
+    The sheet's columns are the years that lie in the data: one small aggregate finds them.
+    """
+    visits = read(spark, folder, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("y"))
+    years = sorted(r["y"] for r in visits.filter("y IS NOT NULL").select("y").distinct().collect())
+    visits = visits.groupBy("l_suppkey").agg(*[
+        F.count_if(F.col("y") == y).alias(f"Developers{y + FIRST_YEAR_SHIFT}") for y in years])
     named = (visits.join(read(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
              .join(read(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")))
     toronto = F.col("s_suppkey") == 3

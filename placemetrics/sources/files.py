@@ -31,15 +31,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_csv_after(spark: SparkSession, path: str, schema: T.StructType, skip: int) -> DataFrame:
-    """One CSV file without its first ``skip`` lines (titles, headers, second headers).
+    """CSV files, each without its first ``skip`` lines (titles, headers, second headers).
 
-    Lines are numbered in reading order inside the scan: the first split of a single
-    file opens partition 0, so its lines are 0, 1, 2, ... and later splits follow
-    with larger numbers.  No shuffle and no second job are needed.
+    Lines are numbered in reading order inside the scan.  The split that begins a file
+    has its first lines; their smallest number, one row per file, tells which to drop.
+    A quoted line break is not supported: every line is a row.
     """
-    lines = (spark.read.text(path)
-             .withColumn("__line", F.monotonically_increasing_id())
-             .filter(F.col("__line") >= skip))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__line"))
+    begins = lines.filter("__start = 0").groupBy("__file").agg(F.min("__line").alias("__first"))
+    lines = lines.join(begins, "__file").filter(
+        (F.col("__start") > 0) | (F.col("__line") >= F.col("__first") + skip))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return lines.select(F.from_csv("value", ddl, {"nullValue": "NA"}).alias("r")).select("r.*")
 

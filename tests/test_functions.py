@@ -109,6 +109,9 @@ def test_title_case(spark):
 def test_ascii(spark):
     df = table(spark, ["Québec Straße", "Œuvre Łódź", "ñandú æon"], "x string")
     assert values(df, to_ascii("x")) == ["Quebec Strasse", "OEuvre Lodz", "nandu aeon"]
+    cases = {"i don’t know": "i don't know", "“a” – b—c…": '"a" - b-c...', "©®×÷«x»": "(C)(R)*/<<x>>",
+             "Que\u0301bec n\u0303": "Quebec n", "日本": "日本", "a\u00a0b": "a b"}
+    assert values(table(spark, list(cases), "x string"), to_ascii("x")) == list(cases.values())
 
 
 def test_city_spelling(spark):

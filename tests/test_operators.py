@@ -29,10 +29,8 @@ def numbers(spark):
     return data, spark.createDataFrame(data, "k string, x double").repartition(5)
 
 
-@pytest.mark.parametrize("small_group", [0, 5000])
-def test_medians_are_exact(numbers, monkeypatch, small_group):
+def test_medians_are_exact(numbers):
     data, df = numbers
-    monkeypatch.setattr(distribution, "SMALL_GROUP", small_group)
     found = {r["k"]: r["m"] for r in medians(df, {"m": "x", "other": F.col("x") * 2},
                                              ["k"]).collect()}
     for key in {k for k, _ in data}:
@@ -43,13 +41,44 @@ def test_medians_are_exact(numbers, monkeypatch, small_group):
 def test_medians_do_not_depend_on_the_sketch(numbers, monkeypatch):
     """A much coarser sketch only widens the bracket."""
     data, df = numbers
-    monkeypatch.setattr(distribution, "SMALL_GROUP", 0)
     monkeypatch.setattr(distribution, "ACCURACY", 50)
     values = [x for k, x in data if k == "hot" and x is not None]
     found = {r["k"]: r["m"] for r in medians(df, {"m": "x"}, ["k"]).collect()}
     assert found["hot"] == statistics.median(values) and found["even"] == 6.0
 
 
+@pytest.mark.parametrize("shift", [-0.2, 0.2])
+def test_a_bracket_that_misses_is_widened(numbers, monkeypatch, shift):
+    """The first bracket lies beside the middle; the counts show it and a wider one follows."""
+    data, df = numbers
+    right = distribution._bracket
+
+    def beside(i, width):
+        if width >= 0.1:
+            return right(i, width)
+        cut = f"percentile_approx(__v{i}, array({0.5 + shift - 0.01}D, {0.5 + shift + 0.01}D), 10000)"
+        return f"named_struct('n', count(__v{i}), 'low', get({cut}, 0), 'high', get({cut}, 1)) AS __b{i}"
+
+    monkeypatch.setattr(distribution, "_bracket", beside)
+    found = {r["k"]: r["m"] for r in medians(df, {"m": "x"}, ["k"]).collect()}
+    for key in {k for k, _ in data}:
+        values = [x for k, x in data if k == key and x is not None]
+        assert found[key] == (statistics.median(values) if values else None)
+    values = [x for _, x in data if x is not None]
+    assert medians(df, {"m": "x"}).first()["m"] == statistics.median(values)
+
+
+def test_top_n_does_not_gather_ties(spark):
+    df = spark.range(20_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 5 > 0, 1).otherwise(F.col("id")).alias("w"))
+    best = top_n(df, 5, "w", smallest=True)
+    assert best.count() == 16_001 and {r["w"] for r in best.select("w").distinct().collect()} == {0, 1}
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "SinglePartition" in line]
+    assert len(gathered) <= 1  # of the distinct weights, five from each partition
+    grouped = top_n(df, 2, "w", ["k"])
+    assert sorted(r["k"] for r in grouped.collect()) == [0, 0, 1, 1, 2, 2]
+
+
 def test_summary_with_and_without_groups(numbers):
     data, df = numbers
     found = summarise(df, [], [F.count("x").alias("n")], {"m": "x"}).first()

@@ -72,6 +72,20 @@ def test_sinks(spark, tmp_path):
     assert features[0]["geometry"] == {"type": "Point", "coordinates": [2.5, 48.75]}
 
 
+def test_skipped_lines_are_skipped_in_every_file(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from placemetrics.sources import read_csv_after
+
+    (tmp_path / "in").mkdir()
+    for name, first in (("a", 1), ("b", 4)):
+        lines = ["title", "x,y", *(f"{k},v{k}" for k in range(first, first + 3))]
+        (tmp_path / "in" / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    schema = T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.StringType())])
+    found = read_csv_after(spark, str(tmp_path / "in"), schema, 2)
+    assert sorted(tuple(r) for r in found.collect()) == [(k, f"v{k}") for k in range(1, 7)]
+
+
 def test_written_once_uses_the_checkpoint_folder(spark):
     df = written_once(spark.range(5).withColumn("x", F.col("id") * 2))
     folder = spark.conf.get("spark.checkpoint.dir")
