@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemetrics.operators.measures import PARENT_ROLES_AS_PUBLISHED
+from placemetrics.plans.common import LATEST_YEAR
 from placemetrics.plans import country, languages, maps, people, places, roles, salary, workplaces
 from placemetrics.queries import tables as t
 from placemetrics.queries.registry import quoted, register, rounded, title_sql
@@ -19,9 +20,10 @@ def countries(spark: SparkSession, folder: str) -> DataFrame:
                                  t.country_names(spark))
 
 
-def developers(*medians: str):
-    return lambda spark, folder: country.country_years_prodevs(t.respondents(spark, folder),
-                                                               medians)
+def developers(*medians: str, year: int | None = LATEST_YEAR):
+    """Salaries per country, of the year that the report shows unless another is named."""
+    return lambda spark, folder: country.country_years_prodevs(
+        t.respondents(spark, folder, year), medians)
 
 
 CAD, PPP = "median_salary_cad", "median_salary_intl_dollar"
@@ -133,7 +135,7 @@ def scale_factor(spark: SparkSession, folder: str) -> DataFrame:
 
 register("country_years", countries, "SELECT * FROM cy", ["cy"])
 register("country_prodev_summary",
-         on(developers(*country.MEDIANS), lambda df: rounded(rounded(
+         on(developers(*country.MEDIANS, year=None), lambda df: rounded(rounded(
              df, *[c for c in df.columns if c.startswith("median")], digits=6),
              "mean_pro_experience_years", "salary_pc_diff_females_males")),
          """SELECT * REPLACE (

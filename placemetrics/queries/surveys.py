@@ -27,8 +27,11 @@ def _rows(spark: SparkSession, folder: str, condition: str) -> DataFrame:
     return t.answers(spark, folder).filter(condition)
 
 
-YEARS = {2014: "year(o_orderdate) <= 1996", 2015: "year(o_orderdate) IN (1997, 1998)",
-         2016: "year(o_orderdate) = 1999", 2017: "year(o_orderdate) >= 2000"}
+# Ranges of the order date, which the scan can use to skip row groups.
+YEARS = {2014: "o_orderdate < TIMESTAMP '1997-01-01 00:00:00'",
+         2015: "o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00'",
+         2016: "o_orderdate >= TIMESTAMP '1999-01-01 00:00:00' AND o_orderdate < TIMESTAMP '2000-01-01 00:00:00'",
+         2017: "o_orderdate >= TIMESTAMP '2000-01-01 00:00:00'"}
 COUNTRY = "CASE WHEN c_acctbal < -500 THEN 'I prefer not to say' ELSE n_name END"
 CURRENCY = ("CASE WHEN o_orderstatus = 'F' THEN 'Euros' WHEN o_orderstatus = 'O' "
             "THEN 'Canadian Dollars (c$)' END")

@@ -240,9 +240,17 @@ def from_mapping(column: str, mapping: dict) -> Column:
     return F.try_element_at(literal, F.col(column))
 
 
-def answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with their customer, nation and region: one row per respondent."""
+def ordered_in(year: int) -> Column:
+    """Orders of one calendar year, as a range that reaches the scan (``year(...)`` does not)."""
+    start, end = (F.lit(f"{y}-01-01").cast("timestamp") for y in (year, year + 1))
+    return (F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end)
+
+
+def answers(spark: SparkSession, folder: str, year: int | None = None) -> DataFrame:
+    """Orders with their customer, nation and region: one row per respondent (of one survey year)."""
     orders, customer = read(spark, folder, "orders"), read(spark, folder, "customer")
+    if year is not None:
+        orders = orders.filter(ordered_in(year - FIRST_YEAR_SHIFT))
     nation, region = read(spark, folder, "nation"), read(spark, folder, "region")
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     customers = customer.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -254,9 +262,9 @@ def _option_list(options: dict[str, str]) -> Column:
                          for label, test in options.items()])
 
 
-def respondents(spark: SparkSession, folder: str) -> DataFrame:
-    """The harmonised table of respondents."""
-    df = answers(spark, folder).select(
+def respondents(spark: SparkSession, folder: str, year: int | None = None) -> DataFrame:
+    """The harmonised table of respondents, of one survey year if given."""
+    df = answers(spark, folder, year).select(
         *[F.expr(sql).alias(name) for name, sql in ANSWERS.items()],
         *[_option_list(options).alias(name) for name, options in OPTIONS.items()])
     df = df.withColumns({

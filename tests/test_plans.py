@@ -96,6 +96,17 @@ def test_raw_rows_are_read_at_most_twice_for_medians(spark):
     assert not scans  # both passes ran when the medians were asked for; one row per group is left
 
 
+@pytest.mark.parametrize("name, scans", [("harmonised_respondents", 4)])
+def test_survey_years_reach_the_scan(spark, name, scans):
+    pushed = re.findall(r"PushedFilters: \[[^\]]*", plan(QUERIES[name](spark, FOLDER)))
+    assert sum("(o_orderdate," in p for p in pushed) >= scans
+
+
+def test_one_year_of_respondents_reaches_the_scan(spark):
+    pushed = re.findall(r"PushedFilters: \[[^\]]*", plan(t.respondents(spark, FOLDER, 2017)))
+    assert any("GreaterThanOrEqual(o_orderdate," in p and "LessThan(o_orderdate," in p for p in pushed)
+
+
 def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(SQL)
     assert len(QUERIES) > 150
