@@ -54,13 +54,15 @@ def member_share(df: DataFrame, members: str, by: Sequence[str] = (), into: str
                  entities: str = "answered", entity_total: Column | None = None,
                  keep_missing: bool = False, count: str = "respondents",
                  share: str = "respondents_share",
-                 total: str = "total_respondents") -> DataFrame:
+                 total: str = "total_respondents", size: str = "few") -> DataFrame:
     """M-3: how many entities name each member, over a count of entities.
 
     The denominator counts the entities of the same ``by`` group that have a list
     (``entities="answered"``) or all of them (``"all"``); another one can be given as
     ``entity_total``.  Every entity adds one marker row to its exploded members, so
-    members and entities are counted in a single pass over the data.
+    members and entities are counted in a single pass over the data.  With
+    ``size="many"`` (members as many as the entities) the group's count is joined to
+    its members instead of meeting them in one window partition.
     """
     into = into or members
     item = F.transform(members, lambda m: F.struct(F.lit(False).alias("entity"), m.alias("member")))
@@ -78,6 +80,12 @@ def member_share(df: DataFrame, members: str, by: Sequence[str] = (), into: str
     if entity_total is not None:
         return counts.filter(~F.col("__entity")).drop("__entity").withColumn(
             share, divide(count, entity_total))
+    if size == "many":
+        named = counts.filter(~F.col("__entity")).drop("__entity")
+        entities_of = counts.filter("__entity").select(*by, F.col(count).alias(total))
+        joined = (join_null_safe(named, entities_of, list(by), "left") if by
+                  else named.withColumn(total, scalar(entities_of, F.max(total))))
+        return joined.withColumn(share, divide(count, total))
     whole = F.max(F.when(F.col("__entity"), F.col(count))).over(whole_table(*by))
     return (counts.withColumn(total, whole).filter(~F.col("__entity")).drop("__entity")
             .withColumn(share, divide(count, total)))

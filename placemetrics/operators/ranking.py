@@ -15,8 +15,11 @@ __all__ = ["whole_table", "top_n", "add_rank", "rank_of", "add_position", "arran
 
 
 def whole_table(*within: str) -> WindowSpec:
-    """Window over a group, or over the whole of a table that has one row per member."""
-    return Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    """Window over a group, or over the whole of a table that has one row per member.
+
+    Without a group all rows meet in one task: only for results bounded by a dimension.
+    """
+    return Window.partitionBy(*within)
 
 
 def top_n(df: DataFrame, n: int, by: str, within: Sequence[str] = (),

@@ -88,6 +88,15 @@ def test_summary_with_and_without_groups(numbers):
     assert near["m"] == 5.0
 
 
+def test_shares_of_many_members_have_no_window(spark):
+    df = spark.createDataFrame([("x", ["a", "b"]), ("x", ["a"]), ("y", []), (None, ["c"]), ("y", None)], "g string, l array<string>")
+    for by in ([], ["g"]):
+        few = member_share(df, "l", by, into="m")
+        many = member_share(df, "l", by, into="m", size="many")
+        assert rows(many.select(few.columns)) == rows(few)
+        assert "Window" not in many._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("ranges", [2, 64])
 def test_value_positions(numbers, ranges):
     data, df = numbers
