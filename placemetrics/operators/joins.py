@@ -15,8 +15,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["join_null_safe", "lookup", "recode_by_lookup", "keep_members", "drop_members",
-           "scalar", "full_join"]
+__all__ = ["join_null_safe", "lookup", "unique_keys", "recode_by_lookup", "keep_members",
+           "drop_members", "scalar", "full_join"]
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Mapping[str, str] | Sequence[str],
@@ -51,6 +51,20 @@ def lookup(df: DataFrame, table: DataFrame, on: Mapping[str, str] | Sequence[str
     return join_null_safe(df, wanted, on, "left")
 
 
+def unique_keys(table: DataFrame, *keys: str) -> DataFrame:
+    """The lookup table, or an error when it is used if a key has several rows (rule N25).
+
+    One aggregate of the lookup table; ``lookup`` itself multiplies rows for repeated keys.
+    """
+    rest = [c for c in table.columns if c not in keys]
+    grouped = table.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.first(F.struct(F.lit(1).alias("__one"), *rest)).alias("__row"))
+    message = F.concat(F.lit("several rows for key "), F.to_json(F.struct(*keys)))
+    checked = F.when(F.col("__n") > 1, F.raise_error(message)).otherwise(F.col("__row"))
+    return grouped.select(*keys, checked.alias("__row")).select(
+        *keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*table.columns)
+
+
 def recode_by_lookup(df: DataFrame, table: DataFrame, column: str, old: str, new: str,
                      into: str | None = None) -> DataFrame:
     """A value's correction where the table has one, else the value itself."""

@@ -58,6 +58,7 @@ EDUCATION_LABELS = {
     "grad degree": "Graduate Degree",
 }
 
+# Answers that are folded to lower case (lists apart, being arrays here).
 LOWER_CASE = ["country", "pro_status", "web_dev_role", "employment_status", "local_currency",
               "local_currency_other", "industry", "company_size", "company_type", "educ_level",
               "job_seeking_status", "job_discovery_channel", "educ_level_group",

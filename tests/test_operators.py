@@ -12,7 +12,7 @@ from placemetrics.operators import (
     growth_on_previous, index_to_base, join_null_safe, keep_first, keep_members, location_quotient,
     lookup, map_layer, medians, member_share, pack_coded_options, pack_options, rank_of,
     running_share, scaled_share, select_between, share_of_group, stack_tables, summarise,
-    suppress_small, to_long, to_wide, top_n, value_positions, with_literal_order)
+    suppress_small, to_long, to_wide, top_n, unique_keys, value_positions, with_literal_order)
 
 
 def rows(df):
@@ -97,6 +97,13 @@ def test_shares_of_many_members_have_no_window(spark):
         assert "Window" not in many._jdf.queryExecution().executedPlan().toString()
 
 
+def test_repeated_lookup_keys_are_an_error(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    assert rows(unique_keys(table, "k")) == rows(table)
+    with pytest.raises(Exception, match="several rows for key"):
+        unique_keys(table.union(table.limit(1)), "k").collect()
+
+
 @pytest.mark.parametrize("ranges", [2, 64])
 def test_value_positions(numbers, ranges):
     data, df = numbers
