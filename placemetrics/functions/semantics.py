@@ -95,8 +95,13 @@ def money_sum(column: Column | str) -> Column:
 
 
 def money_mean(column: Column | str) -> Column:
-    """Mean of an amount, NULLs left out; NULL for an empty group (rule N8)."""
-    return divide(money_sum(column), count_present(column))
+    """Mean of an amount, NULLs left out; NULL for an empty group (rule N8).
+
+    Converted amounts have fractions of a cent, so eight digits are kept: the result is
+    the mean of the amounts themselves, and still does not depend on task order.
+    """
+    exact = F.sum(as_column(column).cast("decimal(28,8)")).cast("double")
+    return divide(exact, count_present(column))
 
 
 def recode(column: Column | str, mapping: Mapping[str, object], otherwise=None) -> Column:

@@ -137,9 +137,9 @@ TABLES: dict[str, tuple[Sequence[str], str]] = {
         median_salary_cad_females / median_salary_cad_males - 1 AS salary_pc_diff_females_males
         FROM (SELECT year, country, region, carow AS region_carow_label,
         count(*) AS respondents,
-        CAST(sum(CAST(salary_cad AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(salary_cad), 0)
+        CAST(sum(CAST(salary_cad AS DECIMAL(28,8))) AS DOUBLE) / nullif(count(salary_cad), 0)
             AS mean_salary_cad,
-        CAST(sum(CAST(salary_usd AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(salary_usd), 0)
+        CAST(sum(CAST(salary_usd AS DECIMAL(28,8))) AS DOUBLE) / nullif(count(salary_usd), 0)
             AS mean_salary_usd,
         count(salary_cad) AS n_salary_responses,
         count(salary_intl) AS n_salary_intl_dollar_responses,
@@ -391,7 +391,7 @@ TABLES: dict[str, tuple[Sequence[str], str]] = {
              ELSE {title_sql("job_discovery_channel")} END AS job_discovery_channel_label
         FROM home WHERE job_discovery_channel IS NOT NULL GROUP BY 1"""),
     "ed": (("devs",), """SELECT educ_level_group_label, region, count(*) AS respondents,
-        CAST(sum(CAST(salary_cad AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(salary_cad), 0)
+        CAST(sum(CAST(salary_cad AS DECIMAL(28,8))) AS DOUBLE) / nullif(count(salary_cad), 0)
             AS mean_salary_cad,
         count(salary_cad) AS n_salary_responses,
         round(median(salary_cad), 6) AS median_salary_cad,

@@ -141,3 +141,10 @@ def test_names_and_labels(spark):
     assert values(df, rank_label(F.lit(3), F.lit("Paris"))) == ["3. Paris"]
     assert values(df, slug(F.lit("Nova Scotia"))) == ["nova_scotia"]
     assert values(df, drop_parenthesised(F.lit("euros (E)"))) == ["euros"]
+
+
+def test_means_are_of_the_amounts_themselves(spark):
+    amounts = [x * 1.32 for x in (50_000.01, 61_234.57, 70_000.99)] + [None]
+    df = table(spark, [(a,) for a in amounts], "x double")
+    found = df.agg(money_mean("x").alias("m"), F.avg("x").alias("avg")).first()
+    assert abs(found["m"] - found["avg"]) < 1e-7
