@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemetrics.llm.common import documents, stored
+from placemetrics.llm.common import documents, importable, stored
 from placemetrics.llm.line_index import dedup_lines
 from placemetrics.llm.lsh_forest import near_duplicates
 from placemetrics.llm.pfair_mixing import in_slots, mixed
@@ -30,6 +30,7 @@ def _beside(docs: DataFrame, names: tuple[str, ...], step: Callable[[DataFrame],
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model scores THRESHOLD or more; it learns from ``labels``."""
+    importable(spark)
     model = train(docs, read_labels(spark, sf_dir))
     return _beside(docs, ("score",), lambda d: scored(d, model).filter(F.col("score") >= THRESHOLD))
 

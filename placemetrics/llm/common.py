@@ -23,9 +23,14 @@ BLOCK = 1 << 20
 
 
 def importable(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver found it (unless it is installed)."""
+    """Python workers look for this package where the driver found it.
+
+    Nothing changes where PYTHONPATH names that folder already: workers started with
+    another environment are others, and both kinds would stay in memory.
+    """
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+    known = f"{os.environ.get('PYTHONPATH', '')}{os.pathsep}{env.get('PYTHONPATH', '')}".split(os.pathsep)
+    if root not in known:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 

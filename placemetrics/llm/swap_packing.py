@@ -37,7 +37,7 @@ SETTLED = 0.985
 #: Emptiest bins that a bin tries to exchange with, in each pass.
 DONORS = 32
 #: Chunks whose ids a worker remembers, at most, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 800_000, 64
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
 #: Characters whose words are held at once.
 BLOCK = 1 << 20
 #: Latin text without unusual spaces or combining marks: there every white space ends a word.
