@@ -9,6 +9,9 @@
    rows that agree most often with the region's commonest key over all orders.
 4. Candidates whose signatures agree enough are confirmed on the full sets, first the best
    partner of every node, later only pairs that are not yet connected.
+5. Pairs that the forest missed are found exactly, in ``missed``: nodes of different
+   components that can reach the limit share a shingle of their prefixes.  Every such pair
+   passes the bounds on size, place and bitmap, none of which can rule out a true pair.
 
 Set of a text: distinct runs of SIZE words, words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased;
 with fewer words the whole sequence.  A text without words, or null, has an empty set, is
@@ -44,6 +47,11 @@ CROWDED, HUBS = 48, 8
 AGREEMENT = 0.70
 #: Partners of one node confirmed by one task.
 CHUNK = 256
+#: Rows whose shingles tell which ones are common, about, and the most that are told.  They set
+#: only the order of shingles in prefixes: any order that is the same everywhere finds all pairs.
+SAMPLED, COMMON = 4000, 1 << 16
+#: Bits of a set's parity bitmap; rows with one shingle that are compared in one group.
+PARITY, CELL = 2048, 128
 
 _PERMUTATION = np.random.default_rng(20240229).permutation(BINS)
 _KEYS = _PERMUTATION[: ORDERS * KEY_BINS].reshape(ORDERS, KEY_BINS)
@@ -263,6 +271,129 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b", "agreement")
 
 
+def common_shingles(docs: DataFrame, n: int, size: int) -> np.ndarray:
+    """Shingles that several of some SAMPLED of the ``n`` rows have, by rising count."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(data, size).view(np.int64))], ["shingle"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-n // SAMPLED) or 1)) == 0).select(text_bytes().alias("body"))
+    counted = some.mapInArrow(each, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
+    rows = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    return np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prefixed(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(node, name, n, prefix, parity) of every row: the first shingles, common ones last, and a bitmap.
+
+    Two sets with ``percent`` of their union in common share at least ``percent`` of each
+    set, hence one of the shingles before the last so many less one.
+    """
+    ranks = np.argsort(common)
+    values = common[ranks]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, counts, prefixes, parities = [], [], [], []
+            for data in batch.column(1).to_pylist():
+                shingles = shingle_set(data, size)
+                n = len(shingles)
+                names.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                counts.append(n)
+                parities.append(np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) % 2 == 1).tobytes())
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
+                    last = np.where(values[at] == shingles, ranks[at] + 1, 0)
+                    shingles = shingles[np.argsort(last, kind="stable")]
+                prefixes.append(shingles[: n - -(-percent * n // 100) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, pa.binary()), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                 pa.array(parities, pa.binary())], ["node", "name", "n", "prefix", "parity"])
+
+    bodies = docs.filter("doc_id is not null").select("doc_id", text_bytes().alias("body"))
+    return bodies.mapInArrow(rows, "node bigint, name binary, n bigint, prefix array<bigint>, parity binary")
+
+
+def _possible(percent: int):
+    """Pairs (a, b) of rows of a group that can have ``percent`` of their union in common.
+
+    Rows: shingle, lo, hi, mine, node, component, n, place, parity, sorted by the first three.
+    """
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, bits = np.zeros((0, 8), np.int64), np.zeros((0, PARITY // 64), np.uint64)
+
+        def found(numbers: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, (np.diff(numbers[:, :3], axis=0) != 0).any(1)])
+            ends = np.repeat(np.r_[starts[1:], len(numbers)], np.diff(np.r_[starts, len(numbers)]))
+            out, step = [np.zeros((0, 2), np.int64)], 1
+            x = np.flatnonzero(np.arange(len(numbers)) + step < ends)
+            while len(x):
+                y = x + step
+                a, b = numbers[x], numbers[y]
+                both = a[:, 6] + b[:, 6]
+                common = np.minimum(a[:, 6] - a[:, 7], b[:, 6] - b[:, 7])  # at most, from this shingle on
+                good = (a[:, 5] != b[:, 5]) & ((a[:, 1] == a[:, 2]) | (a[:, 3] != b[:, 3]))
+                good &= 100 * np.minimum(a[:, 6], b[:, 6]) >= percent * np.maximum(a[:, 6], b[:, 6])
+                good &= 100 * common >= percent * (both - common)
+                i, j = x[good], y[good]
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)  # at most what the sets do not share
+                near = apart * (100 + percent) <= (100 - percent) * both[good]
+                out.append(np.sort(np.stack([numbers[i[near], 4], numbers[j[near], 4]], 1), 1))
+                step += 1
+                x = x[x + step < ends[x]]
+            pairs = np.unique(np.concatenate(out), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = np.r_[numbers, np.stack([batch.column(k).to_numpy() for k in range(8)], 1)]
+            bits = np.r_[bits, np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(-1, PARITY // 64)]
+            cut = int(np.argmax((numbers[:, :3] == numbers[-1, :3]).all(1)))  # the last group may go on
+            if cut:
+                yield found(numbers[:cut], bits[:cut])
+                numbers, bits = numbers[cut:], bits[cut:]
+        if len(numbers):
+            yield found(numbers, bits)
+
+    return pairs
+
+
+def missed(docs: DataFrame, nodes: DataFrame, labels: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(a, b): every pair of nodes in different components that the bounds do not rule out.
+
+    A shingle of many nodes is dealt to cells of at most about 2 * CELL rows, each pair to one.
+    """
+    known = nodes.select("node", "name").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sets = stored(prefixed(docs, common, size, percent).join(known, ["node", "name"]), "prefixes")
+    shared = sets.select("component", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows"))
+    shared = stored(shared.filter("least < most").select("shingle", "rows"), "shared")
+    each = sets.select("node", "component", "n", F.posexplode("prefix").alias("place", "shingle"))
+    cells = F.ceil(F.col("rows") / CELL)
+    met = each.join(shared, "shingle").withColumn("mine", F.pmod(F.xxhash64("node"), cells))
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1)))
+    group = ["shingle", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine"]
+    rows = dealt.select(*group, "node", "component", "n", F.col("place").cast("bigint").alias("place"))
+    parity = sets.select("node", "parity").dropDuplicates(["node"])
+    rows = rows.join(parity, "node").select("shingle", "lo", "hi", "mine", "node", "component", "n", "place", "parity")
+    ordered = rows.repartition(parts(docs.sparkSession), "shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
+    return stored(ordered.mapInArrow(_possible(percent), "a bigint, b bigint").distinct(), "missed")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, body) of the wanted nodes."""
+    bodies = docs.select(F.col("doc_id").alias("node"), text_bytes().alias("body")).join(wanted.join(nodes, "node"), "node")
+    return stored(bodies.select("node", "name", "body").mapInArrow(_of_class(size), "node bigint, body binary").distinct(), "texts")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -273,9 +404,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     nodes = classes.filter("node is not null")
     rows = forest(nodes)
     candidates = stored(agreeing(neighbours(rows).union(hub_pairs(rows)), nodes), "candidates")
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    bodies = docs.select(F.col("doc_id").alias("node"), text_bytes().alias("body")).join(wanted.join(nodes, "node"), "node")
-    texts = stored(bodies.select("node", "name", "body").mapInArrow(_of_class(size), "node bigint, body binary").distinct(), "texts")
+    texts = _texts_of(docs, _ends(candidates), nodes, size)
     links = stored(confirmed(_best(candidates), texts, size, percent), "confirmed")
     labels = stored(components(links), "labels")
     for everything in (False, True):
@@ -285,6 +414,10 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         asked = rest.select("a", "b") if everything else _best(rest)
         links = links.union(stored(confirmed(asked, texts, size, percent), "confirmed"))
         labels = stored(components(links), "labels")
+    left = missed(docs, nodes, labels, common_shingles(docs, sketches.count(), size), size, percent)
+    if not left.isEmpty():
+        links = links.union(stored(confirmed(left, _texts_of(docs, _ends(left), nodes, size), size, percent), "confirmed"))
+        labels = stored(components(links), "labels")
     found = classes.join(labels, "node", "left").select("name", F.coalesce("component", "node").alias("component"))
     member = sketches.join(found, "name", "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component"))
