@@ -168,12 +168,14 @@ MAKERS: dict[str, Callable[[str, bytes, str], str]] = {
     "email": _email, "ip": _ip, "phone": _phone, "card": _card, "account": reformed, "social": reformed, "secret": _secret}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_GIVEN_SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_\-+/]{8,})")
+_LONG_IP = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
 _PATTERNS = (
     ("email", re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
-    ("secret", re.compile(r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_\-+/]{8,})")),
+    ("secret", _GIVEN_SECRET),
     ("secret", re.compile(r"\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,}\b")),
     ("ip", re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)")),
-    ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
+    ("ip", _LONG_IP),
     ("account", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("social", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", re.compile(r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)")),
@@ -190,10 +192,10 @@ _DIGIT = re.compile(r"\d")
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, detail) of what is found, in order, without overlaps; the first kind wins."""
     found: list[tuple[int, int, str, str]] = []
-    if _DIGIT.search(text) or "@" in text:
-        for kind, pattern in _PATTERNS:
-            if kind == "email" and "@" not in text:
-                continue
+    digit = _DIGIT.search(text)
+    for kind, pattern in _PATTERNS:
+        # a given secret and a long address may be letters alone; all others but e-mail addresses have a digit
+        if "@" in text if kind == "email" else digit or pattern is _GIVEN_SECRET or pattern is _LONG_IP:
             for m in pattern.finditer(text):
                 found.append((*m.span(m.lastindex or 0), kind, ""))
     for pattern in (_TITLED, _FIRST):
