@@ -11,7 +11,9 @@ known first name before a surname).  Each becomes a keyed surrogate:
   card number keeps its check-digit status, an address stays private or public.
 * Listed first names go to names of the same gender and script by a keyed permutation.
 * Within a document a surrogate that equals another's, or any original there, is drawn again
-  with the next counter.  Later mentions of a part of a name get the part's surrogate.
+  with the next counter, until it is free: listed first names after LISTED_DRAWS draws as any
+  name of their form, names and e-mail addresses after each DRAWS draws one character longer,
+  addresses of the smaller private ranges in the largest.  Later mentions of a part of a name get the part's surrogate.
 
 Null texts stay null, empty ones empty; repeated rows get equal results.
 """
@@ -24,6 +26,7 @@ import unicodedata
 from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +51,8 @@ _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
             "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 _SPOKEN = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", *_CLASSES[3:5],
            "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", *_CLASSES[7:])
+#: Draws from the list of first names, and draws before a form gets more room.
+LISTED_DRAWS, DRAWS = 64, 1000
 _HEX = ("0123456789abcdef",)
 
 
@@ -218,6 +223,17 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out)
 
 
+def roomier(kind: str, value: str, times: int) -> str:
+    """``value`` in a form with more surrogates, where ``times`` rounds of draws found none free."""
+    if times and kind == "name":
+        return value + "a" * times
+    if times and kind == "email":
+        return "a" * times + value
+    if times and kind == "ip" and re.match(r"192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.", value):
+        return "10." + value.split(".", 1)[1]
+    return value
+
+
 def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (kind, original, surrogate) of each place in order."""
     found = entities(text)
@@ -230,14 +246,17 @@ def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
         value = text[a:b]
         if value in chosen:
             continue
-        for attempt in range(1000):
+        for attempt in count():
             about = kind if attempt == 0 else f"{kind}#{attempt}"
+            form = roomier(kind, value, attempt // DRAWS)
             if kind != "name":
-                new = MAKERS[kind](value, key, about)
+                new = MAKERS[kind](form, key, about)
+            elif detail.startswith("first") and attempt < LISTED_DRAWS:
+                new = first_name(form, key, about + "first", detail[5:])
             elif detail.startswith("first"):
-                new = first_name(value, key, about + "first", detail[5:])
+                new = reformed(form, key, about + "first" + detail[5:], _SPOKEN)
             else:
-                new = _surname(value, key, about + "last")
+                new = _surname(form, key, about + "last")
             if new not in used and new not in originals:
                 break
         chosen[value] = (kind, new)

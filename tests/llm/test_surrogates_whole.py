@@ -12,3 +12,22 @@ def test_secrets_of_letters_alone():
 
 def test_addresses_of_letters_alone():
     assert [k for _, _, k, _ in surrogates.entities("at fe:ab:cd:ef:aa:bb:cc:dd now")] == ["ip"]
+
+
+def surrogates_are_apart(text):
+    _, log = surrogates.replaced(text, KEY)
+    found = {old: new for _, old, new in log}
+    assert len(set(found.values())) == len(found) and not set(found) & set(found.values())
+    return found
+
+
+def test_all_listed_names_in_one_text():
+    for (kind, _), names in surrogates.FIRST_NAMES.items():
+        last = "Petrov" if kind == "latin" else "Петров"
+        assert len(surrogates_are_apart("\n".join(f"{n} {last}" for n in names))) == len(names) + 1
+
+
+def test_more_values_than_a_form_has():
+    letters = "bcdfghjklmnpqrstvwxyz"
+    assert len(surrogates_are_apart("\n".join(f"Mr {a.upper()}{b}" for a in letters for b in "aeiou"))) == 105
+    assert len(surrogates_are_apart(" ".join(f"{a}@{b}.de" for a in letters for b in letters))) == 441
