@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from placemetrics.llm.common import documents, importable, stored
 from placemetrics.llm.line_index import dedup_lines
 from placemetrics.llm.lsh_forest import near_duplicates
-from placemetrics.llm.pfair_mixing import in_slots, mixed
+from placemetrics.llm.pfair_mixing import in_slots, mixed, row_hash
 from placemetrics.llm.quality_gam import THRESHOLD, read_labels, scored, train
-from placemetrics.llm.swap_packing import packed, pieces
+from placemetrics.llm.swap_packing import MIXED_TOKENS, packed, pieces
 
 
 def _beside(docs: DataFrame, names: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -60,8 +60,15 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and place in it."""
-    return packed(stored(pieces(docs), "pieces"))
+    """The pieces of all documents with their sequence and place in it, sequences in the order of the mix.
+
+    Mixing keeps every document, so the slots worked out again are those the files are sorted by.
+    """
+    own = docs.select("doc_id", "text", "source", row_hash(docs).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    rows = stored(pieces(own, carried=("source", "_hash", "_row")), "pieces")
+    slots = mixed(rows.filter("piece = 0").select("doc_id", "source", "_hash", "_row"), hashed="_hash").select("_row", "slot")
+    dealt = stored(rows.join(slots, "_row").drop("source", "_hash", "_row"), "dealt")
+    return packed(dealt, group_tokens=MIXED_TOKENS, order="slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -98,17 +98,23 @@ def timetable(spark: SparkSession, plan: list[tuple[int, dict[str, int]]], names
     return one.filter("quota > 0").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("phases"))
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
+def row_hash(docs: DataFrame) -> F.Column:
+    """What rows of one source are ordered by."""
+    return F.xxhash64("doc_id", "text" if "text" in docs.columns else "doc_id")
+
+
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, hashed: str | None = None) -> DataFrame:
     """``docs`` plus source_block, place, slot, release and deadline; order by slot, then place.
 
     ``weights`` by source; sources it leaves out get the smallest weight in it.  Columns of the
-    input with these names are replaced.
+    input with these names are replaced.  ``hashed`` names a column with ``row_hash`` of the
+    rows, for rows whose text is left out.
     """
     docs = docs.drop("source_block", "place", "slot", "release", "deadline")
     spark, names = docs.sparkSession, docs.columns
     own = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    rows = docs.select(row, own.alias("own"), F.xxhash64("doc_id", "text" if "text" in names else "doc_id").alias("h"))
+    rows = docs.select(row, own.alias("own"), (F.col(hashed) if hashed else row_hash(docs)).alias("h"))
     counted = rows.groupBy("own").agg(F.count("*").alias("n"))
     largest = [(r["own"], r["n"]) for r in counted.orderBy(F.desc("n"), "own").limit(MAX_SOURCES - 1).collect()]
     pooled = counted.agg(F.sum("n")).first()[0] or 0

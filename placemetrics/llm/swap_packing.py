@@ -22,7 +22,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,8 @@ CAPACITY = 4096
 CLOSING_ID = 1
 #: Tokens of one packing group, about.
 GROUP_TOKENS = 8_000_000
+#: Tokens of one group where the order of the mix is kept, about; ranges that a group is cut from.
+MIXED_TOKENS, RANGES = 1_000_000, 8
 #: Bins less full than this are packed again with those of other groups.
 SETTLED = 0.985
 #: Emptiest bins that a bin tries to exchange with, in each pass.
@@ -117,11 +119,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 (and the ids, little-endian, if asked for)."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False,
+           carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32 (and the ids, little-endian, and carried columns if asked for)."""
     path = path or tokenizer_path()
     closing = np.array([CLOSING_ID], "<u4").tobytes()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + list(carried)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path)
@@ -138,14 +141,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, k
                     crc.append(zlib.crc32(part))
                     if keep_ids:
                         kept.append(part)
-            columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()),
+            owners = pa.array(owner, pa.int64())
+            columns = [batch.column(0).take(owners), pa.array(piece, pa.int32()),
                        *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names)
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids
+                                              + [batch.column(2 + k).take(owners) for k in range(len(carried))], names)
 
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     schema = T.StructType([id_field, T.StructField("piece", T.IntegerType())] + [T.StructField(n, T.LongType()) for n in names[2:5]]
-                          + [T.StructField("ids", T.BinaryType())] * keep_ids)
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+                          + [T.StructField("ids", T.BinaryType())] * keep_ids + [T.StructField(c, docs.schema[c].dataType) for c in carried])
+    return docs.select("doc_id", "text", *carried).mapInArrow(cut, schema)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -210,8 +215,44 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return improve(best_fit(lengths, capacity), lengths, capacity)
 
 
-def packed(rows: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """``rows`` (with length) plus sequence_id and offset, in few sequences of ``capacity`` tokens."""
+def _in_ranges(rows: DataFrame, order: str, groups: int) -> DataFrame:
+    """``rows`` with _group: ranges of ``order`` with about as many tokens each.
+
+    Only the tokens of RANGES ranges a group, at least as many as that, go through the driver.
+    """
+    n = max(4096, RANGES * groups)
+    last = (rows.agg(F.max(order)).first()[0] or 0) + 1
+    at = F.floor(F.col(order) * n / F.lit(last)).cast("int")
+    tokens = {r["at"]: r["tokens"] for r in rows.groupBy(at.alias("at")).agg(F.sum("length").alias("tokens")).collect()}
+    total, so_far, first = sum(tokens.values()), 0, {}
+    for k in sorted(tokens):
+        first.setdefault(so_far * groups // max(total, 1), k)
+        so_far += tokens[k]
+    bounds = F.array(*[F.lit(k) for _, k in sorted(first.items())])
+    return rows.withColumn("_group", (F.size(F.filter(bounds, lambda k: k <= at)) - 1).cast("int"))
+
+
+def _numbered_in(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with sequence_id 0, 1, ... by the mean ``order`` of a sequence's tokens."""
+    mean = (F.sum(F.col(order) * F.col("length")) / F.sum("length")).alias("mean")
+    each = stored(rows.groupBy("sequence_id").agg(mean), "sequences")
+    n = max(1, each.count() // 10_000)
+    last = (each.agg(F.max("mean")).first()[0] or 0) + 1
+    each = each.withColumn("at", F.floor(F.col("mean") * n / F.lit(last)).cast("int"))
+    before = Window.partitionBy().orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # one row per 10,000 sequences
+    offsets = each.groupBy("at").agg(F.count("*").alias("n")).select("at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset_"))
+    inside = Window.partitionBy("at").orderBy("mean", "sequence_id")
+    new = each.withColumn("k", F.row_number().over(inside)).join(offsets, "at")
+    new = new.select("sequence_id", (F.col("offset_") + F.col("k") - 1).alias("_new"))
+    return rows.join(new, "sequence_id").withColumn("sequence_id", F.col("_new")).drop("_new")
+
+
+def packed(rows: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, order: str | None = None) -> DataFrame:
+    """``rows`` (with length) plus sequence_id and offset, in few sequences of ``capacity`` tokens.
+
+    With ``order``, a column of whole numbers, groups are ranges of it and sequences are
+    numbered by it; the column is dropped.
+    """
     rows = rows.drop("sequence_id", "offset")
     names = rows.columns
     extra = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_fill", T.LongType())]
@@ -238,8 +279,11 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_
     tokens = rows.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-tokens // group_tokens))
     while True:
-        key = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(groups)).cast("int")
-        result = stored(rows.withColumn("_group", key).groupBy("_group").applyInPandas(pack(numbered), schema), "packed")
+        if order:
+            dealt = _in_ranges(rows, order, groups)
+        else:
+            dealt = rows.withColumn("_group", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(groups)).cast("int"))
+        result = stored(dealt.groupBy("_group").applyInPandas(pack(numbered), schema), "packed")
         loose = F.col("_fill") < SETTLED * capacity
         fewer = -(-(result.filter(loose).agg(F.sum("length")).first()[0] or 0) // group_tokens)
         if groups == 1 or fewer == 0 or fewer >= groups:
@@ -250,7 +294,8 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_
     total = done[0]
     for more in done[1:]:
         total = total.unionByName(more)
-    return total.drop("_fill")
+    total = total.drop("_fill")
+    return _numbered_in(total, order).select([c for c in total.columns if c != order]) if order else total
 
 
 def op5_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
