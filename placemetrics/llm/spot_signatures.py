@@ -1,6 +1,7 @@
 """Document fingerprints from spot signatures.
 
-An anchor is a common word or the start of a line.  Its signature is the chain of the next
+An anchor is a common word of four languages, the start of a line or, in any language, a word
+whose hash without the punctuation around it is 0 modulo EVERY.  Its signature is the chain of the next
 CHAIN content words (words that are not common).  The fingerprint of a text is the sorted
 set of its signatures as hex, eight digits each.  Likeness is the Jaccard coefficient of two
 such sets, given up as soon as the set lengths, or what is left of them, rule out the least
@@ -13,6 +14,7 @@ likeness 1.  Where a text ends before the chain does, the chain is what is there
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,10 @@ COMMON = frozenset(
     " el los las y del al con por para una su lo como más o si sus".split())
 ANCHORS = frozenset("the is was that der die das ist le la les est el los las que".split())
 CHAIN = 2
+#: One of so many different words is an anchor by its hash alone, so that signatures grow with any text.
+EVERY = 8
+_PUNCTUATION = string.punctuation.encode()
+_MARK = np.isin(np.arange(256), np.frombuffer(_PUNCTUATION, np.uint8))
 
 
 def _hashed(words: frozenset[str]) -> np.ndarray:
@@ -45,6 +51,18 @@ def _among(values: np.ndarray, members: np.ndarray) -> np.ndarray:
     return members[np.minimum(np.searchsorted(members, values), len(members) - 1)] == values
 
 
+def _chosen(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which words are anchors by their hash, ASCII punctuation around them left aside."""
+    bare = words.copy()
+    marked = np.flatnonzero(_MARK[codes[starts]] | _MARK[codes[stops - 1]])
+    if len(marked):
+        raw = codes.tobytes()
+        stripped = [raw[starts[k] : stops[k]].strip(_PUNCTUATION) for k in marked]
+        full = np.array([bool(w) for w in stripped])
+        bare[marked[full]] = word_hashes(b" ".join(w for w in stripped if w))
+    return bare % np.uint64(EVERY) == 0
+
+
 def fingerprint(text: str) -> np.ndarray:
     """Sorted distinct 32-bit signatures of a whole text."""
     data = text.encode("utf-8", "replace")
@@ -55,8 +73,8 @@ def fingerprint(text: str) -> np.ndarray:
     content = np.flatnonzero(~_among(words, _COMMON))
     if not len(content):
         content = np.arange(n)
-    anchors = np.flatnonzero(_among(words, _ANCHORS))
-    codes, starts, _ = word_edges(data)
+    codes, starts, stops = word_edges(data)
+    anchors = np.flatnonzero(_among(words, _ANCHORS) | _chosen(codes, starts, stops, words))
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     first = np.unique(np.r_[0, np.searchsorted(starts, breaks)])
     first = first[first < n]
