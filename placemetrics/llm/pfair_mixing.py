@@ -8,7 +8,10 @@ then less than one block from its share at any time.  When a source cannot fill
 one shorter frame takes what it has left, and the others share the frames after it.
 
 Only counts per source go through the driver.  All rows are kept.  A null source is a source of
-its own.  With more than MAX_SOURCES sources, those with fewest rows are scheduled as one.
+its own.  With more than MAX_SOURCES sources, those with fewest rows form a pool with the sum of
+their target weights; the pool's blocks are scheduled among its members in the same way, in
+groups of groups where there are many.  A pooled source is less than one block from its share
+of its pool's blocks, and the pool less than one block from its share.
 Ties and repeated rows each have a place of their own; an empty table gives no rows.
 """
 
@@ -81,16 +84,23 @@ def timetable(spark: SparkSession, plan: list[tuple[int, dict[str, int]]], names
 
     At most 2 * MAX_SOURCES phases of FRAME slots, whatever the number of rows.
     """
-    rows, base, used = [], 0, dict.fromkeys(names, 0)
-    for k, (frames, share) in enumerate(plan):
-        length = sum(share.values())
-        rows.append((k, [share.get(s, 0) for s in names], length, base, [used[s] for s in names]))
-        base += frames * length
-        for s, q in share.items():
-            used[s] += frames * q
-    table = spark.createDataFrame(rows, "phase int, quota array<int>, length int, base bigint, used array<bigint>")
+    return timetables(spark, [(plan, names)])
+
+
+def timetables(spark: SparkSession, plans: list[tuple[list[tuple[int, dict[str, int]]], list[str]]]) -> DataFrame:
+    """The timetables of several plans, whose names differ."""
+    rows = []
+    for plan, names in plans:
+        base, used = 0, dict.fromkeys(names, 0)
+        for k, (frames, share) in enumerate(plan):
+            length = sum(share.values())
+            rows.append((k, names, [share.get(s, 0) for s in names], length, base, [used[s] for s in names]))
+            base += frames * length
+            for s, q in share.items():
+                used[s] += frames * q
+    table = spark.createDataFrame(rows, "phase int, names array<string>, quota array<int>, length int, base bigint, used array<bigint>")
     slots = table.withColumn("slots", _slots("quota", "length"))
-    each = slots.select("phase", "length", "base", "slots", "quota", "used", F.posexplode(F.array(*[F.lit(s) for s in names])).alias("i", "key"))
+    each = slots.select("phase", "length", "base", "slots", "quota", "used", F.posexplode("names").alias("i", "key"))
     mine = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda t: F.get("slots", t) == F.col("i"))
     one = each.select("key", "phase", "length", "base", F.get("quota", F.col("i")).alias("quota"),
                       F.get("used", F.col("i")).alias("start"), mine.alias("at"))
@@ -98,6 +108,45 @@ def timetable(spark: SparkSession, plan: list[tuple[int, dict[str, int]]], names
     return one.filter("quota > 0").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("phases"))
 
 
+def pools(sizes: dict[str, tuple[int, float]]) -> dict[str, dict[str, tuple[int, float]]]:
+    """(blocks, target) of each member, for each pool; the pool "" holds all, at most MAX_SOURCES in each."""
+    out: dict[str, dict[str, tuple[int, float]]] = {}
+
+    def deal(name: str, members: dict[str, tuple[int, float]]) -> None:
+        if len(members) <= MAX_SOURCES:
+            out[name] = members
+            return
+        order, groups = sorted(members), {}
+        for k in range(MAX_SOURCES):
+            groups[f"{name}.{k}"] = {s: members[s] for s in order[k::MAX_SOURCES]}
+        out[name] = {g: (sum(n for n, _ in m.values()), sum(w for _, w in m.values())) for g, m in groups.items()}
+        for g, m in groups.items():
+            deal(g, m)
+
+    order = list(sizes)
+    top = {s: sizes[s] for s in order[: MAX_SOURCES - (len(order) > MAX_SOURCES)]}
+    rest = {s: sizes[s] for s in order[len(top) :]}
+    if rest:
+        top[POOLED] = (sum(n for n, _ in rest.values()), sum(w for _, w in rest.values()))
+        deal(POOLED, rest)
+    out[""] = top
+    return out
+
+
+def _at(phases: str, block: F.Column) -> F.Column:
+    """(slot, release, deadline) of a member's block in the slots of its pool."""
+    p = F.element_at(F.filter(phases, lambda p: p["start"] <= block), -1)
+
+    def place(p: F.Column) -> F.Column:
+        k = block - p["start"]
+        turn = (k % p["quota"]).cast("int")
+        frame = p["base"] + F.floor(k / p["quota"]) * p["length"]
+        return F.struct((frame + F.get(p["at"], turn)).alias("slot"), (frame + F.floor(turn * p["length"] / p["quota"])).alias("release"),
+                        (frame + F.ceil((turn + 1) * p["length"] / p["quota"])).alias("deadline"))
+
+    return F.transform(F.array(p), place)[0]
+
+
 def row_hash(docs: DataFrame) -> F.Column:
     """What rows of one source are ordered by."""
     return F.xxhash64("doc_id", "text" if "text" in docs.columns else "doc_id")
@@ -116,27 +165,19 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, hashe
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     rows = docs.select(row, own.alias("own"), (F.col(hashed) if hashed else row_hash(docs)).alias("h"))
     counted = rows.groupBy("own").agg(F.count("*").alias("n"))
-    largest = [(r["own"], r["n"]) for r in counted.orderBy(F.desc("n"), "own").limit(MAX_SOURCES - 1).collect()]
-    pooled = counted.agg(F.sum("n")).first()[0] or 0
-    sizes = dict(largest)
-    if pooled > sum(sizes.values()):
-        sizes[POOLED] = pooled - sum(sizes.values())
+    sizes = {r["own"]: r["n"] for r in counted.orderBy(F.desc("n"), "own").collect()}
     if not sizes:
         return docs.withColumns({c: F.lit(None).cast("bigint") for c in ("source_block", "place", "slot", "release", "deadline")})
     given = {("null" if s is None else f"={s}"): w for s, w in (weights or {}).items()}
     target = {s: given.get(s, min(given.values())) if given else n**TEMPERING for s, n in sizes.items()}
-    plan = phases({s: -(-n // BLOCK_DOCS) for s, n in sizes.items()}, target)
-    keys = sorted(sizes)
-    table = timetable(spark, plan, keys)
-    known = spark.createDataFrame([(s, n) for s, n in sizes.items()], "own string, of bigint")
+    tree = pools({s: (-(-n // BLOCK_DOCS), target[s]) for s, n in sizes.items()})
+    plans = [(phases({s: n for s, (n, _) in m.items()}, {s: w for s, (_, w) in m.items()}), sorted(m)) for m in tree.values()]
+    above = spark.createDataFrame([(s, pool or None) for pool, m in tree.items() for s in m], "key string, pool string")
+    table = timetables(spark, plans).join(above, "key")
+    known = spark.createDataFrame([(s, n) for s, n in sizes.items()], "key string, of bigint")
+    small = len(sizes) <= 16 * MAX_SOURCES
     buckets = F.ceil(F.col("of") / NUMBERED)
-    # both sides below have at most MAX_SOURCES rows
-    if POOLED in sizes:
-        named = rows.join(F.broadcast(known), "own", "left").withColumns({
-            "key": F.when(F.col("of").isNull(), F.lit(POOLED)).otherwise(F.col("own")),
-            "of": F.coalesce("of", F.lit(sizes[POOLED]))})
-    else:
-        named = rows.join(F.broadcast(known), "own").withColumn("key", F.col("own"))
+    named = rows.withColumnRenamed("own", "key").join(F.broadcast(known) if small else known, "key")
     dealt = named.select("row", "key", "h", F.pmod("h", buckets).alias("bucket"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("key", "bucket").agg(F.count("*").alias("n")).select(
@@ -145,17 +186,15 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, hashe
     numbered = dealt.withColumn("n", F.row_number().over(inside)).join(offsets, ["key", "bucket"])
     number = F.col("offset") + F.col("n") - 1
     blocks = numbered.select("row", "key", F.floor(number / BLOCK_DOCS).alias("source_block"), (number % BLOCK_DOCS).alias("place"))
-    placed = blocks.join(F.broadcast(table), "key")
     b = F.col("source_block")
-    phase = F.element_at(F.filter("phases", lambda p: p["start"] <= b), -1)
-    at = placed.select("row", "source_block", "place", phase.alias("p"))
-    k = F.col("source_block") - F.col("p.start")
-    turn = (k % F.col("p.quota")).cast("int")
-    frame = F.col("p.base") + F.floor(k / F.col("p.quota")) * F.col("p.length")
-    return at.select(
-        "row.*", "source_block", "place", (frame + F.get("p.at", turn)).alias("slot"),
-        (frame + F.floor(turn * F.col("p.length") / F.col("p.quota"))).alias("release"),
-        (frame + F.ceil((turn + 1) * F.col("p.length") / F.col("p.quota"))).alias("deadline"))
+    first = blocks.join(F.broadcast(table) if small else table, "key").select("row", "source_block", "place", "pool", _at("phases", b).alias("s"))
+    groups = table.filter(F.col("key").startswith(POOLED)).withColumnsRenamed({"pool": "next"})
+    for _ in range(max(p.count(".") + 1 for p in tree if p) if len(tree) > 1 else 0):  # from pool to pool, up to the whole
+        met = first.join(F.broadcast(groups), F.col("pool") == F.col("key"), "left")
+        up = F.struct(_at("phases", F.col("s.slot"))["slot"].alias("slot"), _at("phases", F.col("s.release"))["release"].alias("release"),
+                      _at("phases", F.col("s.deadline") - 1)["deadline"].alias("deadline"))
+        first = met.select("row", "source_block", "place", F.col("next").alias("pool"), F.when(F.col("pool").isNull(), F.col("s")).otherwise(up).alias("s"))
+    return first.select("row.*", "source_block", "place", "s.slot", "s.release", "s.deadline")
 
 
 def in_slots(table: DataFrame) -> DataFrame:
