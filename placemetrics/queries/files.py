@@ -21,6 +21,10 @@ from placemetrics.sources.mappings import read_mapping
 from placemetrics.storage import shared_folder
 
 
+#: Rows of one file with headers, about.
+ROWS_PER_FILE = 10_000
+
+
 def _new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/files-{name}-{uuid.uuid4().hex}"
 
@@ -46,15 +50,17 @@ def csv_after_headers(spark: SparkSession, folder: str) -> DataFrame:
     """Several files, each with a title and a second header to skip."""
     path = _new_path(spark, "headers")
     suppliers = t.read(spark, folder, "supplier")
-    for part in range(3):
-        lines = suppliers.filter(F.col("s_suppkey") % 3 == part).select(
-            F.lit(1).alias("place"), F.concat_ws(",", "s_suppkey", "s_name", "s_nationkey").alias("value"))
-        heads = spark.range(2).select(F.lit(0).alias("place"), F.concat(F.lit("title "), F.col("id")).alias("value"))
-        # each of the three files is one partition, so its two heads stand first
-        heads.union(lines).coalesce(1).sortWithinPartitions("place").select("value").write.text(f"{path}/{part}")
+    files = max(3, -(-suppliers.count() // ROWS_PER_FILE))
+    lines = suppliers.select(F.pmod(F.xxhash64("s_suppkey"), F.lit(files)).alias("file"), F.lit(1).alias("place"),
+                             F.concat_ws(",", "s_suppkey", "s_name", "s_nationkey").alias("value"))
+    heads = spark.range(2 * files).select(F.floor(F.col("id") / 2).alias("file"), F.lit(0).alias("place"),
+                                          F.concat(F.lit("title "), F.col("id") % 2).alias("value"))
+    # a file's rows are in one partition, so its two heads stand first
+    dealt = heads.union(lines).repartition("file").sortWithinPartitions("file", "place")
+    dealt.select("file", "value").write.option("maxRecordsPerFile", 0).partitionBy("file").text(path)
     schema = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_name", T.StringType()),
                            T.StructField("s_nationkey", T.IntegerType())])
-    return read_csv_after(spark, f"{path}/*", schema, 2)
+    return read_csv_after(spark, f"{path}/file=*", schema, 2)
 
 
 def named_rows(spark: SparkSession, folder: str) -> DataFrame:
