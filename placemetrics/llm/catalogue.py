@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placemetrics.llm import bitmap_manifest, kernel_langid, line_index, lsh_forest, pfair_mixing, quality_gam, rule_ledger, spot_signatures, suffix_dedup, surrogates, swap_packing
+from placemetrics.llm import bitmap_manifest, host_reputation, kernel_langid, line_index, lsh_forest, pfair_mixing, quality_gam, rule_ledger, spot_signatures, suffix_dedup, surrogates, swap_packing
 
 QUERIES = {
     "op1_quality_gam": quality_gam.op1_quality_gam,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_surrogates": surrogates.op9_surrogates,
     "op10_rule_ledger": rule_ledger.op10_rule_ledger,
     "op11_bitmap_manifest": bitmap_manifest.op11_bitmap_manifest,
+    "op12_host_reputation": host_reputation.op12_host_reputation,
 }
 
 SQL = {
     "op6_line_index": line_index.OP6_SQL,
     "op10_rule_ledger": rule_ledger.OP10_SQL,
     "op11_bitmap_manifest": bitmap_manifest.OP11_SQL,
+    "op12_host_reputation": host_reputation.OP12_SQL,
 }
