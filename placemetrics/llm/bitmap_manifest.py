@@ -14,7 +14,7 @@ tampered with; an empty table gives no rows; a lone leaf is its tree's root.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,12 +25,12 @@ from placemetrics.operators.joins import join_null_safe
 from placemetrics.operators.ordering import total_before
 
 FAN = 8
-#: Levels reduced at once, and the nodes of such a block.
+#: Levels reduced at once, in blocks of FAN to that power.
 LEVELS = 4
-BLOCK = FAN**LEVELS
 #: Copies of one row that one step writes out.
 COPIES = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PATHS = "tree bigint, pos bigint, node string, path string, subroot string"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -96,10 +96,10 @@ def depth(total: int) -> int:
     return levels
 
 
-def reduced(nodes: list[str], total: int) -> list[list[str]]:
+def reduced(nodes: list[str], total: int, at_once: int) -> list[list[str]]:
     """The levels of one block, its own nodes first; all that are left if the tree has no more."""
     levels = [nodes]
-    for _ in range(min(LEVELS, depth(total))):
+    for _ in range(min(at_once, depth(total))):
         below = levels[-1]
         levels.append([digest("".join(below[k : k + FAN])) for k in range(0, len(below), FAN)])
     return levels
@@ -119,38 +119,39 @@ def lines_of(levels: list[list[str]]) -> Iterator[list[str]]:
         yield ["*".join(pairs[k // FAN**up]) for up, pairs in enumerate(cut)]
 
 
-def _risen(table: pa.Table) -> pa.Table:
+def _risen(table: pa.Table, at_once: int) -> pa.Table:
     tree, total, pos = (table.column(c)[0].as_py() for c in ("tree", "total", "pos"))
     table, nodes = slots(table, "node")
-    return pa.table({"tree": pa.array([tree], pa.int64()), "total": pa.array([-(-total // BLOCK)], pa.int64()),
-                     "pos": pa.array([pos // BLOCK], pa.int64()), "node": [reduced(nodes, total)[-1][0]]})
+    return pa.table({"tree": pa.array([tree], pa.int64()), "total": pa.array([-(-total // FAN**at_once)], pa.int64()),
+                     "pos": pa.array([pos // FAN**at_once], pa.int64()), "node": [reduced(nodes, total, at_once)[-1][0]]})
 
 
-def climbed(nodes: DataFrame, most: int) -> list[DataFrame]:
+def climbed(nodes: DataFrame, most: int, at_once: int) -> list[DataFrame]:
     """Tables of nodes (tree, total, pos, node), from the given one to one node per tree.
 
-    ``most`` is the number of nodes of the largest tree; each step divides it by BLOCK.
+    ``most`` is the number of nodes of the largest tree; each step divides it by a block's.
     """
+    block = FAN**at_once
     tables = [nodes]
     while True:
         last = tables[-1].select("tree", "total", "pos", "node")
-        tables.append(stored(last.groupBy("tree", F.expr(f"pos div {BLOCK}")).applyInArrow(
-            _risen, "tree bigint, total bigint, pos bigint, node string"), "nodes"))
-        most = -(-most // BLOCK)
+        tables.append(stored(last.groupBy("tree", F.expr(f"pos div {block}")).applyInArrow(
+            lambda t: _risen(t, at_once), "tree bigint, total bigint, pos bigint, node string"), "nodes"))
+        most = -(-most // block)
         if most <= 1:
             return tables
 
 
-def _paths(own: pa.Table, above: pa.Table) -> pa.Table:
+def _paths(own: pa.Table, above: pa.Table, at_once: int) -> pa.Table:
     """Per node of a block its runs up to the root."""
     own, nodes = slots(own, "node")
     rest, root = (above.column(c)[0].as_py() for c in ("path", "subroot"))
-    paths = ["".join(f"{line}\n" for line in lines) + rest for lines in lines_of(reduced(nodes, own.column("total")[0].as_py()))]
+    paths = ["".join(f"{line}\n" for line in lines) + rest for lines in lines_of(reduced(nodes, own.column("total")[0].as_py(), at_once))]
     return pa.table({"tree": own.column("tree"), "pos": own.column("pos"), "node": nodes, "path": paths,
                      "subroot": pa.array([root] * len(nodes), pa.string())})
 
 
-def _proofs(own: pa.Table, above: pa.Table) -> pa.Table:
+def _proofs(own: pa.Table, above: pa.Table, at_once: int) -> pa.Table:
     """Per leaf of a block the hash of its siblings and the root folded from them."""
     own, nodes = slots(own, "node")
     rest, root = (above.column(c)[0].as_py() for c in ("path", "subroot"))
@@ -158,7 +159,7 @@ def _proofs(own: pa.Table, above: pa.Table) -> pa.Table:
     siblings = "".join(upper).replace("*", "")
     proofs, folded = [], []
     tampered = own.column("tampered").to_pylist()
-    for leaf, other, lines in zip(nodes, tampered, lines_of(reduced(nodes, own.column("total")[0].as_py())), strict=True):
+    for leaf, other, lines in zip(nodes, tampered, lines_of(reduced(nodes, own.column("total")[0].as_py(), at_once)), strict=True):
         proofs.append(digest("".join(lines).replace("*", "") + siblings))
         here = other or leaf
         for line in lines:
@@ -170,20 +171,20 @@ def _proofs(own: pa.Table, above: pa.Table) -> pa.Table:
                      "proof_sha256": proofs, "folded_root": folded})
 
 
-def descended(tables: list[DataFrame], above: DataFrame) -> DataFrame:
+def descended(tables: list[DataFrame], above: DataFrame, at_once: int) -> DataFrame:
     """``above`` for the nodes of ``tables[0]``: per block of it (tree, block) the path from there on."""
     for nodes in tables[:0:-1]:
-        above = _met(nodes, above, _paths, "tree bigint, pos bigint, node string, path string, subroot string")
-        above = above.withColumnRenamed("pos", "block")
+        above = _met(nodes, above, _paths, PATHS, at_once).withColumnRenamed("pos", "block")
     return above
 
 
-def _met(nodes: DataFrame, above: DataFrame, step, schema: str) -> DataFrame:
-    blocks = nodes.withColumn("block", F.expr(f"pos div {BLOCK}"))
-    return blocks.groupBy("tree", "block").cogroup(above.groupBy("tree", "block")).applyInArrow(step, schema)
+def _met(nodes: DataFrame, above: DataFrame, step: Callable[..., pa.Table], schema: str, at_once: int) -> DataFrame:
+    blocks = nodes.withColumn("block", F.expr(f"pos div {FAN**at_once}"))
+    return blocks.groupBy("tree", "block").cogroup(above.groupBy("tree", "block")).applyInArrow(
+        lambda own, upper: step(own, upper, at_once), schema)
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, at_once: int = LEVELS) -> DataFrame:
     """Per row: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     One shuffle brings digests and bitmap words together, two more the nodes of a block;
@@ -193,18 +194,18 @@ def manifest(docs: DataFrame) -> DataFrame:
     leaves, trees = placed(docs)
     leaves = stored(leaves.withColumnRenamed("leaf", "node"), "leaves")
     n_trees, most = trees.agg(F.count(F.lit(1)), F.max("total")).first()
-    tables = climbed(leaves, most or 0)
+    tables = climbed(leaves, most or 0, at_once)
     subroots = tables[-1].select(F.lit(0).cast("bigint").alias("tree"), F.lit(n_trees).cast("bigint").alias("total"),
                                  F.col("tree").alias("pos"), "node")
-    forest = climbed(subroots, n_trees)
+    forest = climbed(subroots, n_trees, at_once)
     top = forest[-1].select("tree", F.lit(0).cast("bigint").alias("block"), F.lit("").alias("path"), F.lit("").alias("subroot"))
-    roots = _met(forest[0], descended(forest[:-1], top), _paths, "tree bigint, pos bigint, node string, path string, subroot string")
+    roots = _met(forest[0], descended(forest[:-1], top, at_once), _paths, PATHS, at_once)
     above = stored(roots.select(F.col("pos").alias("tree"), F.lit(0).cast("bigint").alias("block"), "path",
                                 F.col("node").alias("subroot")), "roots")
     root = forest[-1].first()
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = _met(tables[0], descended(tables[:-1], above), _proofs,
-                f"doc_id {id_type}, leaf string, subroot string, proof_sha256 string, folded_root string")
+    rows = _met(tables[0], descended(tables[:-1], above, at_once), _proofs,
+                f"doc_id {id_type}, leaf string, subroot string, proof_sha256 string, folded_root string", at_once)
     whole = F.lit(root.node if root else None).cast("string")
     return rows.select("doc_id", "leaf", "subroot", whole.alias("root"), "proof_sha256", "folded_root",
                        (F.col("folded_root") == whole).alias("verified"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placemetrics.llm import bitmap_manifest, host_reputation, kernel_langid, line_index, lsh_forest, pfair_mixing, quality_gam, rule_ledger, spot_signatures, suffix_dedup, surrogates, swap_packing
+from placemetrics.llm import bitmap_manifest, host_reputation, kernel_langid, line_index, lsh_forest, pfair_mixing, quality_gam, rule_ledger, spot_signatures, suffix_dedup, surrogates, swap_packing, weighted_whitening
 
 QUERIES = {
     "op1_quality_gam": quality_gam.op1_quality_gam,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_rule_ledger": rule_ledger.op10_rule_ledger,
     "op11_bitmap_manifest": bitmap_manifest.op11_bitmap_manifest,
     "op12_host_reputation": host_reputation.op12_host_reputation,
+    "op13_weighted_whitening": weighted_whitening.op13_weighted_whitening,
 }
 
 SQL = {

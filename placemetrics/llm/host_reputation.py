@@ -153,7 +153,9 @@ def judged(pages: DataFrame, outcomes: DataFrame, item: Column, rules: Sequence[
     heavy = known.filter(F.col("pages") >= HEAVY * most).select("host", F.struct("n", "rate", "upper").alias("heavy"))
     light = known.filter(F.col("pages") < HEAVY * most).select(F.col("host").alias("rare"), F.struct("n", "rate", "upper").alias("light"))
     rows = parted.join(F.broadcast(heavy), "host", "left")
-    rows = rows.join(light, F.when(F.col("heavy").isNull(), F.col("host")) == F.col("rare"), "left")
+    # pages that have their host's row already are dealt by id, under names that no host has
+    spread_out = F.concat(F.lit("/"), F.col("page_id").cast("string"))
+    rows = rows.join(light, F.when(F.col("heavy").isNull(), F.col("host")).otherwise(spread_out) == F.col("rare"), "left")
     reputation, fit = F.coalesce("heavy", "light"), first_fit(rules)
     verdict = F.when(reputation["upper"] < least, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", fit["rule"].alias("rule"), F.coalesce(fit["verdict"], verdict).alias("verdict"),

@@ -44,6 +44,10 @@ def folder(spark, odd, tmp_path_factory):
     odd.write.parquet(f"{where}/documents.parquet")
     labels = [(k, int(k % 3 != 0), 0) for k in range(0, 75)] + [(None, 1, 0), (3, None, None), (3, 1, 0), (999, 0, 0)]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    pages = [(k, f"http://h{k % 9}.d{k % 4}.org/en/{k}") for k in range(60)] + [(3, "http://www.example.com/en/1"), (None, None), (4, "")]
+    spark.createDataFrame(pages, "page_id bigint, url string").write.parquet(f"{where}/pages.parquet")
+    vectors = [(k, [float(k % 5), float(k * k % 7), k / 3]) for k in range(40)] + [(None, None), (7, [])]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{where}/embeddings.parquet")
     return where
 
 
@@ -52,4 +56,6 @@ def empty_folder(spark, odd, tmp_path_factory):
     where = str(tmp_path_factory.mktemp("empty"))
     odd.limit(0).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([], "page_id bigint, url string").write.parquet(f"{where}/pages.parquet")
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>").write.parquet(f"{where}/embeddings.parquet")
     return where

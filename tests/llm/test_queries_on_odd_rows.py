@@ -26,7 +26,8 @@ def test_empty_tables_give_no_rows(spark, empty_folder, name):
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_sql_counterparts_agree(spark, folder, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    for table in ("documents", "labels", "pages"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
     mine = catalogue.QUERIES[name](spark, folder)
     theirs = con.sql(catalogue.SQL[name])
     columns = sorted(mine.columns)
