@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -86,21 +86,26 @@ def title_case(column: Column | str) -> Column:
                   F.array_join(F.get(cased_tokens, F.lit(0)), ""))
 
 
-def _ascii_table() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, derived from Unicode itself."""
-    accented, plain = [], []
-    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
-        letter = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFD", letter)
-                       if not unicodedata.combining(c))
-        if letter not in PLAIN_FORMS and base != letter and len(base) == 1 and base.isascii():
-            accented.append(letter)
-            plain.append(base)
-    for letter, base in PLAIN_FORMS.items():
-        if len(base) == 1:
-            accented.append(letter)
-            plain.append(base)
-    return "".join(accented), "".join(plain)
+#: Blocks with Latin letters: first and last code point.
+LATIN_BLOCKS = ((0x00C0, 0x024F), (0x0250, 0x02AF), (0x1D00, 0x1D7F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F),
+                (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A))
+# The base letters that a letter's Unicode name tells: one, or the two of a ligature.
+_NAMED = re.compile(r"LATIN (CAPITAL|SMALL|LETTER SMALL CAPITAL) (?:(?:LETTER|LIGATURE) )?"
+                    r"(?:DOTLESS |LONG )?([A-Z]|A[AEOUVY]|DZ|IJ|L[JL]|NJ|O[EOU]|TZ|VY)(?: WITH .*| DIGRAPH.*)?")
+
+
+def plain_letter(letter: str) -> str:
+    """The letters of A-Z behind a Latin letter; itself where neither form nor name tells any."""
+    if letter in PLAIN_FORMS:
+        return PLAIN_FORMS[letter]
+    parts = unicodedata.normalize("NFKD", letter)
+    base = "".join(c for c in parts if not unicodedata.combining(c))
+    if base != letter and base.isascii() and base.isalpha():
+        return base
+    named = _NAMED.fullmatch(unicodedata.name(base if len(base) == 1 else letter, ""))
+    if not named:
+        return letter
+    return named[2].lower() if named[1] == "SMALL" else named[2]
 
 
 # Punctuation and signs with a plain form.
@@ -113,20 +118,40 @@ PLAIN_PUNCTUATION = {
     "©": "(C)", "®": "(R)", "™": "TM", "¼": " 1/4", "½": " 1/2", "¾": " 3/4",
 }
 
-_ACCENTED, _PLAIN = _ascii_table()
-_ACCENTED += "".join(c for c, plain in PLAIN_PUNCTUATION.items() if len(plain) == 1)
-_PLAIN += "".join(plain for plain in PLAIN_PUNCTUATION.values() if len(plain) == 1)
+
+#: Every letter and sign with another, plain form.
+PLAIN = {c: plain_letter(c) for first, last in LATIN_BLOCKS for c in map(chr, range(first, last + 1))
+         if c.isalpha()} | PLAIN_FORMS | PLAIN_PUNCTUATION
+PLAIN = {c: plain for c, plain in PLAIN.items() if plain != c}
+_SINGLE = {c: plain for c, plain in PLAIN.items() if len(plain) == 1}
+_LONGER = {c: plain for c, plain in PLAIN.items() if len(plain) > 1}
+_USUAL = "ßæœÆŒ…"
+
+
+def _where_not_plain(text: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` of the texts that are not ASCII; the one-element transform names the text once."""
+    return F.get(F.transform(F.array(text), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), step(t)).otherwise(t)),
+                 F.lit(0))
 
 
 def to_ascii(column: Column | str) -> Column:
-    """Latin letters, quotes, dashes and signs in ASCII; marks after letters go (rule N24)."""
-    text = as_column(column)
-    folded = F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"([A-Za-z])[\u0300-\u036F]+", "$1")
-    for letter, base in (PLAIN_FORMS | PLAIN_PUNCTUATION).items():
-        if len(base) > 1:
-            folded = F.replace(folded, F.lit(letter), F.lit(base))
-    # Most texts are plain already; testing for that is cheaper than translating.
-    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
+    """Latin letters, quotes, dashes and signs in ASCII; marks after letters go (rule N24).
+
+    One pass over the text replaces all letters with a single plain letter.  What is not plain
+    then is looked through for letters with a longer form, the usual ones first, and for marks.
+    """
+    def replaced(text: Column, letters: Iterable[str]) -> Column:
+        return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(PLAIN[c])), letters, text)
+
+    def rest(text: Column) -> Column:
+        unusual = replaced(text, [c for c in _LONGER if c not in _USUAL])
+        return F.regexp_replace(unusual, r"([A-Za-z])[\u0300-\u036F]+", "$1")
+
+    def folded(text: Column) -> Column:
+        single = F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values()))
+        return _where_not_plain(single, lambda t: _where_not_plain(replaced(t, _USUAL), rest))
+
+    return _where_not_plain(as_column(column), folded)
 
 
 def replace_all(column: Column | str, rules: Iterable[tuple[str, str]]) -> Column:

@@ -3,9 +3,9 @@
 Ranks and medians need to know how many values lie below a value.  A window over
 the group would bring all of it to one task, and Spark's exact median keeps every
 distinct value of a group in one buffer.  Here a mergeable quantile sketch says
-where to cut each group, equal values are counted with map-side partials, and only
-what lies between two cuts is ordered.  The sketch decides how much work is left
-to a task, never the result.
+where to cut each group, equal values are counted with map-side partials, and what
+lies between two cuts is cut again until few distinct values are left to order.  The
+sketch decides how much work is left to a task, never the result.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 
 from placemetrics.functions.semantics import as_column
 from placemetrics.operators.joins import join_null_safe, scalar
+from placemetrics.operators.ordering import RANGE_ROWS, total_before
 from placemetrics.storage import written_once
 
 __all__ = ["value_positions", "summarise", "medians", "approximate_medians", "median_of_column"]
 
-RANGES = 64
 ACCURACY = 10000
+# Distinct values of a group that are ordered in one task at most, and the ranges that
+# more of them are cut into.
+DISTINCT = 10_000
+CUTS = 64
 # Half the width of the first bracket around the middle, as a share of the group.
 FIRST_WIDTH = 2.5 / ACCURACY
 
@@ -38,35 +42,19 @@ def _per_group(df: DataFrame, groups: DataFrame, within: Sequence[str],
 
 
 def value_positions(df: DataFrame, value: str, within: Sequence[str] = (),
-                    ranges: int = RANGES) -> DataFrame:
+                    rows: int = RANGE_ROWS) -> DataFrame:
     """Per distinct value of a group: how many rows equal it and how many lie below.
 
     Columns: ``within``, ``value``, ``n_equal``, ``n_below``, ``n_group``.  The counts of
-    distinct values are written once, so that ``df`` itself is read a single time.
+    distinct values are written once, so that ``df`` itself is read a single time, and then
+    added up in ranges of about ``rows`` values, as many as there have to be.
     """
     counts = written_once(df.filter(F.col(value).isNotNull())
                           .groupBy(*within, value).agg(F.count(F.lit(1)).alias("n_equal")))
-    cuts = counts.groupBy(*within).agg(F.percentile_approx(
-        value, [i / ranges for i in range(1, ranges)], 50 * ranges).alias("__cuts"))
-    ranged = _per_group(counts, cuts, within, ["__cuts"]).withColumn(
-        "__range", F.size(F.filter("__cuts", lambda cut: cut < F.col(value)))).drop("__cuts")
-    # One row per group with at most ``ranges`` totals in it.
-    totals = (ranged.groupBy(*within, "__range").agg(F.sum("n_equal").alias("n"))
-              .groupBy(*within).agg(F.collect_list(F.struct("__range", "n")).alias("__totals"),
-                                    F.sum("n").alias("n_group")))
-    totals = totals.select(*within, "n_group", F.transform(
-        F.sequence(F.lit(0), F.lit(ranges)),
-        lambda here: F.aggregate(
-            F.filter("__totals", lambda t: t["__range"] < here),
-            F.lit(0).cast("bigint"), lambda total, t: total + t["n"])).alias("__below"))
-    located = _per_group(ranged, totals, within, ["__below", "n_group"])
-    earlier = (Window.partitionBy(*within, "__range").orderBy(value)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    return located.select(
-        *within, value, "n_equal",
-        (F.get("__below", F.col("__range"))
-         + F.coalesce(F.sum("n_equal").over(earlier), F.lit(0))).alias("n_below"),
-        "n_group")
+    totals = counts.groupBy(*within).agg(F.sum("n_equal").alias("n_group"))
+    located = total_before(counts, "n_equal", "n_below", [value], within, rows)
+    return _per_group(located, totals, within, ["n_group"]).select(
+        *within, value, "n_equal", "n_below", "n_group")
 
 
 def summarise(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
@@ -131,6 +119,7 @@ def _middles(rows: DataFrame, brackets: DataFrame, keys: Sequence[str],
               .filter("f IS NOT NULL")
               .groupBy(*keys, "f").agg(F.count(F.lit(1)).alias("__equal"))
               .select(*keys, "f.*", "__equal"))
+    counts = _narrowed(written_once(counts), keys)
     so_far = (Window.partitionBy(*keys, "measure").orderBy(F.col("value").asc_nulls_first())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ordered = counts.withColumn("__upto", F.sum("__equal").over(so_far)).selectExpr(
@@ -150,6 +139,40 @@ def _middles(rows: DataFrame, brackets: DataFrame, keys: Sequence[str],
         f"{inside} AS __inside")
 
 
+def _narrowed(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts around the middle ranks, at most DISTINCT values of each group and column.
+
+    ``counts`` is a stored table of (keys, measure, n, value, __equal), a NULL value standing
+    for all rows below.  A round cuts the values of large groups into CUTS ranges, adds up the
+    ranges and turns those below the middle into the row for "below"; those above go.
+    """
+    group = [*keys, "measure"]
+    while True:
+        large = (counts.groupBy(*group).agg(F.count("value").alias("__d"))
+                 .filter(F.col("__d") > DISTINCT).select(*group))
+        if large.isEmpty():
+            return counts
+        cuts = join_null_safe(counts, large, group, "left_semi").groupBy(*group).agg(
+            F.percentile_approx("value", [i / CUTS for i in range(1, CUTS)], 50 * CUTS)
+            .alias("__cuts"))
+        ranged = join_null_safe(counts, cuts, group, "left").withColumn(
+            "__range", F.when(F.col("value").isNull(), -1).otherwise(
+                F.size(F.filter("__cuts", lambda cut: cut < F.col("value")))))
+        so_far = Window.partitionBy(*group).orderBy("__range")  # at most CUTS + 1 rows
+        chosen = (ranged.filter("__cuts IS NOT NULL").groupBy(*group, "n", "__range")
+                  .agg(F.sum("__equal").alias("__s"))
+                  .withColumn("__upto", F.sum("__s").over(so_far)).filter("__range >= 0")
+                  .groupBy(*group).agg(
+                      F.expr("min(CASE WHEN __upto >= floor((n + 1) / 2) THEN __range END) AS __from"),
+                      F.expr("min(CASE WHEN __upto > floor(n / 2) THEN __range END) AS __to")))
+        counts = written_once(
+            join_null_safe(ranged, chosen, group, "left")
+            .filter("__cuts IS NULL OR __range <= __to")
+            .withColumn("value", F.expr("CASE WHEN __cuts IS NULL OR __range >= __from THEN value END"))
+            .groupBy(*group, "n", "value").agg(F.sum("__equal").alias("__equal"))
+            .select(*keys, "measure", "n", "value", "__equal"))
+
+
 def medians(df: DataFrame, columns: Mapping[str, Column | str],
             within: Sequence[str] = ()) -> DataFrame:
     """Exact medians of several columns per group."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from placemetrics.operators.joins import join_null_safe
 from placemetrics.storage import written_once
 
-__all__ = ["RANGE_ROWS", "in_ranges", "total_before"]
+__all__ = ["RANGE_ROWS", "in_ranges", "total_before", "numbered"]
 
 #: Rows that one range holds, about; equal rows of the order always share a range.
 RANGE_ROWS = 100_000
@@ -53,3 +53,20 @@ def total_before(df: DataFrame, value: str, into: str, by: Sequence[str],
     return (join_null_safe(placed, borders, [*within, "__range"], "inner")
             .withColumn(into, F.col("__carried") + F.coalesce(inside, F.lit(0)))
             .select(*df.columns, into))
+
+
+def numbered(df: DataFrame, into: str, *order: Column, rows: int = RANGE_ROWS) -> DataFrame:
+    """Add each row's place in an order of the whole table, from 1.
+
+    Rows that tie are ordered by their contents, so no more than equal rows change places
+    from run to run, and any number of ties is dealt to ranges like other rows.
+    """
+    order = (*order, F.xxhash64(*df.columns), F.col("__row"))
+    stored = written_once(df.withColumn("__row", F.monotonically_increasing_id()))
+    placed = in_ranges(stored, *order, rows=rows)
+    counts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    borders = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__carried"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return (placed.join(borders, "__range")
+            .withColumn(into, F.col("__carried") + place).select(*df.columns, into))

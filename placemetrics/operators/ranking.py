@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placemetrics.operators.distribution import value_positions
 from placemetrics.operators.joins import join_null_safe, scalar
+from placemetrics.operators.ordering import numbered
 
 __all__ = ["whole_table", "top_n", "add_rank", "rank_of", "add_position", "arrange", "keep_maximum",
            "suppress_small"]
@@ -23,15 +24,20 @@ def whole_table(*within: str) -> WindowSpec:
 
 
 def top_n(df: DataFrame, n: int, by: str, within: Sequence[str] = (),
-          smallest: bool = False) -> DataFrame:
+          smallest: bool = False, members: str = "many") -> DataFrame:
     """The n best rows per group with all ties; rows without a weight drop out (rule N15).
 
     Equal weights are counted with map-side partials.  Only the n best distinct weights
     of each partition and group are ordered; those with fewer than n better rows name
-    the rows to keep, so any number of tied rows is neither moved nor sorted.
+    the rows to keep, so any number of tied rows is neither moved nor sorted.  A result
+    with one row per member of a dimension (``members="few"``) takes one window instead,
+    cut to the n best of each partition ahead of it.
     """
     order = F.col(by).asc() if smallest else F.col(by).desc()
     window = (Window.partitionBy(*within) if within else Window).orderBy(order)
+    if members == "few":
+        return (df.filter(F.col(by).isNotNull()).withColumn("__rank", F.rank().over(window))
+                .filter(F.col("__rank") <= n).drop("__rank"))
     weights = (df.filter(F.col(by).isNotNull()).groupBy(*within, by)
                .agg(F.count(F.lit(1)).alias("__n"))
                .withColumn("__place", F.row_number().over(window)).filter(F.col("__place") <= n))
@@ -49,7 +55,7 @@ def add_rank(df: DataFrame, by: str, into: str, within: Sequence[str] = (),
     Rows without a value get no rank, or with ``missing_last`` the first place after
     all rows that have one.  With ``members="few"`` a group is one window partition,
     which suits results with one row per place; ``"many"`` orders ranges of the
-    values separately and has no such limit.
+    distinct values, as many as they need, and has no such limit.
     """
     if ties not in ("average", "min"):
         raise ValueError("ties must be 'average' or 'min'")
@@ -92,10 +98,16 @@ def rank_of(df: DataFrame, by: str, is_member: Column) -> DataFrame:
 
 
 def add_position(df: DataFrame, by: str, into: str, tie_breaker: Sequence[str] = (),
-                 descending: bool = True) -> DataFrame:
-    """1-based row position.  Meant for results a ``top_n`` has already bounded."""
+                 descending: bool = True, members: str = "few") -> DataFrame:
+    """1-based row position.
+
+    ``"few"`` is one window, for results a ``top_n`` has already bounded; ``"many"`` numbers
+    ranges of the order separately, each range after the rows of those before it.
+    """
     order = [F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last(),
              *[F.col(c).asc_nulls_last() for c in tie_breaker]]
+    if members == "many":
+        return numbered(df, into, *order)
     return df.withColumn(into, F.row_number().over(Window.orderBy(*order)))
 
 

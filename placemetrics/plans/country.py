@@ -86,7 +86,7 @@ def region_years(respondents: DataFrame) -> DataFrame:
 
 
 def top_countries(countries: DataFrame, n: int = 10, year: int = LATEST_YEAR) -> DataFrame:
-    rows = top_n(countries.filter(F.col("year") == year), n, "respondents_share")
+    rows = top_n(countries.filter(F.col("year") == year), n, "respondents_share", members="few")
     return arrange(rows.select("country", title_case("country").alias("country_label"),
                                "region_carow_label", "respondents", "respondents_share"),
                    "respondents_share")
@@ -103,7 +103,7 @@ def per_capita_relative(countries: DataFrame, minimum: int = 50, n: int = 10,
     The reference is looked up among the selected rows, so it must be one of them.
     """
     rows = top_n(suppress_small(countries.filter(F.col("year") == year), minimum, "respondents"),
-                 n, "respondents_per_capita")
+                 n, "respondents_per_capita", members="few")
     rows = relative_to(rows, "respondents_per_capita", F.col("country") == reference,
                        "respondents_per_capita_ind")
     return arrange(rows.select("country", "region_carow_label", "respondents_per_capita",
@@ -131,6 +131,6 @@ def growth_of_leading_countries(countries: DataFrame, first: int = 2015, last: i
         F.avg(F.when(F.col("year") >= first, F.col("respondents_share"))).alias("mean_share"),
         growth(F.max_by(share, end), F.min_by(share, end)).alias("respondents_share_pc_change"),
         F.count(end).alias("ends"))
-    leading = top_n(per_country, n, "mean_share").filter(F.col("ends") > 0)
+    leading = top_n(per_country, n, "mean_share", members="few").filter(F.col("ends") > 0)
     return arrange(leading.select("country", "respondents_share_pc_change"),
                    "-respondents_share_pc_change")

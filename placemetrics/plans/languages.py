@@ -35,7 +35,7 @@ def top_languages(regions: DataFrame, n: int = 10) -> DataFrame:
                    [HOME, REST_OF_WORLD])
     ranked = add_rank(wide, HOME, "canada_rank", missing_last=True)
     ranked = add_rank(ranked, REST_OF_WORLD, "row_rank", missing_last=True)
-    return arrange(top_n(ranked, n, "canada_rank", smallest=True), "-canada_rank")
+    return arrange(top_n(ranked, n, "canada_rank", smallest=True, members="few"), "-canada_rank")
 
 
 def top_language_shares(regions: DataFrame, n: int = 10) -> DataFrame:

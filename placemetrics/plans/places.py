@@ -123,7 +123,7 @@ def cities_sorted(cities: DataFrame, by: str) -> DataFrame:
 
 def most_populous_share(cities: DataFrame, n: int = 3) -> DataFrame:
     """Combined shares of the n most populous cities."""
-    top = top_n(cities, n, "population")
+    top = top_n(cities, n, "population", members="few")
     return top.agg(F.sum("visitors_share_scaled").alias("visitors_share_scaled"),
                    F.sum("employees_share").alias("employees_share"))
 

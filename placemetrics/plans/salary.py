@@ -31,7 +31,7 @@ def _enough(countries: DataFrame, year: int, minimum: int, ppp: bool = False) ->
 
 def top_salary_countries(countries: DataFrame, minimum: int = MIN_SALARIES, n: int = 20,
                          year: int = LATEST_YEAR) -> DataFrame:
-    top = top_n(_enough(countries, year, minimum), n, "median_salary_cad")
+    top = top_n(_enough(countries, year, minimum), n, "median_salary_cad", members="few")
     return arrange(top.select("country", title_case("country").alias("country_label"),
                               "median_salary_cad", money_label("median_salary_cad").alias("text")),
                    "median_salary_cad")
@@ -67,7 +67,7 @@ def market_and_ppp(countries: DataFrame, minimum: int = MIN_SALARIES, n: int = 2
     long = to_long(relative, "currency", "median_salary_ind", [MARKET, PPP],
                    ids=["country", "region_carow_label"])
     ranked = add_rank(long, "median_salary_ind", "median_salary_rank", ["currency"])
-    top = top_n(ranked, n, "median_salary_ind", ["currency"])
+    top = top_n(ranked, n, "median_salary_ind", ["currency"], members="few")
     rank = F.regexp_replace(F.col("median_salary_rank").cast("string"), r"\.0$", "")
     return arrange(top.withColumn("country_label", rank_label(rank, title_case("country"))),
                    "median_salary_ind")

@@ -478,9 +478,9 @@ register("clean_packed_list",
          replace(text, ' ', ';'), '(?:the|an)', '', 'g'), '^;|;$', '', 'g'), ';+', ';', 'g'))
          AS cleaned FROM documents""")
 register("fold_to_ascii",
-         lambda s, d: t.read(s, d, "documents").select(
-             "doc_id", F.md5(to_ascii("text")).alias("folded"),
-             F.length(to_ascii("text")).cast("bigint").alias("n_chars")),
+         lambda s, d: t.read(s, d, "documents").select("doc_id", to_ascii("text").alias("plain")).select(
+             "doc_id", F.md5("plain").alias("folded"),
+             F.length("plain").cast("bigint").alias("n_chars")),
          """SELECT doc_id, md5(a) AS folded, length(a) AS n_chars FROM (SELECT doc_id,
          replace(replace(replace(strip_accents(text), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae') AS a
          FROM documents)""")

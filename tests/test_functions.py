@@ -1,8 +1,11 @@
 """One small fixture per rule on missing values, ties, rounding and text."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
+from placemetrics.functions import text
 from placemetrics.functions import (
     bin_index, clean_packed, comma_label, divide, drop_parenthesised, first_match, growth,
     half_even, half_open_bin, if_known, matches, money_label, money_mean, money_sum, not_in,
@@ -114,6 +117,26 @@ def test_ascii(spark):
     assert values(table(spark, list(cases), "x string"), to_ascii("x")) == list(cases.values())
 
 
+def test_every_latin_letter_has_its_plain_form(spark):
+    """All Latin blocks: by decomposition, or by the base letter in the Unicode name."""
+    expected = {}
+    for code in [c for first, last in text.LATIN_BLOCKS for c in range(first, last + 1)]:
+        letter, name = chr(code), unicodedata.name(chr(code), "")
+        base = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+        words = name.split()
+        if letter in text.PLAIN_FORMS:
+            expected[letter] = text.PLAIN_FORMS[letter]
+        elif base.isascii() and base.isalpha():
+            expected[letter] = base
+        elif words[:1] == ["LATIN"] and words[2:3] == ["LETTER"] and len(words) > 4 and words[4] == "WITH" and len(words[3]) == 1:
+            expected[letter] = words[3] if words[1] == "CAPITAL" else words[3].lower()
+    assert len(expected) > 800
+    df = table(spark, [f"x{c}-{c}" for c in expected], "x string")
+    assert values(df, to_ascii("x")) == [f"x{p}-{p}" for p in expected.values()]
+    whole = table(spark, ["".join(expected), None, "Ǆ ﬁ ᴀ Ɓ Ꜳ ｆ日"], "x string")
+    assert values(whole, to_ascii("x")) == ["".join(expected.values()), None, "DZ fi A B AA f日"]
+
+
 def test_city_spelling(spark):
     cases = {"Montréal, Quebec": "montreal", "Québec, Quebec": "quebec city",
              "Ottawa-Gatineau, Ontario/Quebec": "ottawa  -  gatineau",

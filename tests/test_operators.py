@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from placemetrics.operators import distribution
 from placemetrics.operators import (
-    add_rank, add_share, approximate_medians, drop_members, explode_packed, full_join,
-    growth_on_previous, index_to_base, join_null_safe, keep_first, keep_members, location_quotient,
-    lookup, map_layer, medians, member_share, pack_coded_options, pack_options, rank_of,
+    add_position, add_rank, add_share, approximate_medians, drop_members, explode_packed, full_join,
+    growth_on_previous, in_ranges, index_to_base, join_null_safe, keep_first, keep_members, location_quotient,
+    lookup, map_layer, medians, member_share, numbered, pack_coded_options, pack_options, rank_of,
     running_share, scaled_share, select_between, share_of_group, stack_tables, summarise,
-    suppress_small, to_long, to_wide, top_n, unique_keys, value_positions, with_literal_order)
+    suppress_small, to_long, to_wide, top_n, total_before, unique_keys, value_positions, with_literal_order)
+from placemetrics.storage import written_once
 
 
 def rows(df):
@@ -68,6 +69,72 @@ def test_a_bracket_that_misses_is_widened(numbers, monkeypatch, shift):
     assert medians(df, {"m": "x"}).first()["m"] == statistics.median(values)
 
 
+@pytest.mark.parametrize("shape", ["spread", "ties"])
+def test_large_groups_are_cut_until_few_values_are_left(spark, monkeypatch, shape):
+    """Two million rows of one group: no window holds more than DISTINCT of its values."""
+    monkeypatch.setattr(distribution, "DISTINCT", 70)
+    plain, seen = distribution._narrowed, []
+
+    def watched(counts, keys):
+        before = counts.groupBy(*keys, "measure").agg(F.count("value").alias("d")).agg(F.max("d")).first()[0]
+        out = plain(counts, keys)
+        seen.append((before, out.groupBy(*keys, "measure").agg(F.count("value").alias("d")).agg(F.max("d")).first()[0]))
+        return out
+
+    monkeypatch.setattr(distribution, "_narrowed", watched)
+    value = (F.col("id") * 7919 % 2_000_003).cast("double")
+    if shape == "ties":
+        value = F.when(F.col("id") % 3 == 0, F.lit(1_000_000.5)).otherwise(value)
+    df = spark.range(2_000_000).select(F.lit("hot").alias("k"), value.alias("x")).union(
+        spark.range(9).select(F.lit("small"), F.col("id").cast("double")))
+    found = {r["k"]: r["m"] for r in medians(df, {"m": "x", "n": -F.col("x")}, ["k"]).collect()}
+    values = sorted(r["x"] for r in df.filter("k = 'hot'").select("x").collect())
+    assert found == {"hot": (values[999_999] + values[1_000_000]) / 2, "small": 4.0}
+    assert all(after <= 70 for _, after in seen)
+    assert shape == "ties" or any(before > 70 for before, _ in seen)
+
+
+@pytest.mark.parametrize("within", [["k"], []])
+def test_totals_before_a_row(numbers, within):
+    """Ranges of five rows, a group over many of them and many groups in one."""
+    data, df = numbers
+    counts = written_once(df.groupBy(*(within or ["k"]), "x").agg(F.count(F.lit(1)).alias("n"))
+                          if within else df.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+    order = lambda v: (v is not None, v or 0)
+    for r in total_before(counts, "n", "b", ["x"], within, rows=5).collect():
+        mates = [x for k, x in data if not within or k == r["k"]]
+        assert r["b"] == sum(order(x) < order(r["x"]) for x in mates)
+
+
+def test_positions_of_many_rows(spark):
+    """Ties of two thirds of the rows are numbered in ranges, every number once."""
+    df = spark.range(3000).select((F.col("id") % 7).alias("t"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("w"))
+    few = {r["p"]: (r["w"], r["t"]) for r in add_position(df, "w", "p", ["t"]).collect()}
+    many = {r["p"]: (r["w"], r["t"]) for r in numbered(df, "p", F.col("w").desc_nulls_last(), F.col("t").asc(), rows=100).collect()}
+    assert many == few and len(many) == 3000
+    largest = in_ranges(written_once(df.withColumn("h", F.xxhash64("t"))), F.col("w").desc(), F.col("h"), rows=300)
+    assert largest.select("__range").distinct().count() > 3
+
+
+def test_ranges_follow_the_number_of_values(spark):
+    """No window over a whole group: every one is of a range, or of one row per range."""
+    df = spark.range(50_000).select((F.col("id") % 2).alias("k"), F.col("id").alias("x"))
+    plan = value_positions(df, "x", ["k"], rows=1000)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("__range" in line for line in windows)
+    ranks = add_rank(df, "x", "r", ["k"], members="many")
+    assert ranks.filter("r <> (49998 + k - x) / 2 + 1").count() == 0
+    assert {r["r"] for r in ranks.filter("x >= 49998").collect()} == {1.0}
+
+
+@pytest.mark.parametrize("members", ["few", "many"])
+def test_top_n_of_few_and_many_members_agree(numbers, members):
+    _, df = numbers
+    best = top_n(df, 3, "x", ["k"], members=members)
+    assert rows(best) == rows(top_n(df, 3, "x", ["k"]))
+    assert best.filter("k = 'hot'").count() >= 3
+
+
 def test_top_n_does_not_gather_ties(spark):
     df = spark.range(20_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 5 > 0, 1).otherwise(F.col("id")).alias("w"))
     best = top_n(df, 5, "w", smallest=True)
@@ -104,10 +171,10 @@ def test_repeated_lookup_keys_are_an_error(spark):
         unique_keys(table.union(table.limit(1)), "k").collect()
 
 
-@pytest.mark.parametrize("ranges", [2, 64])
-def test_value_positions(numbers, ranges):
+@pytest.mark.parametrize("per_range", [20, 100_000])
+def test_value_positions(numbers, per_range):
     data, df = numbers
-    for r in value_positions(df, "x", ["k"], ranges).collect():
+    for r in value_positions(df, "x", ["k"], per_range).collect():
         values = [x for k, x in data if k == r["k"] and x is not None]
         assert r["n_below"] == sum(v < r["x"] for v in values)
         assert r["n_equal"] == values.count(r["x"]) and r["n_group"] == len(values)
