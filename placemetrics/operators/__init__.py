@@ -1,3 +1,4 @@
+from placemetrics.operators.distinct import *  # noqa: F401,F403
 from placemetrics.operators.distribution import *  # noqa: F401,F403
 from placemetrics.operators.joins import *  # noqa: F401,F403
 from placemetrics.operators.measures import *  # noqa: F401,F403

@@ -12,10 +12,10 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-__all__ = ["join_null_safe", "lookup", "unique_keys", "recode_by_lookup", "keep_members",
+__all__ = ["join_null_safe", "lookup", "LookupReport", "unique_keys", "recode_by_lookup", "keep_members",
            "drop_members", "scalar", "full_join"]
 
 
@@ -51,6 +51,56 @@ def lookup(df: DataFrame, table: DataFrame, on: Mapping[str, str] | Sequence[str
     return join_null_safe(df, wanted, on, "left")
 
 
+class LookupReport:
+    """Counts of lookups, taken in the same run that uses them.
+
+    Each lookup of a chain counts its rows and those whose key found nothing; more rows after
+    a lookup than before it mean repeated keys.  The counts are there once the table has been
+    written or collected whole.  Tasks that run again count again, so only "some" and "none"
+    are sure; no shuffle may lie between the lookups of one report.
+    """
+
+    def __init__(self) -> None:
+        self._start = Observation()
+        self._lookups: list[tuple[str, Observation]] = []
+
+    def start(self, df: DataFrame) -> DataFrame:
+        """Count the rows that enter the chain."""
+        return df.observe(self._start, F.count(F.lit(1)).alias("rows"))
+
+    def lookup(self, name: str, df: DataFrame, table: DataFrame, on: Mapping[str, str] | Sequence[str] | str,
+               take: Mapping[str, str] | Sequence[str] | None = None) -> DataFrame:
+        """``lookup`` with its rows and its unmatched rows counted under ``name``."""
+        on = [on] if isinstance(on, str) else on
+        on = on if isinstance(on, Mapping) else {key: key for key in on}
+        take = [c for c in table.columns if c not in on.values()] if take is None else take
+        take = take if isinstance(take, Mapping) else {c: c for c in take}
+        found = lookup(df, table.withColumn("__hit", F.lit(True)), on, take | {"__hit": "__hit"})
+        asked = reduce(and_, (F.col(c).isNotNull() for c in on))
+        seen = Observation()
+        self._lookups.append((name, seen))
+        return found.observe(seen, F.count(F.lit(1)).alias("rows"),
+                             F.count_if(asked & F.col("__hit").isNull()).alias("unmatched")).drop("__hit")
+
+    def counts(self) -> dict[str, dict[str, int]]:
+        """Per lookup the rows whose key was given but not found, and the rows it added."""
+        before, out = self._start.get["rows"], {}
+        for name, seen in self._lookups:
+            after = seen.get
+            out[name] = {"unmatched": after["unmatched"], "added": after["rows"] - before}
+            before = after["rows"]
+        return out
+
+    def check(self, complete: Sequence[str] = ()) -> None:
+        """Fail if a lookup had repeated keys, or left rows unmatched where it must be complete."""
+        counts = self.counts()
+        wrong = [f"{name}: repeated keys added {c['added']} rows" for name, c in counts.items() if c["added"]]
+        wrong += [f"{name}: {counts[name]['unmatched']} rows without a match" for name in complete
+                  if counts[name]["unmatched"]]
+        if wrong:
+            raise ValueError("; ".join(wrong))
+
+
 def unique_keys(table: DataFrame, *keys: str) -> DataFrame:
     """The lookup table, or an error when it is used if a key has several rows (rule N25).
 

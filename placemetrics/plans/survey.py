@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.functions.semantics import fill_missing, if_known, is_in, matches, recode
 from placemetrics.functions.text import drop_parenthesised, title_case, to_ascii
-from placemetrics.operators.joins import lookup
+from placemetrics.operators.joins import LookupReport
+from placemetrics.operators.joins import lookup as plain_lookup
 from placemetrics.operators.measures import normalise_salary, parse_experience
 from placemetrics.operators.reshape import (drop_matching, pack_coded_options, pack_options,
                                             rename_by, stack_tables)
 from placemetrics.sources.mappings import Mappings
+from placemetrics.sources.store import store_table, with_key
 
 __all__ = ["survey_2014", "survey_2015", "survey_2016", "survey_2017", "harmonise",
-           "region_of", "HOME", "REST_OF_WORLD"]
+           "store_respondents", "region_of", "HOME", "REST_OF_WORLD"]
 
 HOME = "Canada"
 REST_OF_WORLD = "ROW"
@@ -121,27 +124,34 @@ def region_of(country: Column, is_eu: Column) -> Column:
             is_eu, F.lit("EU"), F.lit(REST_OF_WORLD))))
 
 
-def harmonise(tables: Sequence[DataFrame], mappings: Mappings) -> DataFrame:
+def harmonise(tables: Sequence[DataFrame], mappings: Mappings,
+              report: LookupReport | None = None) -> DataFrame:
     """M-16: union of the years, corrected, enriched and scored, without a shuffle.
 
     Every join is a lookup in a small table.  The rate lookup uses the country as
-    answered, the later ones the corrected country.
+    answered, the later ones the corrected country.  ``report`` counts in the same run
+    which lookups miss rows or multiply them.
     """
+    def lookup(df: DataFrame, name: str, *where: Any) -> DataFrame:
+        table = rates if name == "rates" else getattr(mappings, name)
+        return report.lookup(name, df, table, *where) if report else plain_lookup(df, table, *where)
+
     df = stack_tables(*tables)
+    df = report.start(df) if report else df
     df = df.withColumns({c: F.lower(c) for c in LOWER_CASE if c in df.columns})
     df = df.withColumns({c: F.transform(c, F.lower) for c in LOWER_CASE_LISTS if c in df.columns})
     df = df.withColumn("local_currency", drop_parenthesised("local_currency"))
 
-    df = lookup(df, mappings.country_corrections, {"country": "original_country_label"})
-    df = lookup(df, mappings.industries, {"industry": "industry_original"})
-    df = lookup(df, mappings.employment_statuses,
+    df = lookup(df, "country_corrections", {"country": "original_country_label"})
+    df = lookup(df, "industries", {"industry": "industry_original"})
+    df = lookup(df, "employment_statuses",
                 {"employment_status": "employment_status_original"})
-    df = lookup(df, mappings.currencies, {"local_currency": "currency_name"},
+    df = lookup(df, "currencies", {"local_currency": "currency_name"},
                 {"currency_code": "local_currency_code_name"})
-    rates = lookup(mappings.currencies, mappings.country_metadata, "currency_code", ["country"])
+    rates = plain_lookup(mappings.currencies, mappings.country_metadata, "currency_code", ["country"])
     df = df.withColumn("__rate", F.col("local_currency_per_usd").cast("decimal(18,6)"))
     rates = rates.withColumn("__rate", F.col("currency_per_usd").cast("decimal(18,6)"))
-    df = lookup(df, rates, ["country", "__rate"], {"currency_code": "local_currency_code_rate"})
+    df = lookup(df, "rates", ["country", "__rate"], {"currency_code": "local_currency_code_rate"})
     df = df.drop("__rate").withColumnsRenamed({
         "industry": "industry_original", "employment_status": "employment_status_original"})
 
@@ -161,9 +171,9 @@ def harmonise(tables: Sequence[DataFrame], mappings: Mappings) -> DataFrame:
                    F.col("local_currency_other"))),
     })
     df = parse_experience(df)
-    df = lookup(df, mappings.country_metadata, "country",
+    df = lookup(df, "country_metadata", "country",
                 {"is_eu": "is_eu", "currency_code": "country_currency_code"})
-    df = lookup(df, mappings.purchasing_power, "country", ["local_currency_per_intl_dollar"])
+    df = lookup(df, "purchasing_power", "country", ["local_currency_per_intl_dollar"])
     df = df.withColumn("is_eu", fill_missing("is_eu", False))
     df = df.withColumns({
         "region": region_of(F.col("country"), F.col("is_eu")),
@@ -177,3 +187,18 @@ def harmonise(tables: Sequence[DataFrame], mappings: Mappings) -> DataFrame:
         is_in("educ_level_group_label", EDUCATION_LABELS.values()),
         F.col("educ_level_group_label")))
     return drop_matching(normalise_salary(df), "q0029")
+
+
+def store_respondents(tables: Sequence[DataFrame], mappings: Mappings, complete: Sequence[str] = (),
+                      buckets: int | None = None) -> DataFrame:
+    """The harmonised table, written once: a folder per year, buckets by ``respondent_key``.
+
+    The key is the respondent's id, or a number of its own where the survey had none.  The run
+    that writes the table counts its lookups; it fails if a lookup has repeated keys, or if one
+    named in ``complete`` leaves rows unmatched.
+    """
+    report = LookupReport()
+    rows = with_key(harmonise(tables, mappings, report), "respondent_id", "respondent_key")
+    stored = store_table(rows, "respondent_key", buckets)
+    report.check(complete)
+    return stored

@@ -12,6 +12,7 @@ from placemetrics.functions.semantics import (count_present, divide, first_match
                                               to_number)
 from placemetrics.functions.text import (clean_packed, comma_label, drop_parenthesised, money_label,
                                          percent_label, replace_all, slug, title_case, to_ascii)
+from placemetrics.operators.distinct import distinct_counts, member_shares, with_missing_dims
 from placemetrics.operators.distribution import median_of_column, medians
 from placemetrics.operators.joins import (drop_members, full_join, keep_members,
                                           lookup, recode_by_lookup, scalar)
@@ -534,3 +535,47 @@ register("merged_labels", shares_by_bucket, """SELECT CASE
     WHEN regexp_matches(o_orderpriority, 'URGENT|HIGH') THEN 'soon'
     WHEN o_orderpriority LIKE '%LOW%' THEN 'late' ELSE 'any time' END AS bucket,
     round(count(*) / (SELECT count(*) FROM orders), 9) AS orders_share FROM orders GROUP BY 1""")
+
+# --- distinct entities of several groupings from one pass --------------------------
+
+def _yearly_orders(spark, folder):
+    return t.read(spark, folder, "orders").select(
+        "o_custkey", F.year("o_orderdate").alias("year"), "o_orderpriority",
+        F.when(F.col("o_totalprice") > 100000, F.array_compact(F.array(
+            F.col("o_orderstatus"), F.when(F.col("o_totalprice") > 300000, F.lit("large")))))
+        .alias("kinds"))
+
+
+def customers_by_groupings(spark, folder):
+    groupings = [[], ["year"], ["o_orderpriority"], ["year", "o_orderpriority"]]
+    return with_missing_dims(distinct_counts(
+        _yearly_orders(spark, folder), "o_custkey", groupings, "customers"), ["year", "o_orderpriority"])
+
+
+register("customers_by_groupings", customers_by_groupings,
+         """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority,
+         CAST(CASE grouping(year(o_orderdate)) * 2 + grouping(o_orderpriority)
+           WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS INTEGER) AS level,
+         count(DISTINCT o_custkey) AS customers FROM orders GROUP BY CUBE (year(o_orderdate), o_orderpriority)""")
+
+
+def kinds_of_customers(spark, folder):
+    groupings = [[], ["year"], ["o_orderpriority"]]
+    return with_missing_dims(member_shares(
+        _yearly_orders(spark, folder), "o_custkey", "kinds", groupings, "kind", "customers",
+        "customers_share", "total_customers"), ["year", "o_orderpriority"])
+
+
+_KINDS = """SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority,
+    unnest(list_filter([o_orderstatus, CASE WHEN o_totalprice > 300000 THEN 'large' END],
+      lambda x: x IS NOT NULL)) AS kind FROM orders WHERE o_totalprice > 100000"""
+register("kinds_of_customers", kinds_of_customers, f"WITH k AS ({_KINDS}) " + " UNION ALL ".join(
+    f"""SELECT c.*, total_customers, customers / total_customers AS customers_share FROM
+    (SELECT {year} AS year, {priority} AS o_orderpriority, kind, CAST({level} AS INTEGER) AS level,
+      count(DISTINCT o_custkey) AS customers FROM k GROUP BY ALL) c
+    JOIN (SELECT {year} AS year, {priority} AS o_orderpriority, count(DISTINCT o_custkey) AS total_customers
+      FROM k GROUP BY ALL) n ON c.year IS NOT DISTINCT FROM n.year
+      AND c.o_orderpriority IS NOT DISTINCT FROM n.o_orderpriority"""
+    for level, (year, priority) in enumerate([
+        ("CAST(NULL AS INTEGER)", "CAST(NULL AS VARCHAR)"), ("year", "CAST(NULL AS VARCHAR)"),
+        ("CAST(NULL AS INTEGER)", "o_orderpriority")])))

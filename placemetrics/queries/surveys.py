@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemetrics.plans.survey import (harmonise, survey_2014, survey_2015, survey_2016,
-                                       survey_2017)
+from placemetrics.plans.survey import (harmonise, store_respondents, survey_2014, survey_2015,
+                                       survey_2016, survey_2017)
 from placemetrics.queries import tables as t
 from placemetrics.queries.registry import quoted, register
 from placemetrics.sources.mappings import Mappings, currency_names, purchasing_power
+from placemetrics.sources.store import store_table
 
 # Small lookup tables in the shape of the mapping files.
 CORRECTIONS = {"nation_1": "canada", "nation_6": "canada", "nation_24": "united states",
@@ -91,7 +92,7 @@ def mappings(spark: SparkSession, folder: str) -> Mappings:
                           "original_country_label string, corrected_country_label string")
     rates = t.read(spark, folder, "nation").select(
         F.col("n_name").alias("country"),
-        (F.lit(0.5) + F.col("n_regionkey") * 0.125).alias("rate")).filter("n_nationkey <> 6")
+        (F.lit(0.5) + F.col("n_regionkey") * 0.125).alias("rate"))
     return Mappings(
         country_corrections=corrections,
         country_metadata=t.pairs(spark, METADATA,
@@ -163,7 +164,7 @@ _SQL = f"""WITH q AS (SELECT *, CASE WHEN {YEARS[2014]} THEN 2014 WHEN {YEARS[20
       ('united states', 1.0, 'usd'), ('nation_3', 0.93, 'eur'), ('nation_8', 0.93, 'eur'),
       ('nation_2', NULL, 'sen')) v(cur_country, cur_rate, cur_code)),
   ppp AS (SELECT coalesce({_case(CORRECTIONS, 'lower(n_name)')}, lower(n_name)) AS ppp_country,
-      0.5 + n_regionkey * 0.125::DOUBLE AS ppp FROM nation WHERE n_nationkey <> 6),
+      arg_min(0.5 + n_regionkey * 0.125::DOUBLE, lower(n_name)) AS ppp FROM nation GROUP BY 1),
   j AS (SELECT p.*, is_eu, code AS country_currency_code, ppp,
       coalesce(cur_code, CASE WHEN currency = 'euros' THEN 'eur'
           WHEN currency LIKE 'canadian dollars%' THEN 'cad' END,
@@ -204,3 +205,34 @@ SELECT CASE WHEN year = 2017 THEN o_orderkey END AS respondent_id, year, country
 FROM j"""
 
 register("harmonised_respondents", harmonised, _SQL)
+
+
+def stored_respondents(spark: SparkSession, folder: str) -> DataFrame:
+    """Harmonised once, stored by year and key, then two years of one block from their folders.
+
+    The answers of those years meet their visits, stored in the same buckets, without a shuffle.
+    """
+    people = store_respondents(yearly_tables(spark, folder), mappings(spark, folder))
+    visits = store_table(t.read(spark, folder, "lineitem").select("l_orderkey", "l_quantity"), "l_orderkey", partition=None)
+    latest = people.filter("year = 2017").select("respondent_key", "country", "region", "salary_intl_dollar")
+    met = latest.join(visits, F.col("respondent_key") == F.col("l_orderkey"))
+    return met.groupBy("region").agg(
+        F.count(F.lit(1)).alias("visits"), F.sum("l_quantity").cast("bigint").alias("quantity"),
+        F.count_if(F.col("salary_intl_dollar").isNotNull()).alias("visits_with_salary"))
+
+
+register("stored_respondents", stored_respondents, f"""WITH h AS ({_SQL})
+SELECT region, count(*) AS visits, CAST(sum(l_quantity) AS BIGINT) AS quantity,
+  count(salary_intl_dollar) AS visits_with_salary
+FROM h JOIN lineitem ON l_orderkey = respondent_id WHERE year = 2017 GROUP BY 1""")
+
+
+def respondents_per_year(spark: SparkSession, folder: str) -> DataFrame:
+    """How many respondents each survey has, those without an id included, from the stored table."""
+    people = store_respondents(yearly_tables(spark, folder), mappings(spark, folder))
+    return people.groupBy("year").agg(F.count_distinct("respondent_key").alias("respondents"),
+                                      F.count("respondent_id").alias("with_id"))
+
+
+register("respondents_per_year", respondents_per_year, f"""WITH h AS ({_SQL})
+SELECT year, count(*) AS respondents, count(respondent_id) AS with_id FROM h GROUP BY 1""")

@@ -61,11 +61,18 @@ def currency_names(currencies: DataFrame) -> DataFrame:
 
 
 def purchasing_power(rates: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Rates per country under the corrected country names."""
+    """One rate per country under the corrected country names.
+
+    Where several names of the table mean one country, the corrected name's own rate counts,
+    else that of the first name.
+    """
     rates = rates.toDF("country", "local_currency_per_intl_dollar").withColumn(
         "country", F.lower(F.trim(to_ascii("country"))))
-    return recode_by_lookup(rates, corrections, "country", "original_country_label",
-                            "corrected_country_label")
+    named = recode_by_lookup(rates, corrections, "country", "original_country_label",
+                             "corrected_country_label", "__corrected")
+    first = F.struct(F.col("country") != F.col("__corrected"), "country")
+    return named.groupBy(F.col("__corrected").alias("country")).agg(F.min_by(
+        "local_currency_per_intl_dollar", first).alias("local_currency_per_intl_dollar"))
 
 
 def read_mappings(spark: SparkSession, paths: Mapping[str, str]) -> Mappings:
