@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from placemetrics.functions.text import slug_names, times_label, ratio_label, to_ascii
 from placemetrics.queries import tables as t
 from placemetrics.queries.registry import register
-from placemetrics.sources.files import (keep_named_rows, read_csv, read_csv_after, write_by_year, write_csv,
+from placemetrics.sources.files import (keep_named_rows, read_csv, read_csv_after, rewrite_years, write_by_year, write_csv,
                                         write_features)
 from placemetrics.sources.mappings import read_mapping
 from placemetrics.storage import shared_folder
@@ -63,6 +63,33 @@ def csv_after_headers(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv_after(spark, f"{path}/file=*", schema, 2)
 
 
+def csv_with_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """All orders with comments of up to three lines, two head records a file, read in many splits."""
+    path = _new_path(spark, "breaks")
+    orders = t.read(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    note = F.concat(F.lit('said "'), F.col("o_orderpriority"), F.lit('",\n'), F.repeat(F.lit("so on\n"), F.col("o_custkey").cast("int") % 3))
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(
+        F.col("o_orderpriority"))
+    files = F.pmod(F.xxhash64("o_orderkey"), F.lit(3))
+    rows = orders.select(files.alias("file"), F.lit(1).alias("place"), F.concat_ws(",", "o_orderkey", text, "o_custkey").alias("value"))
+    heads = spark.range(6).select((F.col("id") % 3).alias("file"), F.lit(0).alias("place"), F.lit('key,"a\nnote",customer').alias("value"))
+    dealt = heads.union(rows).repartition("file").sortWithinPartitions("file", "place")
+    dealt.select("file", "value").write.partitionBy("file").text(path)
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("note", T.StringType()), T.StructField("o_custkey", T.LongType())])
+    read = read_csv_after(spark, f"{path}/file=*", schema, 2)
+    return read.select("o_orderkey", F.md5("note").alias("note"), "o_custkey")
+
+
+def one_year_written_again(spark: SparkSession, folder: str) -> DataFrame:
+    """All orders by year as CSV; then one year again with other answers, the others kept."""
+    path = _new_path(spark, "again")
+    orders = t.read(spark, folder, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("year"))
+    write_by_year(orders, path, "csv")
+    rewrite_years(orders.filter("year = 1997").withColumn("o_orderstatus", F.lit("again")), path, "csv")
+    back = spark.read.schema("o_orderkey bigint, o_orderstatus string, year int").option("header", True).csv(path)
+    return back.groupBy("year", "o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_orderkey").alias("keys"))
+
+
 def named_rows(spark: SparkSession, folder: str) -> DataFrame:
     return keep_named_rows(t.read(spark, folder, "nation").select("n_nationkey", "n_name"), "n_name",
                            ["nation_1", "nation_7", "nation_99"])
@@ -121,6 +148,13 @@ register("csv_with_types", csv_with_types,
          """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE floor(c_acctbal) END AS balance
          FROM customer""")
 register("csv_after_headers", csv_after_headers, "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+register("csv_with_line_breaks", csv_with_line_breaks,
+         """SELECT o_orderkey, md5(CASE WHEN o_orderkey % 4 = 0 THEN 'said "' || o_orderpriority || '",' || chr(10)
+         || repeat('so on' || chr(10), CAST(o_custkey % 3 AS INTEGER)) ELSE o_orderpriority END) AS note, o_custkey FROM orders""")
+register("one_year_written_again", one_year_written_again,
+         """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN year(o_orderdate) = 1997 THEN 'again'
+         ELSE o_orderstatus END AS o_orderstatus, count(*) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS keys
+         FROM orders GROUP BY 1, 2""")
 register("named_rows", named_rows,
          "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) IN ('nation_1', 'nation_7', 'nation_99')")
 register("mapping_round_trip", mapping_round_trip,
