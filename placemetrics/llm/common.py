@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACES = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], np.uint64)
 #: Longest stretch of text hashed at once, in bytes.
 BLOCK = 1 << 20
+#: Rows of a slice of an Arrow batch.
+SLICE = 512
 
 
 def importable(spark: SparkSession) -> None:
@@ -63,6 +67,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that a worker copies out few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def small_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A table the driver holds, handed over as Arrow: no other kind of Python worker reads it."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

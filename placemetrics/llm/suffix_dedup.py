@@ -7,11 +7,15 @@ by content, losing none:
    equal anchors.  The windows of one anchor form an interval of starts, their union a block.
    Blocks whose anchor gram occurs once in the corpus hold no repeated window.
 2. A block that occurs twice in full has all its windows repeated.
-3. What is left, one copy of each block with a repeated gram and another block beside it, goes
-   with its text to shards by gram.  A shard is sorted by external induced sorting
-   (``induced_sort``); neighbours with WINDOW bytes in common are repeated windows.
-4. A gram with more than SPLIT different blocks is spread over several shards; what those find
-   once is compared by a 128-bit hash of the window, counted by Spark.
+3. A gram with more than CROWDED different blocks is dealt again by more of the windows'
+   content.  Windows of one gram that start 0 to 368 bytes before it are halved by that
+   distance, again and again: all windows of a half have the bytes between its ends in common,
+   those name the new group.  A part that stands alone in its group has no repeated window,
+   one that occurs twice in full has nothing else; at most the parts around an edge go on, so
+   rows stay in proportion to blocks.
+4. What is left, one copy of each block whose group has others, goes with its text to shards by
+   group.  A shard is sorted by external induced sorting (``induced_sort``); neighbours with
+   WINDOW bytes in common are repeated windows.
 
 Texts are UTF-8 bytes, null is empty; matches never cross documents; the same passage twice in
 one document counts.  Rows that repeat an id, or are equal, are documents of their own.
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,15 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemetrics.llm.common import _POWERS, documents, mix, parts, stored, text_bytes
+from placemetrics.llm.common import _POWERS, documents, in_slices, mix, stored, text_bytes
 from placemetrics.llm.induced_sort import Workspace, suffix_order
 
 WINDOW, GRAM = 400, 32
 #: Bytes of text of one shard, about; memory of its queues and arrays before they go to disk;
 #: symbols of a string of names that are ordered in memory.
 SHARD_BYTES, SORT_MEMORY, IN_MEMORY = 1 << 20, 64 << 20, 4 << 20
-#: Different blocks with one gram, about 2 MB of text, from which on they are spread over shards.
-SPLIT = 4096
+#: Different blocks of one group, about 2 MB of text, beyond which it is dealt again.
+CROWDED = 4096
 #: Window starts looked at together.
 BLOCK = 1 << 20
 
@@ -54,8 +59,8 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def blocks(data: bytes, window: int = WINDOW, gram: int = GRAM) -> list[np.ndarray]:
-    """Per anchor: gram hash, block hash, first and last window start."""
+def blocks(data: bytes, window: int = WINDOW, gram: int = GRAM) -> list[tuple[np.ndarray, ...]]:
+    """Per anchor: gram hash, first and last window start, and where the anchor is."""
     found = []
     for base in range(0, len(data) - window + 1, BLOCK):
         codes = np.frombuffer(data, np.uint8)[base : base + BLOCK + window - 1]
@@ -70,58 +75,118 @@ def blocks(data: bytes, window: int = WINDOW, gram: int = GRAM) -> list[np.ndarr
         first = np.flatnonzero(np.diff(anchor, prepend=-1))
         last = np.r_[first[1:], len(anchor)] - 1
         at = anchor[first]
-        whole = mix((sums[last + window] - sums[first]) * down[first])
-        shape = mix(((at - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64))
-        found.append(np.stack([grams[at].view(np.int64), mix(whole ^ shape).view(np.int64), first + base, last + base]))
+        found.append((grams[at].view(np.int64), first + base, last + base, at + base))
     return found
 
 
+def named(part: bytes, *shape: int) -> bytes:
+    """128 bits that tell a piece of text from others, with numbers that belong to it."""
+    return xxhash.xxh3_128_digest(part + b"".join(n.to_bytes(4, "little") for n in shape))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """(row, gram, block, first, last): the blocks of every document; ``docs`` has row and body."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, found = [], [np.zeros((4, 0), np.int64)]
+        for batch in in_slices(batches):
+            owner, grams, names, firsts, lasts = [], [], [], [], []
             for k, data in enumerate(batch.column(1).to_pylist()):
-                for part in blocks(data):
-                    owner.append(np.full(part.shape[1], k))
-                    found.append(part)
-            all_blocks = np.concatenate(found, 1)
-            rows = batch.column(0).take(pa.array(np.concatenate(owner) if owner else np.zeros(0, np.int64)))
+                for gram, first, last, at in blocks(data):
+                    owner.append(np.full(len(gram), k))
+                    grams.append(gram)
+                    firsts.append(first)
+                    lasts.append(last)
+                    names += [named(data[a : b + WINDOW], c - a, b - a) for a, b, c in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)]
+            if not owner:
+                continue
             yield pa.RecordBatch.from_arrays(
-                [rows, pa.array(all_blocks[0]), pa.array(all_blocks[1]), pa.array(all_blocks[2].astype(np.int32)),
-                 pa.array(all_blocks[3].astype(np.int32))], ["row", "gram", "block", "first", "last"])
+                [batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(grams)), pa.array(names, pa.binary()),
+                 pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(lasts).astype(np.int32))],
+                ["row", "gram", "block", "first", "last"])
 
-    return docs.mapInArrow(cut, "row bigint, gram bigint, block bigint, first int, last int")
+    return docs.mapInArrow(cut, "row binary, gram bigint, block binary, first int, last int")
 
 
 def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, block, row, first, last, split, body): the text of the wanted blocks."""
+    """(gram, row, first, last, crowded, body): the text of the wanted blocks."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             lists = batch.column("wanted")
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             flat = lists.flatten()
-            first, last = (flat.field(k).to_numpy() for k in (2, 3))
+            first, last = (flat.field(k).to_numpy() for k in (1, 2))
             texts = batch.column("body").to_pylist()
             body = [texts[k][a : b + WINDOW] for k, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)]
             rows = batch.column("row").take(pa.array(owner))
             yield pa.RecordBatch.from_arrays(
-                [flat.field(0), flat.field(1), rows, flat.field(2), flat.field(3), flat.field(4), pa.array(body, pa.binary())],
-                ["gram", "block", "row", "first", "last", "split", "body"])
+                [flat.field(0), rows, flat.field(1), flat.field(2), flat.field(3), pa.array(body, pa.binary())],
+                ["gram", "row", "first", "last", "crowded", "body"])
 
-    listed = wanted.groupBy("row").agg(F.collect_list(F.struct("gram", "block", "first", "last", "split")).alias("wanted"))
+    listed = wanted.groupBy("row").agg(F.collect_list(F.struct("gram", "first", "last", "crowded")).alias("wanted"))
     return docs.join(listed, "row").select("row", "body", "wanted").mapInArrow(
-        cut, "gram bigint, block bigint, row bigint, first int, last int, split int, body binary")
+        cut, "gram bigint, row binary, first int, last int, crowded boolean, body binary")
 
 
-def repeated_windows(frame: pd.DataFrame, memory: int = SORT_MEMORY, in_memory: int = IN_MEMORY, window: int = WINDOW) -> pd.DataFrame:
-    """One row per window of the blocks in ``frame`` that is repeated, or alone in a spread gram.
+_PART = "name binary, part binary, row binary, first int, last int, near int, far int, at int, body binary"
+
 
-    Columns: row, first, last (interval of starts), and for windows of a spread gram the
-    window's hash (high, low), with ``alone`` telling whether this shard has it once.
+def _halved(parts_of: DataFrame) -> DataFrame:
+    """The two halves of every part: windows that start ``near`` to ``far`` bytes before the anchor.
+
+    ``name`` is a hash of what all windows of the half have in common, ``part`` one of all its
+    text; first, last and body are its own, ``at`` is the anchor's place in the body.  Parts
+    with ``near`` null are blocks, whose anchor is found again.
     """
+    whole = WINDOW - GRAM
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            out: list[tuple] = []
+            for row, first, near, far, at, body in zip(*(batch.column(c).to_pylist() for c in ("row", "first", "near", "far", "at", "body")), strict=True):
+                if near is None:
+                    near, far, at = 0, whole, int(blocks(body)[0][3][0])
+                middle = (near + far) // 2
+                for low, high in ((near, middle), (middle + 1, far)):
+                    # windows of the half that this block has, by their distance to the anchor
+                    a, b = max(low, at + WINDOW - len(body)), min(high, at)
+                    if a > b or low > high:
+                        continue
+                    name = named(body[at - low : at + WINDOW - high], low, high)
+                    text = body[at - b : at + WINDOW - a]
+                    start = first + at - b
+                    out.append((name, named(text, b, b - a), row, start, start + b - a, low, high, b, text))
+            columns = list(zip(*out, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int32() if k in (3, 4, 5, 6, 7) else pa.binary()) for k, c in enumerate(columns)],
+                ["name", "part", "row", "first", "last", "near", "far", "at", "body"])
+
+    return parts_of.select("row", "first", "near", "far", "at", "body").mapInArrow(halve, _PART)
+
+
+def _dealt_again(crowded: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Repeated intervals (row, first, last), and parts (name, row, first, last, body) still to be sorted.
+
+    At most nine rounds; each halves the distances.
+    """
+    settled, undecided = [], []
+    now = crowded.selectExpr("row", "first", "cast(null as int) as near", "cast(null as int) as far", "cast(null as int) as at", "body")
+    while True:
+        halves = stored(_halved(now), "halves")
+        fields = ("row", "first", "last", "near", "far", "at", "body")
+        kinds = stored(halves.groupBy("name", "part").agg(F.count("*").alias("n"), F.min(F.struct(*fields)).alias("one")), "parts")
+        settled.append(halves.select("name", "part", "row", "first", "last").join(
+            kinds.filter("n > 1").select("name", "part"), ["name", "part"]).select("row", "first", "last"))
+        groups = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
+        left = stored(kinds.join(groups.select("name", "kinds"), "name").select("name", "kinds", "one.*"), "left")
+        undecided.append(left.filter(F.col("kinds") <= CROWDED).select("name", "row", "first", "last", "body"))
+        now = left.filter(F.col("kinds") > CROWDED).select("row", "first", "near", "far", "at", "body")
+        if now.isEmpty():
+            return settled, undecided
+
+
+def repeated_windows(frame: pd.DataFrame, memory: int = SORT_MEMORY, in_memory: int = IN_MEMORY, window: int = WINDOW) -> pd.DataFrame:
+    """Intervals (row, first, last) of the windows of the blocks in ``frame`` that are repeated in it."""
     frame = frame.sort_values(["row", "first", "last"], kind="stable").reset_index(drop=True)
     sizes = frame["body"].str.len().to_numpy()
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
@@ -135,32 +200,17 @@ def repeated_windows(frame: pd.DataFrame, memory: int = SORT_MEMORY, in_memory:
         order, common = suffix_order(text, space, in_memory, window)
         chosen = np.flatnonzero(owner[order] >= 0)
         if not len(chosen):
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("row", "first", "last", "high", "low")} | {"alone": pd.Series(dtype="bool")})
+            return pd.DataFrame({"row": pd.Series(dtype="object"), "first": pd.Series(dtype="int32"), "last": pd.Series(dtype="int32")})
         shared = np.minimum.reduceat(common, np.r_[0, chosen[:-1] + 1])
         begins = np.r_[True, shared[1:] < window]
         places = np.array(order[chosen])
     group = np.cumsum(begins) - 1
-    repeated = np.bincount(group)[group] > 1
-    split = frame["split"].to_numpy()[owner[places]].astype(bool)
-
-    hit = np.sort(places[repeated])
+    hit = np.sort(places[np.bincount(group)[group] > 1])
     cuts = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)]) if len(hit) else np.zeros(0, np.int64)
     a, b = hit[cuts], hit[np.r_[cuts[1:], len(hit)] - 1] if len(hit) else hit
     k = owner[a]
     shift = frame["first"].to_numpy()[k] - starts[k]
-    out = pd.DataFrame({"row": frame["row"].to_numpy()[k], "first": a + shift, "last": b + shift, "high": 0, "low": 0, "alone": False})
-    asked = split & (~repeated | begins)  # one window of each class
-    if asked.any():
-        p, k = places[asked], owner[places[asked]]
-        bodies, inside = frame["body"].tolist(), p - starts[k]
-        hashes = [xxhash.xxh3_128_digest(bodies[i][j : j + window]) for i, j in zip(k.tolist(), inside.tolist(), strict=True)]
-        pairs = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
-        start = inside + frame["first"].to_numpy()[k]
-        more = pd.DataFrame({"row": frame["row"].to_numpy()[k], "first": start, "last": start, "high": pairs[:, 0], "low": pairs[:, 1],
-                             "alone": ~repeated[asked]})
-        # a hash of zeros marks the rows above
-        out = pd.concat([out, more.assign(low=np.where((more["high"] == 0) & (more["low"] == 0), 1, more["low"]))])
-    return out
+    return pd.DataFrame({"row": frame["row"].to_numpy()[k], "first": (a + shift).astype(np.int32), "last": (b + shift).astype(np.int32)})
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
@@ -174,26 +224,24 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     kinds = stored(kinds, "kinds")
     whole = candidates.join(kinds.filter("n > 1").select("gram", "block"), ["gram", "block"]).select("row", "first", "last")
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
-    split = F.when(F.col("kinds") > SPLIT, F.ceil(F.col("kinds") / SPLIT)).otherwise(F.lit(0)).cast("int").alias("split")
-    wanted = kinds.join(mixed, "gram").select("gram", "block", "one.*", split)
+    wanted = kinds.join(mixed, "gram").select("gram", "one.*", (F.col("kinds") > CROWDED).alias("crowded"))
     texts = stored(_with_text(docs, wanted), "undecided")
-    total = texts.agg(F.sum(F.length("body"))).first()[0] or 0
+    found_so_far, to_sort = [whole], [texts.filter("not crowded").select(F.col("gram").cast("string").cast("binary").alias("name"), "row", "first", "last", "body")]
+    crowded = texts.filter("crowded")
+    if not crowded.isEmpty():
+        settled, undecided = _dealt_again(crowded)
+        found_so_far += settled
+        to_sort += undecided
+    everything = reduce(DataFrame.union, to_sort)
+    total = everything.agg(F.sum(F.length("body"))).first()[0] or 0
     shards = total // SHARD_BYTES + 1
-    salt = F.when(F.col("split") > 0, F.pmod(F.xxhash64("block"), F.col("split"))).otherwise(F.lit(0))
-    shard = F.pmod(F.xxhash64("gram", salt), F.lit(shards)).cast("int")
 
     def sort(frame: pd.DataFrame) -> pd.DataFrame:
         return repeated_windows(frame)
 
-    dealt = texts.select("row", "first", "last", "split", "body", shard.alias("shard"))
-    result = stored(dealt.groupBy("shard").applyInPandas(
-        sort, "row bigint, first bigint, last bigint, high bigint, low bigint, alone boolean"), "windows")
-    spread = result.filter("high <> 0 or low <> 0")
-    again = spread.groupBy("high", "low").agg(F.count("*").alias("n")).filter("n > 1").select("high", "low")
-    late = spread.filter("alone").join(again, ["high", "low"]).select("row", "first", "last")
-    sorted_out = result.filter("high = 0 and low = 0").select("row", "first", "last")
-    return whole.union(sorted_out.selectExpr("row", "cast(first as int)", "cast(last as int)")).union(
-        late.selectExpr("row", "cast(first as int)", "cast(last as int)"))
+    dealt = everything.select("row", "first", "last", "body", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"))
+    result = dealt.groupBy("shard").applyInPandas(sort, "row binary, first int, last int")
+    return reduce(DataFrame.union, [*found_so_far, result])
 
 
 def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,11 +256,12 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, kept (bytes), n_bytes, n_removed, n_spans and spans (start, end) of every document."""
     docs = docs.select("doc_id", text_bytes().alias("body"))
-    row = F.xxhash64("doc_id", "body").alias("row")
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"), F.lit(b":"), "body")
+    row = F.unhex(F.md5(name)).alias("row")
     intervals = repeated_starts(docs.select(row, "body")).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             kept, removed, spans = [], [], []
             for data, found in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 values = found.values

@@ -88,9 +88,9 @@ def removed_by_brute_force(rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("split", [4096, 1])
-def test_op3_removes_what_brute_force_removes(spark, folder, odd_rows, monkeypatch, split):
-    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+@pytest.mark.parametrize("crowded", [4096, 1])
+def test_op3_removes_what_brute_force_removes(spark, folder, odd_rows, monkeypatch, crowded):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 20_000)
     expected = removed_by_brute_force([(i, (t or "").encode()) for i, t in odd_rows], 400)
     assert Counter(collect(spark, folder, "op3_suffix_dedup")) == expected
