@@ -1,14 +1,20 @@
 """Mixing sources to target weights by proportionate-fair scheduling.
 
-Each source's documents form blocks of BLOCK_DOCS.  Time runs in slots of one block, in frames of
-FRAME slots; a source with weight w has q = w * FRAME blocks in a frame (whole numbers, at
-least one).  Its block k of a frame is released at floor(k * FRAME / q) and due at
-ceil((k + 1) * FRAME / q); each slot goes to the released block that is due first.  Every source is
-then less than one block from its share at any time.  When a source cannot fill a frame any more,
-one shorter frame takes what it has left, and the others share the frames after it.
-
-Only counts per source go through the driver.  All rows are kept.  A null source is a source of
-its own.  With more than MAX_SOURCES sources, those with fewest rows form a pool with the sum of
+Each source's documents form blocks.  Time runs in slots of one block.  Block k of a source with
+weight w (all weights together are 1) is released at floor(k / w) and due at ceil((k + 1) / w);
+each slot goes to the released block that is due first.  At any time every source then has less
+than one block more or less than w of the slots so far.  Weights are whole numbers of a common
+denominator, 2^40 where the products fit a long, so releases and deadlines are exact.
+
+Slots are worked out in frames of FRAME slots, side by side.  How many blocks a source has by the
+border of two frames is w times the slots, rounded down or up: up where most of the next block is
+due, and never fewer than at the border before.  When a source has no block left a phase ends, and the others share
+the slots after it by their weights.
+
+Only counts per source go through the driver, and the borders of at most FRAMES frames and two
+phases a source.  A block holds BLOCK_DOCS documents, more in tables that would have more
+than FRAMES * FRAME blocks.  All rows are kept.  A null source is a source of its own.  With
+more than MAX_SOURCES sources, those with fewest rows form a pool with the sum of
 their target weights; the pool's blocks are scheduled among its members in the same way, in
 groups of groups where there are many.  A pooled source is less than one block from its share
 of its pool's blocks, and the pool less than one block from its share.
@@ -17,14 +23,20 @@ Ties and repeated rows each have a place of their own; an empty table gives no r
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placemetrics.llm.common import documents, parts
+from placemetrics.llm.common import documents, parts, small_table, stored
 
 BLOCK_DOCS = 32
-FRAME = 1024
+FRAME, FRAMES = 1024, 4096
 MAX_SOURCES = 256
+#: Common denominator of the weights, and what its product with a number of slots stays below.
+DENOMINATOR, LARGEST = 1 << 40, 1 << 62
 #: Target weights without a list: rows of the source to this power.
 TEMPERING = 0.7
 #: Rows of one source that are numbered together, about.
@@ -32,80 +44,140 @@ NUMBERED = 10_000
 POOLED = "*"
 
 
-def quotas(weights: dict[str, float], frame: int = FRAME) -> dict[str, int]:
-    """Whole slots per frame by largest remainder, at least one each, together ``frame``."""
-    total = sum(weights.values())
-    exact = {s: w / total * (frame - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    left = frame - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:left]:
-        out[s] += 1
-    return out
+def whole_weights(weights: list[float], denominator: int) -> np.ndarray:
+    """Whole numbers in proportion to the weights by largest remainder, one at least, together ``denominator``."""
+    total = sum(weights)
+    exact = [max(w / total * denominator, 1.0) for w in weights]
+    out = [int(x) for x in exact]
+    order = sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))
+    left = denominator - sum(out)
+    step = 1 if left > 0 else -1
+    while left:  # a few units, or those that the smallest weights were raised by
+        for i in order if step > 0 else sorted(order, key=lambda i: -out[i]):
+            if left and out[i] + step >= 1:
+                out[i] += step
+                left -= step
+            if not left:
+                break
+    return np.array(out, np.int64)
+
+
+def border(weights: np.ndarray, denominator: int, t: int, before: np.ndarray) -> np.ndarray | None:
+    """Blocks of each source by slot ``t``: rounded shares, none below ``before``; None if there is no such border."""
+    least, part = np.divmod(weights * t, denominator)
+    held = np.maximum(least, before)
+    room = t - int(held.sum())
+    if room < 0:
+        return None
+    open_now = np.flatnonzero((part > 0) & (held == least))
+    first = open_now[np.argsort(-part[open_now], kind="stable")][:room]
+    held[first] += 1
+    return held
+
+
+@dataclass(frozen=True)
+class Phase:
+    """Names, whole weights and blocks already done of the sources of a phase, its first slot, and its frames.
+
+    A frame is (its first slot within the phase, blocks of each source by then, blocks of each in it).
+    """
+
+    names: list[str]
+    weights: np.ndarray
+    denominator: int
+    used: np.ndarray
+    base: int
+    frames: list[tuple[int, np.ndarray, np.ndarray]]
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME) -> list[tuple[int, dict[str, int]]]:
-    """(frames, blocks of each source in each of them) until all blocks have a slot."""
-    left, out = {s: n for s, n in blocks.items() if n > 0}, []
+def phases(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME) -> list[Phase]:
+    """Phases until all blocks have a slot."""
+    left, used, base, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        share = quotas({s: weights[s] for s in left}, frame)
-        whole = min(left[s] // share[s] for s in left)
-        if whole == 0:  # some source ends within this frame
-            share = {s: min(share[s], left[s]) for s in left}
-            whole = 1
-        out.append((whole, share))
-        left = {s: n - whole * share[s] for s, n in left.items() if n > whole * share[s]}
+        names = sorted(left)
+        total = sum(left.values())
+        denominator = max(len(names), min(DENOMINATOR, LARGEST // max(total, 1)))
+        whole, most = whole_weights([weights[s] for s in names], denominator), np.array([left[s] for s in names], np.int64)
+        # until the first source ends; then all its blocks are due
+        length = min(total, min(-(-int(n) * denominator // int(w)) for n, w in zip(most, whole, strict=True)))
+        frames, at, done = [], 0, np.zeros(len(names), np.int64)
+        for t in [*range(frame, length, frame), length]:
+            now = border(whole, denominator, t, done)
+            if now is None and t < length:
+                continue  # the frame goes on to the next border
+            now = np.minimum(most, whole * t // denominator + 1 if now is None else now)
+            frames.append((at, done, now - done))
+            at, done = t, now
+        out.append(Phase(names, whole, denominator, np.array([used[s] for s in names], np.int64), base, frames))
+        base += int(done.sum())
+        for s, n in zip(names, done.tolist(), strict=True):
+            used[s] += n
+            left[s] -= n
+        left = {s: n for s, n in left.items() if n}
     return out
 
 
-def _slots(quota: str, length: str) -> F.Column:
-    """Which source has each slot of a frame: earliest deadline first among released blocks."""
-    q, n = F.col(quota), F.col(length)
+def _slots() -> F.Column:
+    """Per slot of a frame (source, block of the phase): earliest deadline first among released blocks.
 
-    def released(done, i, t):
-        return (F.get(done, i) < F.get(q, i)) & (F.floor(F.get(done, i) * n / F.get(q, i)) <= t)
+    Columns: jobs, an array of (i, done, quota, weight) for the sources with blocks in the
+    frame; at, the frame's first slot; denominator.
+    """
+    jobs, d = F.col("jobs"), F.col("denominator")
+
+    def exact(job, k):
+        n, w = job["done"] + k, job["weight"]
+        return F.call_function("div", n * d, w), F.call_function("div", (n + 1) * d + w - 1, w)
 
     def step(state, t):
-        open_now = F.filter(F.sequence(F.lit(0), F.size(q) - 1), lambda i: released(state["done"], i, t))
-        due = F.transform(open_now, lambda i: F.struct(F.ceil((F.get(state["done"], i) + 1) * n / F.get(q, i)).alias("due"), i.alias("i")))
-        return F.struct(state["done"].alias("done"), state["out"].alias("out"), F.array_min(due)["i"].alias("chosen"))
+        def one(job, place):
+            k = F.get(state["k"], place)
+            release, deadline = exact(job, k)
+            return F.when(k < job["quota"], F.struct((release > F.col("at") + t).alias("early"), deadline.alias("due"), place.alias("place"), k.alias("k")))
+
+        return F.array_min(F.transform(jobs, one))
 
     def take(state, t):
-        chosen = step(state, t)
-        return F.transform(F.array(chosen), lambda c: F.struct(
-            F.transform(c["done"], lambda x, i: x + F.when(i == c["chosen"], 1).otherwise(0)).alias("done"),
-            F.concat(c["out"], F.array(c["chosen"])).alias("out")))[0]
+        return F.transform(F.array(step(state, t)), lambda c: F.struct(
+            F.transform(state["k"], lambda k, place: k + F.when(place == c["place"], 1).otherwise(0)).alias("k"),
+            F.concat(state["out"], F.array(F.struct(c["place"].alias("place"), c["k"].alias("k")))).alias("out")))[0]
 
-    start = F.struct(F.transform(q, lambda _: F.lit(0)).alias("done"), F.expr("cast(array() as array<int>)").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, take, lambda state: state["out"])
+    start = F.struct(F.transform(jobs, lambda _: F.lit(0).cast("bigint")).alias("k"),
+                     F.expr("cast(array() as array<struct<place:int,k:bigint>>)").alias("out"))
+    length = F.aggregate(jobs, F.lit(0).cast("bigint"), lambda n, job: n + job["quota"])
+    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), length - 1), start, take, lambda state: state["out"])
 
 
-def timetable(spark: SparkSession, plan: list[tuple[int, dict[str, int]]], names: list[str]) -> DataFrame:
-    """One row per source: for each phase its first block, first slot, frame length, quota and slots in a frame.
+def timetable(spark: SparkSession, plans: list[list[Phase]]) -> DataFrame:
+    """(key, block, slot, release, deadline): one row per block of all sources of the plans, whose names differ.
 
-    At most 2 * MAX_SOURCES phases of FRAME slots, whatever the number of rows.
+    Frames are handed to Spark, which fills their slots.
     """
-    return timetables(spark, [(plan, names)])
-
-
-def timetables(spark: SparkSession, plans: list[tuple[list[tuple[int, dict[str, int]]], list[str]]]) -> DataFrame:
-    """The timetables of several plans, whose names differ."""
-    rows = []
-    for plan, names in plans:
-        base, used = 0, dict.fromkeys(names, 0)
-        for k, (frames, share) in enumerate(plan):
-            length = sum(share.values())
-            rows.append((k, names, [share.get(s, 0) for s in names], length, base, [used[s] for s in names]))
-            base += frames * length
-            for s, q in share.items():
-                used[s] += frames * q
-    table = spark.createDataFrame(rows, "phase int, names array<string>, quota array<int>, length int, base bigint, used array<bigint>")
-    slots = table.withColumn("slots", _slots("quota", "length"))
-    each = slots.select("phase", "length", "base", "slots", "quota", "used", F.posexplode("names").alias("i", "key"))
-    mine = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda t: F.get("slots", t) == F.col("i"))
-    one = each.select("key", "phase", "length", "base", F.get("quota", F.col("i")).alias("quota"),
-                      F.get("used", F.col("i")).alias("start"), mine.alias("at"))
-    fields = ("phase", "start", "base", "length", "quota", "at")
-    return one.filter("quota > 0").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("phases"))
+    columns: dict[str, list] = {c: [] for c in ("at", "denominator", "base", "names", "done", "quota", "weight", "used")}
+    for phase in (p for plan in plans for p in plan):
+        for at, done, quota in phase.frames:
+            here = np.flatnonzero(quota)
+            if not len(here):
+                continue
+            columns["at"].append(at)
+            columns["denominator"].append(phase.denominator)
+            # slots before this frame: all blocks done by then
+            columns["base"].append(phase.base + int(done.sum()) - at)
+            columns["names"].append([phase.names[i] for i in here])
+            for c, values in (("done", done), ("quota", quota), ("weight", phase.weights), ("used", phase.used)):
+                columns[c].append(values[here].tolist())
+    lists = {c: pa.array(columns[c], pa.list_(pa.int64())) for c in ("done", "quota", "weight", "used")}
+    table = small_table(spark, names=pa.array(columns["names"], pa.list_(pa.string())), **lists,
+                        **{c: pa.array(columns[c], pa.int64()) for c in ("at", "denominator", "base")})
+    frames = table.repartition(parts(spark), "base", "at", "names").withColumn(
+        "jobs", F.arrays_zip("done", "quota", "weight"))
+    slots = frames.select("*", F.posexplode(_slots()).alias("t", "chosen"))
+    at = F.col("chosen.place")
+    k, w, d = F.get("done", at) + F.col("chosen.k"), F.get("weight", at), F.col("denominator")
+    return slots.select(
+        F.get("names", at).alias("key"), (F.get("used", at) + k).alias("block"), (F.col("base") + F.col("at") + F.col("t")).alias("slot"),
+        (F.col("base") + F.call_function("div", k * d, w)).alias("release"),
+        (F.col("base") + F.call_function("div", (k + 1) * d + w - 1, w)).alias("deadline"))
 
 
 def pools(sizes: dict[str, tuple[int, float]]) -> dict[str, dict[str, tuple[int, float]]]:
@@ -133,20 +205,6 @@ def pools(sizes: dict[str, tuple[int, float]]) -> dict[str, dict[str, tuple[int,
     return out
 
 
-def _at(phases: str, block: F.Column) -> F.Column:
-    """(slot, release, deadline) of a member's block in the slots of its pool."""
-    p = F.element_at(F.filter(phases, lambda p: p["start"] <= block), -1)
-
-    def place(p: F.Column) -> F.Column:
-        k = block - p["start"]
-        turn = (k % p["quota"]).cast("int")
-        frame = p["base"] + F.floor(k / p["quota"]) * p["length"]
-        return F.struct((frame + F.get(p["at"], turn)).alias("slot"), (frame + F.floor(turn * p["length"] / p["quota"])).alias("release"),
-                        (frame + F.ceil((turn + 1) * p["length"] / p["quota"])).alias("deadline"))
-
-    return F.transform(F.array(p), place)[0]
-
-
 def row_hash(docs: DataFrame) -> F.Column:
     """What rows of one source are ordered by."""
     return F.xxhash64("doc_id", "text" if "text" in docs.columns else "doc_id")
@@ -170,31 +228,48 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, hashe
         return docs.withColumns({c: F.lit(None).cast("bigint") for c in ("source_block", "place", "slot", "release", "deadline")})
     given = {("null" if s is None else f"={s}"): w for s, w in (weights or {}).items()}
     target = {s: given.get(s, min(given.values())) if given else n**TEMPERING for s, n in sizes.items()}
-    tree = pools({s: (-(-n // BLOCK_DOCS), target[s]) for s, n in sizes.items()})
-    plans = [(phases({s: n for s, (n, _) in m.items()}, {s: w for s, (_, w) in m.items()}), sorted(m)) for m in tree.values()]
-    above = spark.createDataFrame([(s, pool or None) for pool, m in tree.items() for s in m], "key string, pool string")
-    table = timetables(spark, plans).join(above, "key")
-    known = spark.createDataFrame([(s, n) for s, n in sizes.items()], "key string, of bigint")
-    small = len(sizes) <= 16 * MAX_SOURCES
+    size = max(BLOCK_DOCS, -(-sum(sizes.values()) // (FRAMES * FRAME)))
+    tree = pools({s: (-(-n // size), target[s]) for s, n in sizes.items()})
+    plans = [phases({s: n for s, (n, _) in m.items()}, {s: w for s, (_, w) in m.items()}) for m in tree.values()]
+    blocks = in_the_whole(timetable(spark, plans), {s: pool for pool, m in tree.items() for s in m})
+    known = small_table(spark, key=pa.array(list(sizes), pa.string()), of=pa.array(list(sizes.values()), pa.int64()))
     buckets = F.ceil(F.col("of") / NUMBERED)
-    named = rows.withColumnRenamed("own", "key").join(F.broadcast(known) if small else known, "key")
-    dealt = named.select("row", "key", "h", F.pmod("h", buckets).alias("bucket"))
+    dealt = rows.withColumnRenamed("own", "key").join(known, "key").select("row", "key", "h", F.pmod("h", buckets).alias("bucket"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("key", "bucket").agg(F.count("*").alias("n")).select(
         "key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("key", "bucket").orderBy("h", "row.doc_id")
     numbered = dealt.withColumn("n", F.row_number().over(inside)).join(offsets, ["key", "bucket"])
     number = F.col("offset") + F.col("n") - 1
-    blocks = numbered.select("row", "key", F.floor(number / BLOCK_DOCS).alias("source_block"), (number % BLOCK_DOCS).alias("place"))
-    b = F.col("source_block")
-    first = blocks.join(F.broadcast(table) if small else table, "key").select("row", "source_block", "place", "pool", _at("phases", b).alias("s"))
-    groups = table.filter(F.col("key").startswith(POOLED)).withColumnsRenamed({"pool": "next"})
-    for _ in range(max(p.count(".") + 1 for p in tree if p) if len(tree) > 1 else 0):  # from pool to pool, up to the whole
-        met = first.join(F.broadcast(groups), F.col("pool") == F.col("key"), "left")
-        up = F.struct(_at("phases", F.col("s.slot"))["slot"].alias("slot"), _at("phases", F.col("s.release"))["release"].alias("release"),
-                      _at("phases", F.col("s.deadline") - 1)["deadline"].alias("deadline"))
-        first = met.select("row", "source_block", "place", F.col("next").alias("pool"), F.when(F.col("pool").isNull(), F.col("s")).otherwise(up).alias("s"))
-    return first.select("row.*", "source_block", "place", "s.slot", "s.release", "s.deadline")
+    placed = numbered.select("row", "key", F.floor(number / size).alias("block"), (number % size).alias("place"))
+    return placed.join(blocks, ["key", "block"]).select("row.*", F.col("block").alias("source_block"), "place", "slot", "release", "deadline")
+
+
+def in_the_whole(blocks: DataFrame, pool_of: dict[str, str]) -> DataFrame:
+    """The timetable of the sources, with slots of pools turned into slots of the whole.
+
+    A pool's n-th slot is the slot of the pool's n-th block one level up.
+    """
+    if not any(pool_of.values()):
+        return blocks
+    blocks = stored(blocks, "timetable")
+    above = small_table(blocks.sparkSession, key=pa.array(list(pool_of), pa.string()), pool=pa.array([p or None for p in pool_of.values()], pa.string()))
+    now = blocks.join(above, "key")
+    levels = 1 + max(p.count(".") + 1 for p in pool_of.values() if p)
+    up = now.filter(F.col("key").startswith(POOLED)).select(
+        F.col("key").alias("of"), F.col("block").alias("turn"), F.col("pool").alias("next"),
+        *[F.col(c).alias(f"up_{c}") for c in ("slot", "release", "deadline")])
+    ends = up.groupBy(F.col("of").alias("pool")).agg(F.max("turn").alias("end"))
+    now = now.filter(~F.col("key").startswith(POOLED))
+    for _ in range(levels - 1):
+        now = now.join(ends, "pool", "left")
+        # a deadline beyond the pool's last block is that block's
+        for c, turn in (("release", F.col("release")), ("deadline", F.least(F.col("deadline") - 1, "end")), ("slot", F.col("slot"))):
+            keep = ["of", "turn", f"up_{c}"] + (["next"] if c == "slot" else [])
+            now = now.join(up.select(*keep), (F.col("pool") == F.col("of")) & (turn == F.col("turn")), "left").withColumn(
+                c, F.coalesce(f"up_{c}", c)).drop("of", "turn", f"up_{c}")
+        now = now.withColumn("pool", F.col("next")).drop("next", "end")
+    return now.drop("pool")
 
 
 def in_slots(table: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The parts of the text operators against plain versions."""
 
+import math
 import random
 
 import numpy as np
@@ -96,27 +97,43 @@ def test_tokens_equal_the_tokenizer():
     assert list(tokens.ids(texts)) == tokens.whole(texts) == list(tokens.ids(texts))
 
 
-def edf_by_hand(quotas, frame):
-    done, out = dict.fromkeys(quotas, 0), []
-    for t in range(frame):
-        free = [(-(-(done[s] + 1) * frame // q), s) for s, q in quotas.items() if done[s] < q and done[s] * frame // q <= t]
-        done[min(free)[1]] += 1
-        out.append(min(free)[1])
-    return out
-
-
-def test_schedule_is_fair_at_every_slot(spark):
-    weights = {f"s{k:02}": 1 / (k + 1) for k in range(30)}
-    share = pfair_mixing.quotas(weights, 256)
-    assert sum(share.values()) == 256 and min(share.values()) >= 1
-    names = sorted(share)
-    table = pfair_mixing.timetable(spark, [(3, share)], names).collect()
-    slots = {t: r["key"] for r in table for t in r["phases"][0]["at"]}
-    order = [slots[t] for t in range(256)]
-    assert order == edf_by_hand(share, 256)
-    for s, q in share.items():
-        so_far = np.cumsum([x == s for x in order])
-        assert np.abs(so_far - np.arange(1, 257) * q / 256).max() < 1
+def schedule(spark, blocks, weights):
+    rows = pfair_mixing.timetable(spark, [pfair_mixing.phases(blocks, weights)]).collect()
+    assert sorted(r.slot for r in rows) == list(range(sum(blocks.values())))
+    for s, n in blocks.items():
+        assert sorted(r.block for r in rows if r.key == s) == list(range(n))
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+    return [r.key for r in sorted(rows, key=lambda r: r.slot)]
+
+
+@pytest.mark.parametrize(("n", "heavy"), [(20, 0.9), (20, 0.0), (256, 0.9), (256, 0.0)])
+def test_sources_are_less_than_a_block_from_their_target(spark, n, heavy):
+    """At every slot of several frames, against the target weights themselves, while all have blocks."""
+    draw = random.Random(n)
+    light = [draw.random() ** 3 for _ in range(n)]
+    if heavy:
+        light[0] = sum(light[1:]) * heavy / (1 - heavy)
+    weights = {f"s{k:03}": w for k, w in enumerate(light)}
+    total, slots = sum(light), 3000
+    blocks = {s: math.ceil(w / total * slots) + 1 for s, w in weights.items()}
+    order = schedule(spark, blocks, weights)[:slots]
+    share = np.array([w / total for w in weights.values()])
+    done, place = np.zeros(n), {s: k for k, s in enumerate(weights)}
+    for t, s in enumerate(order, 1):
+        done[place[s]] += 1
+        assert np.abs(done - t * share).max() < 1 + 1e-6
+
+
+def test_sources_that_end_leave_their_slots_to_others(spark):
+    blocks = {"a": 1, "b": 7, "c": 2000, "d": 300, "e": 1}
+    schedule(spark, blocks, {"a": 5.0, "b": 0.001, "c": 1.0, "d": 1.0, "e": 1e-9})
+    assert schedule(spark, {"x": 3}, {"x": 2.0}) == ["x"] * 3
+
+
+def test_tables_of_any_size_have_few_frames():
+    plan = pfair_mixing.phases({"big": 3_000_000, "mid": 1_000_000, "small": 50_000}, {"big": 7.0, "mid": 2.5, "small": 0.5})
+    assert sum(len(p.frames) for p in plan) <= pfair_mixing.FRAMES + 6
+    assert all((q >= 0).all() for p in plan for _, _, q in p.frames)
 
 
 def test_many_sources_are_pooled_and_weights_hold(spark):
