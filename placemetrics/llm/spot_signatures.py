@@ -1,14 +1,18 @@
 """Document fingerprints from spot signatures.
 
-An anchor is a common word of four languages, the start of a line or, in any language, a word
-whose hash without the punctuation around it is 0 modulo EVERY.  Its signature is the chain of the next
-CHAIN content words (words that are not common).  The fingerprint of a text is the sorted
+The corpus's own common words, the COMMON with the highest document frequency over all rows
+(punctuation around words left aside), are no content; ANCHORS of them, the most frequent, start
+a chain: the signature is the next CHAIN content words behind it.  The start of a line does too.  A
+text with fewer such words than one in SPARSE, as in a language the corpus has little of, also
+takes every word as an anchor whose hash is 0 modulo EVERY, so that signatures grow with any text.
+The fingerprint of a text is the sorted
 set of its signatures as hex, eight digits each.  Likeness is the Jaccard coefficient of two
 such sets, given up as soon as the set lengths, or what is left of them, rule out the least
 likeness asked for.
 
 A null or empty text has no words and the empty fingerprint; two empty fingerprints have
-likeness 1.  Where a text ends before the chain does, the chain is what is there.
+likeness 1.  Where a text ends before the chain does, the chain is what is there.  Fingerprints
+are comparable where the common words are the same: they are a table of COMMON hashes at most.
 """
 
 from __future__ import annotations
@@ -22,37 +26,32 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from placemetrics.llm.common import _PLACES, documents, mix, parts, stored, word_edges, word_hashes
+from placemetrics.llm.common import _PLACES, documents, in_slices, mix, parts, small_table, stored, text_bytes, word_edges, word_hashes
 
-#: Common words of four languages; ANCHORS among them start a chain.
-COMMON = frozenset(
-    "the of and to in a is that it for on was as with be by are this from or an at which not have"
-    " der die das und in den von zu mit ist im des auf für ein eine dem sich nicht als auch es an"
-    " le la les de des et en un une du que qui est dans pour sur par pas au avec il ne se ce"
-    " el los las y del al con por para una su lo como más o si sus".split())
-ANCHORS = frozenset("the is was that der die das ist le la les est el los las que".split())
+#: Words with the highest document frequency that are no content, and those that start a chain.
+COMMON, ANCHORS = 256, 64
 CHAIN = 2
-#: One of so many different words is an anchor by its hash alone, so that signatures grow with any text.
-EVERY = 8
+#: A text with fewer anchors than one word in SPARSE takes one of EVERY different words, by hash, too.
+SPARSE, EVERY = 16, 8
+#: Words counted together by one task before they are added up.
+COUNTED = 1 << 20
 _PUNCTUATION = string.punctuation.encode()
 _MARK = np.isin(np.arange(256), np.frombuffer(_PUNCTUATION, np.uint8))
 
 
-def _hashed(words: frozenset[str]) -> np.ndarray:
-    return np.sort(np.array([word_hashes(w.encode())[0] for w in sorted(words)], np.uint64))
-
-
-_COMMON, _ANCHORS = _hashed(COMMON), _hashed(ANCHORS)
 _LINE = np.uint64(0x5851F42D4C957F2D)
 
 
 def _among(values: np.ndarray, members: np.ndarray) -> np.ndarray:
+    if not len(members):
+        return np.zeros(len(values), bool)
     return members[np.minimum(np.searchsorted(members, values), len(members) - 1)] == values
 
 
-def _chosen(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Which words are anchors by their hash, ASCII punctuation around them left aside."""
+def _bare(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of the words without ASCII punctuation around them."""
     bare = words.copy()
     marked = np.flatnonzero(_MARK[codes[starts]] | _MARK[codes[stops - 1]])
     if len(marked):
@@ -60,21 +59,52 @@ def _chosen(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, words: np.
         stripped = [raw[starts[k] : stops[k]].strip(_PUNCTUATION) for k in marked]
         full = np.array([bool(w) for w in stripped])
         bare[marked[full]] = word_hashes(b" ".join(w for w in stripped if w))
-    return bare % np.uint64(EVERY) == 0
+    return bare
+
+
+def common_words(docs: DataFrame) -> np.ndarray:
+    """Hashes of the COMMON words that most rows of ``docs`` have, the most frequent first."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
+        for batch in in_slices(batches):
+            for data in batch.column(0).to_pylist():
+                words = word_hashes(data)
+                if len(words):
+                    held.append(np.unique(_bare(*word_edges(data), words)))
+                    size += len(held[-1])
+            if size > COUNTED:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
-def fingerprint(text: str) -> np.ndarray:
-    """Sorted distinct 32-bit signatures of a whole text."""
+    counted = docs.select(text_bytes().alias("body")).mapInArrow(count, "word bigint, n bigint")
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
+
+
+def fingerprint(text: str, common: np.ndarray) -> np.ndarray:
+    """Sorted distinct 32-bit signatures of a whole text, given the ``common_words``."""
     data = text.encode("utf-8", "replace")
     words = word_hashes(data)
     n = len(words)
     if n == 0:
         return np.zeros(0, np.uint32)
-    content = np.flatnonzero(~_among(words, _COMMON))
+    codes, starts, stops = word_edges(data)
+    bare = _bare(codes, starts, stops, words)
+    content = np.flatnonzero(~_among(bare, np.sort(common)))
     if not len(content):
         content = np.arange(n)
-    codes, starts, stops = word_edges(data)
-    anchors = np.flatnonzero(_among(words, _ANCHORS) | _chosen(codes, starts, stops, words))
+    chosen = _among(bare, np.sort(common[:ANCHORS]))
+    if chosen.sum() * SPARSE < n:
+        chosen |= bare % np.uint64(EVERY) == 0
+    anchors = np.flatnonzero(chosen)
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     first = np.unique(np.r_[0, np.searchsorted(starts, breaks)])
     first = first[first < n]
@@ -110,30 +140,37 @@ def length_class(size: int, least: float) -> int:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """(bucket, borrowed, id, tie, doc_id, text): rows by descending doc_id in buckets of ids.
+    """(bucket, borrowed, tie, doc_id, text): rows by descending doc_id in buckets of ids.
 
     Each bucket ends with borrowed rows: the first of the next bucket (after the last: of
     the first), so every row meets its successor in its own partition.  Ids are cut into
-    buckets by quantiles; only the buckets' largest ids go through the driver.  Null ids
+    buckets by quantiles, which only deal the rows: they are ordered as what they are.  The
+    buckets' first ids go through the driver.  Null ids
     come last; rows with equal ids follow a hash of their text.
     """
     n = parts(docs.sparkSession)
     number = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("id")
-    ids = docs.select(number)
+    ids = docs.select(number, "doc_id", F.xxhash64("text").alias("tie"))
     cuts = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    splits = sorted({c for c in cuts or [] if c != float("-inf")})
-    buckets = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="id", outputCol="at")
-    tops = {int(r["at"]): r["id"] for r in buckets.transform(ids).groupBy("at").agg(F.max("id").alias("id")).collect()}
+    splits = sorted({c for c in cuts or [] if np.isfinite(c)})
+    rows = docs.select(number, F.xxhash64("text").alias("tie"), "doc_id", "text")
+    if splits:
+        deal = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="id", outputCol="at").transform
+    else:  # one bucket: too few different ids
+        deal = lambda df: df.withColumn("at", F.lit(0.0))
+    tops = {int(r["at"]): r["top"] for r in deal(ids).groupBy("at").agg(F.max(F.struct("doc_id", "tie")).alias("top")).collect()}
     order = sorted(tops, reverse=True)
-    lend = [(tops[b], order[k - 1]) for k, b in enumerate(order)]
-    lent = docs.sparkSession.createDataFrame(lend or [(0.0, 0)], "id double, to int")
-    rows = buckets.transform(docs.select(number, F.xxhash64("text").alias("tie"), "doc_id", "text"))
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    lent = small_table(docs.sparkSession, lent_id=pa.array([tops[b]["doc_id"] for b in order], kind),
+                       lent_tie=pa.array([tops[b]["tie"] for b in order], pa.int64()),
+                       to=pa.array([order[k - 1] for k in range(len(order))], pa.int32()))
     copies = F.explode(F.array_compact(F.array(
         F.struct(F.col("at").cast("int").alias("bucket"), F.lit(False).alias("borrowed")),
         F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("borrowed"))))))
-    dealt = rows.join(F.broadcast(lent), "id", "left").select(copies.alias("c"), "id", "tie", "doc_id", "text")
-    flat = dealt.select("c.bucket", "c.borrowed", "id", "tie", "doc_id", "text")
-    return flat.repartition(n, "bucket").sortWithinPartitions("bucket", "borrowed", F.desc("id"), F.desc("tie"), F.desc("text"))
+    first = F.col("doc_id").eqNullSafe(F.col("lent_id")) & (F.col("tie") == F.col("lent_tie"))
+    dealt = deal(rows).join(F.broadcast(lent), first, "left").select(copies.alias("c"), "tie", "doc_id", "text")  # a row a bucket
+    flat = dealt.select("c.bucket", "c.borrowed", "tie", "doc_id", "text")
+    return flat.repartition(n, "bucket").sortWithinPartitions("bucket", "borrowed", F.desc_nulls_last("doc_id"), F.desc("tie"), F.desc("text"))
 
 
 RESULT = ("n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -146,17 +183,21 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def compared(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness to each other and to the next."""
+def compared(docs: DataFrame, common: np.ndarray | None = None) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness to each other and to the next.
+
+    ``common`` are the ``common_words`` of another corpus, if its fingerprints are to be met.
+    """
+    common = common_words(docs) if common is None else common
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held = None  # (bucket, doc_id, text, signatures), waiting for its successor
-        for batch in batches:
-            for bucket, borrowed, doc_id, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5)), strict=True):
+        for batch in in_slices(batches):
+            for bucket, borrowed, doc_id, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
                 if borrowed and (held is None or held[0] != bucket):
                     continue  # the bucket's last row has met its successor
                 text = text or ""
-                now = (bucket, doc_id, text, fingerprint(text))
+                now = (bucket, doc_id, text, fingerprint(text, common))
                 if held is not None and held[0] == bucket:
                     yield held, now
                 held = None if borrowed else now
@@ -170,7 +211,7 @@ def compared(docs: DataFrame) -> DataFrame:
 
         for (_, doc_id, text, own), (_, _, following, other) in pairs(batches):
             new = edited(text, following)
-            changed = fingerprint(new)
+            changed = fingerprint(new, common)
             out.append((doc_id, len(text), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), as_text(own), as_text(changed),
                         likeness(own, changed), likeness(own, other), len(own)))
             chars += 8 * (len(own) + len(changed)) + 200
@@ -181,8 +222,6 @@ def compared(docs: DataFrame) -> DataFrame:
             yield flush()
 
     kind = docs.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
     names = ["doc_id", *(part.strip().split()[0] for part in RESULT.split(","))]
     return in_order(docs.select("doc_id", "text")).mapInArrow(compare, f"doc_id {kind.simpleString()}, {RESULT}")
