@@ -5,17 +5,20 @@ given to a name or standing as long hexadecimal strings, and personal names (aft
 known first name before a surname).  Each becomes a keyed surrogate:
 
 * Characters are permuted within their class (digits, hexadecimal digits, small and capital
-  letters, accented letters, vowels and consonants in names) by a keyed Feistel network over all
-  strings of that form, so two values of one form never share a surrogate, in any document, and
-  one value always has the same.  Separators, country prefixes and top-level domains stay; a
+  letters, accented letters, vowels and consonants in names; letters of other scripts among those of
+  their script, case and block) by a keyed Feistel network over all strings of that form, so two
+  values of one form never share a first surrogate, and one value has the same in all documents
+  where it need not be drawn again.  Separators, country prefixes and top-level domains stay; a
   card number keeps its check-digit status, an address stays private or public.
 * Listed first names go to names of the same gender and script by a keyed permutation.
 * Within a document a surrogate that equals another's, or any original there, is drawn again
   with the next counter, until it is free: listed first names after LISTED_DRAWS draws as any
-  name of their form, names and e-mail addresses after each DRAWS draws one character longer,
-  addresses of the smaller private ranges in the largest.  Later mentions of a part of a name get the part's surrogate.
+  name of their form, all others after each DRAWS draws one character longer, addresses of
+  the smaller private ranges in the largest.  What is drawn again depends on the document: there a value may
+  have another surrogate than elsewhere, and one that a different value has elsewhere.  Later mentions of a part of a name get the part's surrogate.
 
-Null texts stay null, empty ones empty; repeated rows get equal results.
+A secret without a letter or digit (a line to be filled in) is none.  Null texts stay null, empty
+ones empty; repeated rows get equal results.  The key is the caller's: who has it can undo the permutations.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from pyspark.sql import types as T
 
 from placemetrics.llm.common import documents
 
-DEFAULT_KEY = "replace this key"
+#: Key of the registered query, whose results are compared between runs; real data need one of their own.
+QUERY_KEY = "key of the registered query"
 KINDS = ("email", "ip", "phone", "card", "account", "social", "secret", "name")
 
 FIRST_NAMES = {
@@ -75,9 +79,22 @@ def permuted(value: int, size: int, key: bytes, about: str) -> int:
             return value
 
 
+@cache
+def _own_class(ch: str) -> str:
+    """The letters of a letter's script and case in its block of 128 characters."""
+    def kind(c: str) -> tuple[str, str]:
+        return unicodedata.category(c), unicodedata.name(c, "").split(" ")[0]
+
+    known = "".join(_CLASSES)
+    if not ch.isalpha() or ch in known:
+        return ""
+    first = ord(ch) & ~127
+    return "".join(c for c in map(chr, range(first, first + 128)) if c.isalpha() and kind(c) == kind(ch) and c not in known)
+
+
 def reformed(text: str, key: bytes, about: str, classes: tuple[str, ...] = _CLASSES) -> str:
     """``text`` permuted among all strings with the same class of character at each place."""
-    found = [next((c for c in classes if ch in c), "") for ch in text]
+    found = [next((c for c in classes if ch in c), "") or _own_class(ch) for ch in text]
     size = value = 0
     for ch, members in zip(text, found, strict=True):
         if members:
@@ -85,7 +102,7 @@ def reformed(text: str, key: bytes, about: str, classes: tuple[str, ...] = _CLAS
             value = value * len(members) + members.index(ch)
     if size < 2:
         return text
-    form = "".join(str(classes.index(c)) if c else ch for ch, c in zip(text, found, strict=True))
+    form = "".join(str(classes.index(c)) if c in classes else f"[{c[0]}]" if c else ch for ch, c in zip(text, found, strict=True))
     value = permuted(value, size, key, f"{about}|{form}")
     out = []
     for ch, members in zip(reversed(text), reversed(found), strict=True):
@@ -202,11 +219,12 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         # a given secret and a long address may be letters alone; all others but e-mail addresses have a digit
         if "@" in text if kind == "email" else digit or pattern is _GIVEN_SECRET or pattern is _LONG_IP:
             for m in pattern.finditer(text):
-                found.append((*m.span(m.lastindex or 0), kind, ""))
+                if kind != "secret" or any(map(str.isalnum, m[m.lastindex or 0])):
+                    found.append((*m.span(m.lastindex or 0), kind, ""))
     for pattern in (_TITLED, _FIRST):
         for m in pattern.finditer(text):
             title = m[1] if pattern is _TITLED else ""
-            names = [k for k in ((2, 3) if title else (1, 2)) if m[k] and m[k][0].isupper()]
+            names = [k for k in ((2, 3) if title else (1, 2)) if m[k] and m[k][0] == m[k][0].title()]
             g = next((g for g, titles in TITLES.items() if title in titles), "")
             if not title and len(names) < 2:
                 continue
@@ -225,8 +243,10 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 def roomier(kind: str, value: str, times: int) -> str:
     """``value`` in a form with more surrogates, where ``times`` rounds of draws found none free."""
-    if times and kind == "name":
+    if times and kind in ("name", "secret"):
         return value + "a" * times
+    if times and kind in ("phone", "card", "account", "social"):
+        return value + "0" * times
     if times and kind == "email":
         return "a" * times + value
     if times and kind == "ip" and re.match(r"192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.", value):
@@ -283,7 +303,7 @@ def _derived(key: str) -> bytes:
     return hashlib.blake2b(key.encode(), digest_size=32).digest()
 
 
-def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in its texts, plus n_entities and, for each kind, n_<kind>.
 
     Columns of the input with these names are replaced.
@@ -308,4 +328,4 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 
 
 def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
-    return with_surrogates(documents(spark, folder).select("doc_id", "text"))
+    return with_surrogates(documents(spark, folder).select("doc_id", "text"), QUERY_KEY)
