@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placemetrics.llm.common import documents, mix, parts, shingle_set, stored, text_bytes
+from placemetrics.llm.common import documents, in_slices, mix, parts, shingle_set, stored, text_bytes
 from placemetrics.llm.components import components
 
 SIZE, PERCENT = 5, 85
@@ -82,7 +82,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit name and its signature, for every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             counts, names, signatures = [], [], []
             for data in batch.column(1).to_pylist():
                 shingles = shingle_set(data, size)
@@ -220,7 +220,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
-        for batch in batches:
+        for batch in in_slices(batches):
             a, b = [], []
             for node, chunk, partner, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if partner is None:
@@ -247,7 +247,7 @@ def _of_class(size: int):
     """Keeps the texts whose set is the class's own: ids may be repeated."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             names = [xxhash.xxh3_128_digest(shingle_set(data, size).tobytes()) for data in batch.column(2).to_pylist()]
             mask = pa.array([x == y for x, y in zip(names, batch.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(2).filter(mask)], ["node", "body"])
@@ -295,7 +295,7 @@ def prefixed(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> Da
     values = common[ranks]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             names, counts, prefixes, parities = [], [], [], []
             for data in batch.column(1).to_pylist():
                 shingles = shingle_set(data, size)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placemetrics.llm.common import documents, remainder, shingle_hashes, text_bytes, word_edges, word_hashes
+from placemetrics.llm.common import documents, in_slices, remainder, shingle_hashes, text_bytes, word_edges, word_hashes
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_LABELLED = 20_000
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = MAX_LABELLED) -> Addit
     texts = docs.select("doc_id", text_bytes().alias("body")).join(F.broadcast(chosen), "doc_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             matrix = _matrix(batch.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(matrix.tolist(), pa.list_(pa.float64())), batch.column("label").cast(pa.int32())], ["x", "label"])
@@ -197,7 +197,7 @@ def scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     text_at, names = docs.columns.index("text"), docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(text_at).cast(pa.binary()).to_pylist()
             found = model.scores(_matrix(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, "score"])

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placemetrics.llm.common import documents, stored
+from placemetrics.llm.common import SLICE, documents, in_slices, stored
+from placemetrics.operators.ordering import total_before
 
 CAPACITY = 4096
 CLOSING_ID = 1
@@ -39,7 +40,7 @@ SETTLED = 0.985
 #: Emptiest bins that a bin tries to exchange with, in each pass.
 DONORS = 32
 #: Chunks whose ids a worker remembers, at most, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+REMEMBERED, REMEMBERED_CHARS = 400_000, 48
 #: Characters whose words are held at once.
 BLOCK = 1 << 20
 #: Latin text without unusual spaces or combining marks: there every white space ends a word.
@@ -128,7 +129,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, k
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path)
-        for batch in batches:
+        for batch in in_slices(batches, 2 * SLICE):
             owner, piece, start, length, crc, kept = [], [], [], [], [], []
             for k, ids in enumerate(tokens.ids([t or "" for t in batch.column(1).to_pylist()])):
                 ids += closing
@@ -218,18 +219,15 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 def _in_ranges(rows: DataFrame, order: str, groups: int) -> DataFrame:
     """``rows`` with _group: ranges of ``order`` with about as many tokens each.
 
-    Only the tokens of RANGES ranges a group, at least as many as that, go through the driver.
+    The tokens of RANGES ranges a group, at least 4096, are added up one after the other by
+    Spark; the driver sees the last value of ``order`` and the number of tokens.
     """
     n = max(4096, RANGES * groups)
-    last = (rows.agg(F.max(order)).first()[0] or 0) + 1
-    at = F.floor(F.col(order) * n / F.lit(last)).cast("int")
-    tokens = {r["at"]: r["tokens"] for r in rows.groupBy(at.alias("at")).agg(F.sum("length").alias("tokens")).collect()}
-    total, so_far, first = sum(tokens.values()), 0, {}
-    for k in sorted(tokens):
-        first.setdefault(so_far * groups // max(total, 1), k)
-        so_far += tokens[k]
-    bounds = F.array(*[F.lit(k) for _, k in sorted(first.items())])
-    return rows.withColumn("_group", (F.size(F.filter(bounds, lambda k: k <= at)) - 1).cast("int"))
+    last, tokens = rows.agg(F.max(order), F.sum("length")).first()
+    at = F.floor(F.col(order) * n / F.lit((last or 0) + 1)).cast("int")
+    ranges = stored(rows.groupBy(at.alias("_at")).agg(F.sum("length").alias("tokens")), "ranges")
+    group = F.floor(F.col("before") * groups / F.lit(max(tokens or 0, 1))).cast("int").alias("_group")
+    return rows.withColumn("_at", at).join(total_before(ranges, "tokens", "before", ["_at"]).select("_at", group), "_at").drop("_at")
 
 
 def _numbered_in(rows: DataFrame, order: str) -> DataFrame:
