@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -22,8 +23,8 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACES = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], np.uint64)
 #: Longest stretch of text hashed at once, in bytes.
 BLOCK = 1 << 20
-#: Rows of a slice of an Arrow batch.
-SLICE = 512
+#: Rows of a slice of an Arrow batch; WHOLE leaves batches as they are.
+SLICE, WHOLE = 512, 1 << 30
 
 
 def importable(spark: SparkSession) -> None:
@@ -68,10 +69,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows, so that a worker copies out few texts at a time."""
+    """The batches in slices of few rows, so that a worker copies out few texts at a time.
+
+    After the last one the worker gives memory back: it lives on for other tasks, beside its JVM.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that this process no longer uses goes to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def small_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placemetrics.llm.common import documents, mix, parts, stored
+from placemetrics.llm.common import WHOLE, documents, in_slices, mix, parts, stored
 
 #: Distinct lines per shard, about: some 2 MB of arrays.
 SHARD_LINES = 200_000
@@ -135,7 +135,7 @@ def bucket_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(bucket, high, low, n): distinct line keys of each bucket, and its documents with them."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, WHOLE):
             seen: Counter = Counter()
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys = {line_key(line) for line in (data or b"").split(b"\n")}
@@ -185,7 +185,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, dropped = None, set()
-        for batch in batches:
+        for batch in in_slices(batches, WHOLE):
             buckets = batch.column("bucket").to_numpy(zero_copy_only=False)
             is_row = batch.column("is_row").to_numpy(zero_copy_only=False).astype(bool)
             high, low = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("high", "low"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placemetrics.llm.common import documents, in_slices, mix, parts, shingle_set, stored, text_bytes
+from placemetrics.llm.common import WHOLE, documents, in_slices, mix, parts, shingle_set, stored, text_bytes
 from placemetrics.llm.components import components
 
 SIZE, PERCENT = 5, 85
@@ -102,7 +102,7 @@ def forest(nodes: DataFrame) -> DataFrame:
     """(tree, key, node): each node's key in each order."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, WHOLE):
             rows = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u2").reshape(-1, BINS)
             for tree, bins in enumerate(_KEYS):
                 flat = rows[:, bins].astype(">u2").tobytes()
@@ -127,7 +127,7 @@ def _next_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return np.where(tree[x] == tree[y], np.logical_and.accumulate(keys[x] == keys[y], 1).sum(1), 0)
 
     started, last = False, None
-    for batch in batches:
+    for batch in in_slices(batches, WHOLE):
         if not batch.num_rows:
             continue
         if not started:
@@ -190,7 +190,7 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, agreement) for pairs whose signatures agree in enough bins."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, WHOLE):
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u2").reshape(-1, BINS) for k in (2, 3))
             share = (x == y).mean(1)
             good = pa.array(share >= AGREEMENT)
@@ -275,7 +275,7 @@ def common_shingles(docs: DataFrame, n: int, size: int) -> np.ndarray:
     """Shingles that several of some SAMPLED of the ``n`` rows have, by rising count."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, WHOLE):
             for data in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(data, size).view(np.int64))], ["shingle"])
 
@@ -347,7 +347,7 @@ def _possible(percent: int):
             pairs = np.unique(np.concatenate(out), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        for batch in batches:
+        for batch in in_slices(batches, WHOLE):
             if not batch.num_rows:
                 continue
             numbers = np.r_[numbers, np.stack([batch.column(k).to_numpy() for k in range(8)], 1)]
