@@ -143,7 +143,11 @@ def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased."""
-    codes, starts, ends = word_edges(data)
+    return edged_hashes(*word_edges(data))
+
+
+def edged_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``word_hashes`` where the words' edges are known."""
     out = np.empty(len(starts), np.uint64)
     k = 0
     while k < len(starts):

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import string
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from placemetrics.llm.common import _PLACES, documents, in_slices, mix, parts, small_table, stored, text_bytes, word_edges, word_hashes
+from placemetrics.llm.common import _PLACES, documents, edged_hashes, in_slices, mix, parts, small_table, stored, text_bytes, word_edges, word_hashes
 
 #: Words with the highest document frequency that are no content, and those that start a chain.
 COMMON, ANCHORS = 256, 64
@@ -74,9 +75,9 @@ def common_words(docs: DataFrame) -> np.ndarray:
 
         for batch in in_slices(batches):
             for data in batch.column(0).to_pylist():
-                words = word_hashes(data)
-                if len(words):
-                    held.append(np.unique(_bare(*word_edges(data), words)))
+                edges = word_edges(data)
+                if len(edges[1]):
+                    held.append(np.unique(_bare(*edges, edged_hashes(*edges))))
                     size += len(held[-1])
             if size > COUNTED:
                 yield flush()
@@ -89,19 +90,27 @@ def common_words(docs: DataFrame) -> np.ndarray:
     return np.array([r["word"] for r in top], np.int64).view(np.uint64)
 
 
+@cache
+def _in_order(common: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The common words' hashes and those of the anchors among them, sorted."""
+    hashes = np.frombuffer(common, np.uint64)
+    return np.sort(hashes), np.sort(hashes[:ANCHORS])
+
+
 def fingerprint(text: str, common: np.ndarray) -> np.ndarray:
     """Sorted distinct 32-bit signatures of a whole text, given the ``common_words``."""
     data = text.encode("utf-8", "replace")
-    words = word_hashes(data)
-    n = len(words)
+    codes, starts, stops = word_edges(data)
+    n = len(starts)
     if n == 0:
         return np.zeros(0, np.uint32)
-    codes, starts, stops = word_edges(data)
+    words = edged_hashes(codes, starts, stops)
+    no_content, opening = _in_order(common.tobytes())
     bare = _bare(codes, starts, stops, words)
-    content = np.flatnonzero(~_among(bare, np.sort(common)))
+    content = np.flatnonzero(~_among(bare, no_content))
     if not len(content):
         content = np.arange(n)
-    chosen = _among(bare, np.sort(common[:ANCHORS]))
+    chosen = _among(bare, opening)
     if chosen.sum() * SPARSE < n:
         chosen |= bare % np.uint64(EVERY) == 0
     anchors = np.flatnonzero(chosen)
