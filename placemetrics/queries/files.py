@@ -18,6 +18,7 @@ from placemetrics.queries.registry import register
 from placemetrics.sources.files import (keep_named_rows, read_csv, read_csv_after, rewrite_years, write_by_year, write_csv,
                                         write_features)
 from placemetrics.sources.mappings import read_mapping
+from placemetrics.sources.points import read_points, write_points
 from placemetrics.storage import shared_folder
 
 
@@ -124,6 +125,17 @@ def written_features(spark: SparkSession, folder: str) -> DataFrame:
         F.get("f.geometry.coordinates", F.lit(1)).alias("lat"))
 
 
+def written_points(spark: SparkSession, folder: str) -> DataFrame:
+    """All customers as a point layer, read back: names cut and numbered, points missing where a coordinate is."""
+    path = _new_path(spark, "points")
+    rows = t.read(spark, folder, "customer").select(
+        F.col("c_custkey").alias("customer_key"), F.col("c_name").alias("customer_name"), F.col("c_acctbal").cast("double").alias("balance"),
+        (F.col("c_acctbal") < 0).alias("in_debt"), F.col("c_nationkey").cast("double").alias("lon"),
+        F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") / 7).alias("lat"))
+    write_points(rows, path, ["customer_key", "customer_name", "balance", "in_debt"])
+    return read_points(spark, path)
+
+
 def slugged_names(spark: SparkSession, folder: str) -> DataFrame:
     """Headers made from texts with accents, blanks and repeats."""
     headers = ["Région Clé", "region  cle", "2017 Name!"]
@@ -166,6 +178,10 @@ register("written_by_year", written_by_year,
 register("written_features", written_features,
          """SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS DOUBLE) END AS lon,
          CASE WHEN s_suppkey % 2 = 0 THEN 0.5::DOUBLE END AS lat FROM supplier""")
+register("written_points", written_points,
+         """SELECT CASE WHEN c_custkey % 3 > 0 THEN CAST(c_nationkey AS DOUBLE) END AS lon,
+         CASE WHEN c_custkey % 3 > 0 THEN c_custkey / 7 END AS lat, CAST(c_custkey AS BIGINT) AS customer_k,
+         c_name AS customer_n, CAST(c_acctbal AS DOUBLE) AS balance, c_acctbal < 0 AS in_debt FROM customer""")
 register("slugged_names", slugged_names,
          "SELECT r_regionkey AS region_cle, r_regionkey AS region_cle1, r_name AS x2017_name FROM region")
 register("ratio_labels", ratio_labels,
