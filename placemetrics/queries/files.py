@@ -19,6 +19,7 @@ from placemetrics.sources.files import (keep_named_rows, read_csv, read_csv_afte
                                         write_features)
 from placemetrics.sources.mappings import read_mapping
 from placemetrics.sources.points import read_points, write_points
+from placemetrics.sources.workbooks import read_workbook, write_workbooks
 from placemetrics.storage import shared_folder
 
 
@@ -136,6 +137,16 @@ def written_points(spark: SparkSession, folder: str) -> DataFrame:
     return read_points(spark, path)
 
 
+def workbook_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """All orders in workbooks with a title and a header, read back with the types wanted."""
+    path = _new_path(spark, "books")
+    orders = t.read(spark, folder, "orders").select(
+        "o_orderkey", F.when(F.col("o_custkey") % 5 > 0, F.concat(F.lit(" <"), "o_orderpriority", F.lit("> & so on"))).alias("note"),
+        F.col("o_totalprice").cast("double").alias("price"), F.to_date("o_orderdate").alias("day"), (F.col("o_orderstatus") == "F").alias("done"))
+    write_workbooks(orders, path, "Orders", ["all orders"])
+    return read_workbook(spark, path, "Orders", 1, "o_orderkey bigint, note string, price double, day date, done boolean")
+
+
 def slugged_names(spark: SparkSession, folder: str) -> DataFrame:
     """Headers made from texts with accents, blanks and repeats."""
     headers = ["Région Clé", "region  cle", "2017 Name!"]
@@ -182,6 +193,9 @@ register("written_points", written_points,
          """SELECT CASE WHEN c_custkey % 3 > 0 THEN CAST(c_nationkey AS DOUBLE) END AS lon,
          CASE WHEN c_custkey % 3 > 0 THEN c_custkey / 7 END AS lat, CAST(c_custkey AS BIGINT) AS customer_k,
          c_name AS customer_n, CAST(c_acctbal AS DOUBLE) AS balance, c_acctbal < 0 AS in_debt FROM customer""")
+register("workbook_sheets", workbook_sheets,
+         """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_custkey % 5 > 0 THEN '<' || o_orderpriority || '> & so on' END AS note,
+         CAST(o_totalprice AS DOUBLE) AS price, CAST(o_orderdate AS DATE) AS day, o_orderstatus = 'F' AS done FROM orders""")
 register("slugged_names", slugged_names,
          "SELECT r_regionkey AS region_cle, r_regionkey AS region_cle1, r_name AS x2017_name FROM region")
 register("ratio_labels", ratio_labels,

@@ -1,8 +1,7 @@
 """Point layers (.shp, .shx, .dbf, .prj, .cpg) as a Spark data source, read and written in parts.
 
 A layer is a folder of parts, each a whole layer file set of at most ROWS_PER_PART points.
-Tasks write parts to a staging folder; they are moved in when the job commits, so a task that
-is run again or a job that fails leaves nothing half written in the layer.
+Tasks stage parts, which are moved in when the job commits.
 """
 
 from __future__ import annotations
@@ -10,18 +9,15 @@ from __future__ import annotations
 import datetime
 import math
 import struct
-import sys
-import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyarrow import fs
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
 
 from placemetrics.functions.semantics import as_column
+from placemetrics.sources.staged import Part, StagedWriter, opened, parts_of, register_source
 
 __all__ = ["write_points", "read_points", "short_names"]
 
@@ -29,7 +25,6 @@ ROWS_PER_PART = 100_000
 #: Fixed values of the formats: file code, version, shapes, longest text, longest name.
 SHAPE_CODE, SHAPE_VERSION, NO_SHAPE, POINT = 9994, 1000, 0, 1
 LONGEST_TEXT, LONGEST_NAME = 254, 10
-SUFFIXES = ("shp", "shx", "dbf", "prj", "cpg")
 WGS84 = ('GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],'
          'PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]')
 
@@ -43,14 +38,14 @@ def write_points(df: DataFrame, path: str, properties: Sequence[str], lon: Colum
     not finite: they are missing when read, as are blanks at the end of a text.  A text of
     over 254 bytes is an error, as are columns other than text, whole numbers, floating numbers, booleans and dates.
     """
-    _register(df.sparkSession)
+    register_source(df.sparkSession, PointLayer)
     points = df.select(as_column(lon).cast("double").alias("lon"), as_column(lat).cast("double").alias("lat"), *properties)
     points.write.format("point_layer").mode(mode).save(path)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """Columns ``lon`` and ``lat`` and the properties of a layer, one task a part."""
-    _register(spark)
+    register_source(spark, PointLayer)
     return spark.read.format("point_layer").load(path)
 
 
@@ -71,27 +66,15 @@ def _cut(name: str, size: int) -> str:
     return name.encode()[:size].decode(errors="ignore")
 
 
-def _register(spark: SparkSession) -> None:
-    # Sent by value, so that executors need no installed package.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    spark.dataSource.register(PointLayer)
-
-
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 class PointLayer(DataSource):
     @classmethod
     def name(cls) -> str:
         return "point_layer"
 
     def schema(self) -> T.StructType:
-        files, folder = _opened(self.options["path"])
+        path = self.options["path"]
         fields = [T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]
-        with files.open_input_stream(_parts(files, folder)[0] + ".dbf") as table:
+        with opened(path)[0].open_input_stream(_table_of(parts_of(path, "shp")[0])) as table:
             return T.StructType(fields + [T.StructField(f.name, _KINDS[f.kind]()) for f in _table_fields(table)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
@@ -101,16 +84,6 @@ class PointLayer(DataSource):
         return PointWriter(self.options["path"], schema, overwrite)
 
 
-@dataclass
-class Part(InputPartition):
-    path: str
-
-
-@dataclass
-class Written(WriterCommitMessage):
-    names: list[str]
-
-
 @dataclass
 class Field:
     name: str
@@ -125,17 +98,9 @@ _KIND_OF = {"string": "C", "tinyint": "N", "smallint": "N", "int": "N", "bigint"
 _WIDTHS = {"N": 20, "F": 24, "L": 1, "D": 8}
 
 
-def _parts(files: fs.FileSystem, folder: str) -> list[str]:
-    """Paths of the parts without their suffix; a single layer file is its own part."""
-    if folder.endswith(".shp"):
-        return [folder.removesuffix(".shp")]
-    found = sorted(i.path.removesuffix(".shp") for i in files.get_file_info(fs.FileSelector(folder)) if i.path.endswith(".shp"))
-    if not found:
-        raise FileNotFoundError(f"no point layer in {folder}")
-    return found
-
+class PointWriter(StagedWriter):
+    rows_per_part, suffixes = ROWS_PER_PART, ("shp", "shx", "dbf", "prj", "cpg")
 
-class PointWriter(DataSourceWriter):
     def __init__(self, path: str, schema: T.StructType, overwrite: bool) -> None:
         fields = schema.fields[2:]
         others = [f.name for f in fields if f.dataType.simpleString() not in _KIND_OF]
@@ -145,56 +110,11 @@ class PointWriter(DataSourceWriter):
         if {"lon", "lat"} & {n.lower() for n in self.names}:
             raise ValueError("lon and lat are the names of the coordinates")
         self.kinds = [_KIND_OF[f.dataType.simpleString()] for f in fields]
-        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
-
-    def _folders(self) -> tuple[fs.FileSystem, str, str]:
-        files, folder = _opened(self.path)
-        return files, folder, f"{folder}/_staged-{self.job}"
-
-    def write(self, iterator: Iterator[T.Row]) -> WriterCommitMessage:
-        files, _, staged = self._folders()
-        files.create_dir(staged, recursive=True)
-        names, rows = [], []
-        for row in iterator:
-            rows.append(tuple(row))
-            if len(rows) == ROWS_PER_PART:
-                names.append(self._write_part(files, staged, rows))
-                rows = []
-        if rows:
-            names.append(self._write_part(files, staged, rows))
-        return Written(names)
-
-    def _write_part(self, files: fs.FileSystem, staged: str, rows: list[tuple]) -> str:
-        name = f"part-{uuid.uuid4().hex}"
+        super().__init__(path, overwrite)
+
+    def contents(self, rows: Sequence[tuple]) -> Sequence[bytes]:
         shapes, index = _shape_files([row[:2] for row in rows])
-        table = _table_file(self.names, self.kinds, [row[2:] for row in rows])
-        for suffix, data in zip(SUFFIXES, (shapes, index, table, WGS84.encode(), b"UTF-8")):
-            with files.open_output_stream(f"{staged}/{name}.{suffix}") as out:
-                out.write(data)
-        return name
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        """Only the parts of tasks that Spark counts are moved in; old parts go after that."""
-        files, folder, staged = self._folders()
-        names = [name for message in messages if message for name in message.names]
-        files.create_dir(staged, recursive=True)
-        if not names:  # an empty layer still has its columns
-            names = [self._write_part(files, staged, [])]
-        old = [i.path for i in files.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.File]
-        # the part's table and shapes last, so a reader meets whole parts only
-        for suffix in reversed(SUFFIXES):
-            for name in names:
-                files.move(f"{staged}/{name}.{suffix}", f"{folder}/{name}.{suffix}")
-        if self.overwrite:
-            for path in old:
-                if path.rsplit(".", 1)[-1] in SUFFIXES:
-                    files.delete_file(path)
-        files.delete_dir(staged)
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        files, _, staged = self._folders()
-        if files.get_file_info(staged).type == fs.FileType.Directory:
-            files.delete_dir(staged)
+        return shapes, index, _table_file(self.names, self.kinds, [row[2:] for row in rows]), WGS84.encode(), b"UTF-8"
 
 
 def _shape_files(points: Sequence[tuple]) -> tuple[bytes, bytes]:
@@ -254,6 +174,10 @@ def _as_value(data: bytes, kind: str) -> object:
     return int(text) if kind == "N" else float(text)
 
 
+def _table_of(shapes: str) -> str:
+    return shapes.removesuffix(".shp") + ".dbf"
+
+
 def _table_fields(table) -> list[Field]:
     """Fields from the head of a table file; whole numbers are those without decimals."""
     size = struct.unpack("<H", table.read(32)[8:10])[0]
@@ -275,13 +199,12 @@ class PointReader(DataSourceReader):
         self.path, self.wanted = path, wanted
 
     def partitions(self) -> list[InputPartition]:
-        files, folder = _opened(self.path)
-        return [Part(path) for path in _parts(files, folder)]
+        return [Part(path) for path in parts_of(self.path, "shp")]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        files, _ = _opened(self.path)
-        with (files.open_input_stream(partition.path + ".dbf", buffer_size=1 << 20) as table,
-              files.open_input_stream(partition.path + ".shp", buffer_size=1 << 20) as shapes):
+        files, _ = opened(self.path)
+        with (files.open_input_stream(_table_of(partition.path), buffer_size=1 << 20) as table,
+              files.open_input_stream(partition.path, buffer_size=1 << 20) as shapes):
             fields = _table_fields(table)
             shapes.read(100)
             length = 1 + sum(f.width for f in fields)
