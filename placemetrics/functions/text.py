@@ -125,7 +125,7 @@ PLAIN = {c: plain_letter(c) for first, last in LATIN_BLOCKS for c in map(chr, ra
 PLAIN = {c: plain for c, plain in PLAIN.items() if plain != c}
 _SINGLE = {c: plain for c, plain in PLAIN.items() if len(plain) == 1}
 _LONGER = {c: plain for c, plain in PLAIN.items() if len(plain) > 1}
-_USUAL = "ßæœÆŒ…"
+_PLAIN_RUN = r"[\x00-\x7F]+|[^\x00-\x7F]"
 
 
 def _where_not_plain(text: Column, step: Callable[[Column], Column]) -> Column:
@@ -138,18 +138,18 @@ def to_ascii(column: Column | str) -> Column:
     """Latin letters, quotes, dashes and signs in ASCII; marks after letters go (rule N24).
 
     One pass over the text replaces all letters with a single plain letter.  What is not plain
-    then is looked through for letters with a longer form, the usual ones first, and for marks.
+    then is cut into plain runs and single signs, which are looked up in one map of longer forms
+    (a constant, so the expression stays small however many columns are folded), and marks go.
     """
-    def replaced(text: Column, letters: Iterable[str]) -> Column:
-        return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(PLAIN[c])), letters, text)
+    longer = F.str_to_map(F.lit("\n".join(f"{c}\t{plain}" for c, plain in _LONGER.items())), F.lit("\n"), F.lit("\t"))
 
     def rest(text: Column) -> Column:
-        unusual = replaced(text, [c for c in _LONGER if c not in _USUAL])
-        return F.regexp_replace(unusual, r"([A-Za-z])[\u0300-\u036F]+", "$1")
+        runs = F.regexp_extract_all(text, F.lit(_PLAIN_RUN), F.lit(0))
+        joined = F.array_join(F.transform(runs, lambda run: F.coalesce(F.try_element_at(longer, run), run)), "")
+        return F.regexp_replace(joined, r"([A-Za-z])[\u0300-\u036F]+", "$1")
 
     def folded(text: Column) -> Column:
-        single = F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values()))
-        return _where_not_plain(single, lambda t: _where_not_plain(replaced(t, _USUAL), rest))
+        return _where_not_plain(F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values())), rest)
 
     return _where_not_plain(as_column(column), folded)
 
