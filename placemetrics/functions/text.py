@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -128,30 +128,39 @@ _LONGER = {c: plain for c, plain in PLAIN.items() if len(plain) > 1}
 _PLAIN_RUN = r"[\x00-\x7F]+|[^\x00-\x7F]"
 
 
-def _where_not_plain(text: Column, step: Callable[[Column], Column]) -> Column:
-    """``step`` of the texts that are not ASCII; the one-element transform names the text once."""
-    return F.get(F.transform(F.array(text), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), step(t)).otherwise(t)),
-                 F.lit(0))
+def _sql(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _where_not_plain(step: str) -> str:
+    """A SQL lambda: ``step`` of a text ``t`` that is not ASCII, else the text."""
+    return f"t -> CASE WHEN t RLIKE {_sql(r'[^\x00-\x7F]')} THEN {step} ELSE t END"
+
+
+def _fold_step() -> str:
+    longer = "str_to_map({}, {}, {})".format(
+        _sql("\n".join(f"{c}\t{plain}" for c, plain in _LONGER.items())), _sql("\n"), _sql("\t"))
+    runs = f"regexp_extract_all(t, {_sql(_PLAIN_RUN)}, 0)"
+    joined = f"array_join(transform({runs}, run -> coalesce(try_element_at({longer}, run), run)), '')"
+    rest = f"regexp_replace({joined}, {_sql(r'([A-Za-z])[\u0300-\u036F]+')}, {_sql('$1')})"
+    single = f"translate(t, {_sql(''.join(_SINGLE))}, {_sql(''.join(_SINGLE.values()))})"
+    return _where_not_plain(f"get(transform(array({single}), {_where_not_plain(rest)}), 0)")
+
+
+_FOLD = _fold_step()
 
 
 def to_ascii(column: Column | str) -> Column:
     """Latin letters, quotes, dashes and signs in ASCII; marks after letters go (rule N24).
 
     One pass over the text replaces all letters with a single plain letter.  What is not plain
-    then is cut into plain runs and single signs, which are looked up in one map of longer forms
-    (a constant, so the expression stays small however many columns are folded), and marks go.
+    then is cut into plain runs and single signs, which are looked up in one map of longer forms,
+    and marks go.  The map is a constant and the step one parsed text, so that building the
+    expression costs little however many columns are folded; one-element transforms name the
+    text, so that no step is worked out twice.
     """
-    longer = F.str_to_map(F.lit("\n".join(f"{c}\t{plain}" for c, plain in _LONGER.items())), F.lit("\n"), F.lit("\t"))
-
-    def rest(text: Column) -> Column:
-        runs = F.regexp_extract_all(text, F.lit(_PLAIN_RUN), F.lit(0))
-        joined = F.array_join(F.transform(runs, lambda run: F.coalesce(F.try_element_at(longer, run), run)), "")
-        return F.regexp_replace(joined, r"([A-Za-z])[\u0300-\u036F]+", "$1")
-
-    def folded(text: Column) -> Column:
-        return _where_not_plain(F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values())), rest)
-
-    return _where_not_plain(as_column(column), folded)
+    return F.get(F.call_function("transform", F.array(as_column(column)), F.expr(_FOLD)), F.lit(0))
 
 
 def replace_all(column: Column | str, rules: Iterable[tuple[str, str]]) -> Column:

@@ -24,10 +24,6 @@ CURRENCIES = {"Canadian dollars (C$)": ("cad", 1.32), "U.S. dollars ($)": ("usd"
               "Euros": ("eur", 0.93), "Second sen": ("sen", None)}
 
 
-def _rows(spark: SparkSession, folder: str, condition: str) -> DataFrame:
-    return t.answers(spark, folder).filter(condition)
-
-
 # Ranges of the order date, which the scan can use to skip row groups.
 YEARS = {2014: "o_orderdate < TIMESTAMP '1997-01-01 00:00:00'",
          2015: "o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00'",
@@ -50,18 +46,19 @@ LABELS = {"q0029_1": "Desktop", "q0029_2": "Sys Admin", "q0074_1": "R", "q0074_2
 def yearly_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
     languages = [F.expr(f"CASE WHEN {test} THEN {quoted(name)} END") for name, test in PAST.items()]
     country = F.expr(COUNTRY)
-    first = _rows(spark, folder, YEARS[2014]).select(
+    answers = t.answers(spark, folder)
+    first = answers.filter(YEARS[2014]).select(
         country.alias("What Country do you live in?"),
         F.col("o_orderstatus").alias("What is your gender?"),
         F.col("c_mktsegment").alias(
             "How would you best describe the industry you currently work in?"),
         *[c.alias(f"X{i}") for i, c in enumerate(languages)])
-    second = _rows(spark, folder, YEARS[2015]).select(
+    second = answers.filter(YEARS[2015]).select(
         country.alias("Country"), F.col("o_orderstatus").alias("Gender"),
         F.col("c_mktsegment").alias("Industry"),
         F.col("o_orderpriority").alias("Employment Status"),
         *[c.alias(f"Current Lang {i}") for i, c in enumerate(languages)])
-    third = _rows(spark, folder, YEARS[2016]).select(
+    third = answers.filter(YEARS[2016]).select(
         country.alias("country"), F.col("o_orderstatus").alias("gender"),
         F.col("c_mktsegment").alias("industry"),
         F.concat_ws("; ", *languages).alias("tech_do"),
@@ -78,7 +75,7 @@ def yearly_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
              "ed_major": "c_mktsegment", "q0071": "o_orderstatus",
              "q0027": "CASE WHEN c_acctbal < 0 THEN 'Less than a year' "
                       "ELSE '3 to 4 years' END"}
-    fourth = _rows(spark, folder, YEARS[2017]).select(
+    fourth = answers.filter(YEARS[2017]).select(
         F.col("o_orderkey").alias("x_RespondentID"),
         *[F.expr(sql).alias(name) for name, sql in texts.items()], *coded)
     layout = t.pairs(spark, {k: (v, "Nominal") for k, v in LABELS.items()},

@@ -171,3 +171,9 @@ def test_means_are_of_the_amounts_themselves(spark):
     df = table(spark, [(a,) for a in amounts], "x double")
     found = df.agg(money_mean("x").alias("m"), F.avg("x").alias("avg")).first()
     assert abs(found["m"] - found["avg"]) < 1e-7
+
+
+def test_folding_leaves_quotes_backslashes_and_other_scripts(spark):
+    cases = {"it's \\ Œ'": "it's \\ OE'", "ß\nǆ\tﬁ😀ﬂ": "ss\ndz\tfi😀fl", "…¼": "... 1/4", "日本 Æther": "日本 AEther",
+             "plain $1 \\u00e9": "plain $1 \\u00e9", "": ""}
+    assert values(table(spark, list(cases), "x string"), to_ascii("x")) == list(cases.values())
