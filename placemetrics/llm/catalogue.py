@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pfair_mixing": pfair_mixing.op8_pfair_mixing,
     "op9_surrogates": surrogates.op9_surrogates,
     "op10_rule_ledger": rule_ledger.op10_rule_ledger,
+    "rule_ablations": rule_ledger.rule_ablations,
     "op11_bitmap_manifest": bitmap_manifest.op11_bitmap_manifest,
     "op12_host_reputation": host_reputation.op12_host_reputation,
     "op13_weighted_whitening": weighted_whitening.op13_weighted_whitening,
@@ -23,6 +24,7 @@ QUERIES = {
 SQL = {
     "op6_line_index": line_index.OP6_SQL,
     "op10_rule_ledger": rule_ledger.OP10_SQL,
+    "rule_ablations": rule_ledger.ABLATIONS_SQL,
     "op11_bitmap_manifest": bitmap_manifest.OP11_SQL,
     "op12_host_reputation": host_reputation.OP12_SQL,
 }

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,9 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACES = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], np.uint64)
 #: Longest stretch of text hashed at once, in bytes.
 BLOCK = 1 << 20
+#: Bytes from which on a word is hashed by itself: sums of powers modulo 2^64 have equal values
+#: for some long words of two letters.
+LONG_WORD = 128
 #: Rows of a slice of an Arrow batch; WHOLE leaves batches as they are.
 SLICE, WHOLE = 512, 1 << 30
 
@@ -45,19 +47,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local session without one gets its own."""
+    """The folder in spark.checkpoint.dir; a local session without one uses its warehouse folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _own_folder()
-
-
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="llm-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -160,6 +157,8 @@ def edged_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         a, b = starts[k:stop] - first, ends[k:stop] - first
         out[k:stop] = (sums[b] - sums[a]) * down[a]
         k = stop
+    for k in np.flatnonzero(ends - starts >= LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(codes[starts[k]:ends[k]].tobytes())
     return mix(out)
 
 

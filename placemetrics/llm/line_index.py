@@ -59,8 +59,9 @@ def as_digests(high: np.ndarray, low: np.ndarray) -> list[bytes]:
 class PerfectHash:
     """Minimal perfect hash: levels of bits, a key counts where no other key shares its bit.
 
-    What is left after MAX_LEVELS (keys equal in all 128 bits of their hash cannot occur;
-    a handful of unlucky ones can) is kept as a sorted list, so every key has its place.
+    Levels place a key by 64 bits made of its 128.  Keys that agree in those 64 share their bit
+    on every level, so they are left after MAX_LEVELS, with a handful of unlucky ones; these are
+    told apart by all 128 bits, so every key has a place of its own.
     """
 
     MAX_LEVELS = 40
@@ -68,7 +69,7 @@ class PerfectHash:
     def __init__(self, high: np.ndarray, low: np.ndarray) -> None:
         self.levels: list[tuple[int, np.ndarray, np.ndarray, int]] = []
         rest, offset = self.join(high, low), 0
-        self.n = len(rest)
+        self.n, left = len(rest), np.arange(len(rest))
         while len(rest) and len(self.levels) < self.MAX_LEVELS:
             size = LOOSENESS * len(rest) + 1
             at = self.slot(rest, len(self.levels), size)
@@ -77,8 +78,9 @@ class PerfectHash:
             before = np.r_[0, np.cumsum(np.unpackbits(words, bitorder="little").reshape(-1, 8).sum(1, dtype=np.int64))[:-1]]
             self.levels.append((size, words, before, offset))
             offset += int(alone.sum())
-            rest = rest[~alone[at]]
-        self.rest, self.offset = np.sort(rest), offset
+            rest, left = rest[~alone[at]], left[~alone[at]]
+        whole = zip(high[left].tolist(), low[left].tolist(), strict=True)
+        self.rest = {key: offset + k for k, key in enumerate(sorted(whole))}
 
     @staticmethod
     def join(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -100,10 +102,8 @@ class PerfectHash:
             below = np.bitwise_count(byte & ((1 << shift.astype(np.int64)) - 1).astype(np.uint8)).astype(np.int64)
             out[left[hit]] = offset + before[at[hit] >> 3] + below[hit]
             left = left[~hit]
-        if len(left) and len(self.rest):
-            at = np.minimum(np.searchsorted(self.rest, keys[left]), len(self.rest) - 1)
-            hit = self.rest[at] == keys[left]
-            out[left[hit]] = self.offset + at[hit]
+        if len(left) and self.rest:
+            out[left] = [self.rest.get(key, -1) for key in zip(high[left].tolist(), low[left].tolist(), strict=True)]
         return out
 
 

@@ -11,6 +11,7 @@ are rows like others; other columns of the input are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,8 +147,20 @@ def op10_rule_ledger(spark, folder: str) -> DataFrame:
         fails(POLICIES["base-1"]).alias("base_failed"), "kept", "n_lines", "n_capitals", "failures", "policy")
 
 
+def rule_ablations(spark, folder: str) -> DataFrame:
+    """For every policy and each of its rules: documents failing the rule, and those kept without it.
+
+    The ledger is written once; every policy reads its bits.
+    """
+    from placemetrics.llm.common import documents, stored
+
+    bits = stored(ledger(documents(spark, folder)).select("failures"), "ledger")
+    reports = [ablations(bits, policy).withColumn("policy", F.lit(policy.version)) for policy in POLICIES.values()]
+    return reduce(DataFrame.unionByName, reports)
+
+
 _ANY = "[\\x20\\x09-\\x0D]"
-OP10_SQL = f"""
+_LEDGER_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 s AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '{_ANY}+'), lambda x: x <> '') AS words,
         list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{_ANY}+', '', 'g') <> '') AS lines FROM d),
@@ -165,6 +178,15 @@ f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
         + CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
         + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END
         + CASE WHEN 100 * n_capitals > 50 * word_chars THEN 64 ELSE 0 END)::BIGINT AS failures FROM a)
+"""
+OP10_SQL = _LEDGER_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed,
        failures = 0 AS kept, n_lines, n_capitals, failures, 'web-1' AS policy FROM f
 """
+ABLATIONS_SQL = _LEDGER_SQL + """,
+p AS (SELECT policy, mask, rule, bit FROM (VALUES {policies}) AS v(policy, mask, rule, bit)),
+b AS (SELECT policy, rule, bit, failures & mask AS failed FROM f CROSS JOIN p)
+SELECT policy, rule, count(*) FILTER (failed & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (failed = bit)::BIGINT AS n_only_this,
+       bit_or(failed)::BIGINT AS failed_together FROM b GROUP BY policy, rule
+""".format(policies=", ".join(
+    f"('{p.version}', {p.mask}::BIGINT, '{r}', {bit(r)}::BIGINT)" for p in POLICIES.values() for r in p.rules))
