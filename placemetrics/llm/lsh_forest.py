@@ -12,6 +12,8 @@
 5. Pairs that the forest missed are found exactly, in ``missed``: nodes of different
    components that can reach the limit share a shingle of their prefixes.  Every such pair
    passes the bounds on size, place and bitmap, none of which can rule out a true pair.
+   Prefixes hold a set's rarest shingles: common ones are told by a sample of rows, and where
+   shingles still crowd, by exact counts over all rows that have them in their prefix.
 
 Set of a text: distinct runs of SIZE words, words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased;
 with fewer words the whole sequence.  A text without words, or null, has an empty set, is
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placemetrics.llm.common import WHOLE, documents, in_slices, mix, parts, shingle_set, stored, text_bytes
+from placemetrics.llm.common import WHOLE, documents, in_slices, mix, parts, shingle_set, small_table, stored, text_bytes
 from placemetrics.llm.components import components
 
 SIZE, PERCENT = 5, 85
@@ -50,6 +52,9 @@ CHUNK = 256
 #: Rows whose shingles tell which ones are common, about, and the most that are told.  They set
 #: only the order of shingles in prefixes: any order that is the same everywhere finds all pairs.
 SAMPLED, COMMON = 4000, 1 << 16
+#: Shingles counted exactly that are told besides, at most: 4 MB in every worker.  Further ones
+#: stay in the order of their hashes.
+COUNTED = 1 << 18
 #: Bits of a set's parity bitmap; rows with one shingle that are compared in one group.
 PARITY, CELL = 2048, 128
 
@@ -271,22 +276,35 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b", "agreement")
 
 
-def common_shingles(docs: DataFrame, n: int, size: int) -> np.ndarray:
-    """Shingles that several of some SAMPLED of the ``n`` rows have, by rising count."""
+def _shingles(bodies: DataFrame, size: int) -> DataFrame:
+    """(shingle, n): how many of the texts (body) have each shingle."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, WHOLE):
             for data in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(data, size).view(np.int64))], ["shingle"])
 
+    return bodies.select("body").mapInArrow(each, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n"))
+
+
+def _rising(counted: DataFrame, most: int) -> np.ndarray:
+    """The ``most`` commonest shingles by rising count."""
+    rows = counted.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
+    return rows.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
+def _bodies(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), text_bytes().alias("body"))
+
+
+def common_shingles(docs: DataFrame, n: int, size: int) -> np.ndarray:
+    """Shingles that several of some SAMPLED of the ``n`` rows have, by rising count."""
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-n // SAMPLED) or 1)) == 0).select(text_bytes().alias("body"))
-    counted = some.mapInArrow(each, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
-    rows = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
-    return np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
+    return _rising(_shingles(some, size).filter("n > 2"), COMMON)
 
 
-def prefixed(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(node, name, n, prefix, parity) of every row: the first shingles, common ones last, and a bitmap.
+def prefixed(bodies: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(node, name, n, prefix, parity) of every (node, body): the first shingles, common ones last, and a bitmap.
 
     Two sets with ``percent`` of their union in common share at least ``percent`` of each
     set, hence one of the shingles before the last so many less one.
@@ -312,8 +330,7 @@ def prefixed(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> Da
                 [batch.column(0), pa.array(names, pa.binary()), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
                  pa.array(parities, pa.binary())], ["node", "name", "n", "prefix", "parity"])
 
-    bodies = docs.filter("doc_id is not null").select("doc_id", text_bytes().alias("body"))
-    return bodies.mapInArrow(rows, "node bigint, name binary, n bigint, prefix array<bigint>, parity binary")
+    return bodies.select("node", "body").mapInArrow(rows, "node bigint, name binary, n bigint, prefix array<bigint>, parity binary")
 
 
 def _possible(percent: int):
@@ -362,16 +379,52 @@ def _possible(percent: int):
     return pairs
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """(shingle, rows): shingles that prefixes of different components have, and in how many rows."""
+    shared = sets.select("component", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows"))
+    return stored(shared.filter("least < most").select("shingle", "rows"), "shared")
+
+
+def _having(sets: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The nodes with one of the shingles in their prefix."""
+    each = sets.select("node", F.explode("prefix").alias("shingle"))
+    return each.join(shingles, "shingle", "left_semi").select("node").distinct()
+
+
+def by_frequency(docs: DataFrame, sets: DataFrame, crowded: DataFrame, common: np.ndarray, nodes: DataFrame,
+                 size: int, percent: int) -> DataFrame:
+    """``sets`` with shingles put behind others that exact counts tell to be common.
+
+    All shingles of the rows with a crowded one in their prefix are counted.  Those in more than
+    CELL rows go to the end of every set, before the ones in ``common``, the commonest last.  A
+    prefix without any of them stays as it is in that order, so only the others are made anew.
+    """
+    bodies = _bodies(docs)
+    counted = _shingles(bodies.join(_having(sets, crowded), "node", "left_semi"), size).filter(F.col("n") > CELL)
+    counts = _rising(counted, COUNTED)
+    counts = counts[~np.isin(counts, common)]
+    if not len(counts):
+        return sets
+    told = small_table(docs.sparkSession, shingle=pa.array(counts.view(np.int64)))
+    touched = stored(_having(sets, told), "touched")
+    anew = prefixed(_texts_of(docs, touched, nodes, size), np.r_[counts, common], size, percent)
+    changed = anew.join(sets.select("node", "name", "component").distinct(), ["node", "name"])
+    return stored(sets.join(touched, "node", "left_anti").unionByName(changed), "prefixes")
+
+
 def missed(docs: DataFrame, nodes: DataFrame, labels: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
     """(a, b): every pair of nodes in different components that the bounds do not rule out.
 
     A shingle of many nodes is dealt to cells of at most about 2 * CELL rows, each pair to one.
     """
     known = nodes.select("node", "name").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sets = stored(prefixed(docs, common, size, percent).join(known, ["node", "name"]), "prefixes")
-    shared = sets.select("component", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(
-        F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows"))
-    shared = stored(shared.filter("least < most").select("shingle", "rows"), "shared")
+    sets = stored(prefixed(_bodies(docs), common, size, percent).join(known, ["node", "name"]), "prefixes")
+    shared = _shared(sets)
+    crowded = shared.filter(F.col("rows") > 2 * CELL)
+    if not crowded.isEmpty():
+        sets = by_frequency(docs, sets, crowded, common, nodes, size, percent)
+        shared = _shared(sets)
     each = sets.select("node", "component", "n", F.posexplode("prefix").alias("place", "shingle"))
     cells = F.ceil(F.col("rows") / CELL)
     met = each.join(shared, "shingle").withColumn("mine", F.pmod(F.xxhash64("node"), cells))

@@ -54,3 +54,25 @@ def test_copies_among_form_pages(spark, monkeypatch, cell):
     got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(docs).collect()}
     expected = components_by_hand(texts)
     assert got == dict(enumerate(expected)) and len(set(expected)) > 100
+
+
+def test_a_form_that_no_sample_shows_is_ordered_by_counts(spark, monkeypatch):
+    """Words of a form that the sample does not tell would put all its pages into cells together."""
+    monkeypatch.setattr(lsh_forest, "CELL", 16)
+    monkeypatch.setattr(lsh_forest, "common_shingles", lambda *_: np.zeros(0, np.uint64))
+    shared, store = [], lsh_forest.stored
+
+    def noting(df, name):
+        table = store(df, name)
+        if name == "shared":
+            shared.append([r.rows for r in table.collect()])
+        return table
+
+    monkeypatch.setattr(lsh_forest, "stored", noting)
+    texts = form_pages(12, 300, 60)
+    rows = [*enumerate(texts), (0, texts[0]), (5, "another text of that id"), (None, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(docs).filter("n_shingles > 9 and doc_id is not null").collect()}
+    assert got == dict(enumerate(components_by_hand(texts)))
+    before, after = ([n * -(-n // 16) for n in rows] for rows in shared)
+    assert sum(after) < sum(before) / 4 and max(shared[1]) < max(shared[0]) / 4
