@@ -421,7 +421,8 @@ def missed(docs: DataFrame, nodes: DataFrame, labels: DataFrame, common: np.ndar
     known = nodes.select("node", "name").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sets = stored(prefixed(_bodies(docs), common, size, percent).join(known, ["node", "name"]), "prefixes")
     shared = _shared(sets)
-    crowded = shared.filter(F.col("rows") > 2 * CELL)
+    told = small_table(docs.sparkSession, shingle=pa.array(common.view(np.int64)))
+    crowded = shared.filter(F.col("rows") > 2 * CELL).join(told, "shingle", "left_anti")
     if not crowded.isEmpty():
         sets = by_frequency(docs, sets, crowded, common, nodes, size, percent)
         shared = _shared(sets)
