@@ -55,6 +55,9 @@ SAMPLED, COMMON = 4000, 1 << 16
 #: Shingles counted exactly that are told besides, at most: 4 MB in every worker.  Further ones
 #: stay in the order of their hashes.
 COUNTED = 1 << 18
+#: They are counted where crowded shingles add more than one row in so many to the cells: counting
+#: moves all shingles of the rows that have one.
+PAYS = 8
 #: Bits of a set's parity bitmap; rows with one shingle that are compared in one group.
 PARITY, CELL = 2048, 128
 
@@ -389,7 +392,7 @@ def _shared(sets: DataFrame) -> DataFrame:
 def _having(sets: DataFrame, shingles: DataFrame) -> DataFrame:
     """The nodes with one of the shingles in their prefix."""
     each = sets.select("node", F.explode("prefix").alias("shingle"))
-    return each.join(shingles, "shingle", "left_semi").select("node").distinct()
+    return stored(each.join(shingles, "shingle", "left_semi").select("node").distinct(), "having")
 
 
 def by_frequency(docs: DataFrame, sets: DataFrame, crowded: DataFrame, common: np.ndarray, nodes: DataFrame,
@@ -407,10 +410,11 @@ def by_frequency(docs: DataFrame, sets: DataFrame, crowded: DataFrame, common: n
     if not len(counts):
         return sets
     told = small_table(docs.sparkSession, shingle=pa.array(counts.view(np.int64)))
-    touched = stored(_having(sets, told), "touched")
+    touched = _having(sets, told)
     anew = prefixed(_texts_of(docs, touched, nodes, size), np.r_[counts, common], size, percent)
-    changed = anew.join(sets.select("node", "name", "component").distinct(), ["node", "name"])
-    return stored(sets.join(touched, "node", "left_anti").unionByName(changed), "prefixes")
+    own = stored(sets.join(touched, "node", "left_semi").select("node", "name", "component").distinct(), "own")
+    changed = stored(anew.join(own, ["node", "name"]), "prefixes")
+    return sets.join(touched, "node", "left_anti").unionByName(changed)
 
 
 def missed(docs: DataFrame, nodes: DataFrame, labels: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -423,11 +427,12 @@ def missed(docs: DataFrame, nodes: DataFrame, labels: DataFrame, common: np.ndar
     shared = _shared(sets)
     told = small_table(docs.sparkSession, shingle=pa.array(common.view(np.int64)))
     crowded = shared.filter(F.col("rows") > 2 * CELL).join(told, "shingle", "left_anti")
-    if not crowded.isEmpty():
+    cells = F.ceil(F.col("rows") / CELL)
+    added = crowded.agg(F.sum(F.col("rows") * (cells - 1))).first()[0] or 0
+    if PAYS * added > (shared.agg(F.sum(F.col("rows") * cells)).first()[0] or 0):
         sets = by_frequency(docs, sets, crowded, common, nodes, size, percent)
         shared = _shared(sets)
     each = sets.select("node", "component", "n", F.posexplode("prefix").alias("place", "shingle"))
-    cells = F.ceil(F.col("rows") / CELL)
     met = each.join(shared, "shingle").withColumn("mine", F.pmod(F.xxhash64("node"), cells))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1)))
     group = ["shingle", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine"]
@@ -439,8 +444,12 @@ def missed(docs: DataFrame, nodes: DataFrame, labels: DataFrame, common: np.ndar
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, body) of the wanted nodes."""
-    bodies = docs.select(F.col("doc_id").alias("node"), text_bytes().alias("body")).join(wanted.join(nodes, "node"), "node")
+    """(node, body) of the wanted nodes.
+
+    Their names are stored first: Spark sees how few they are and leaves the texts where they are.
+    """
+    names = stored(nodes.join(wanted, "node").select("node", "name"), "wanted")
+    bodies = docs.select(F.col("doc_id").alias("node"), text_bytes().alias("body")).join(names, "node")
     return stored(bodies.select("node", "name", "body").mapInArrow(_of_class(size), "node bigint, body binary").distinct(), "texts")
 
 

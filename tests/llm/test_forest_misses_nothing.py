@@ -76,3 +76,52 @@ def test_a_form_that_no_sample_shows_is_ordered_by_counts(spark, monkeypatch):
     assert got == dict(enumerate(components_by_hand(texts)))
     before, after = ([n * -(-n // 16) for n in rows] for rows in shared)
     assert sum(after) < sum(before) / 4 and max(shared[1]) < max(shared[0]) / 4
+
+
+def test_texts_of_a_few_nodes_leave_the_others_where_they_are(spark, monkeypatch):
+    """Joins that ask for few texts do not deal out all of them, though no table's size is known ahead."""
+    monkeypatch.setattr(lsh_forest, "CELL", 16)
+    monkeypatch.setattr(lsh_forest, "common_shingles", lambda *_: np.zeros(0, np.uint64))
+    plans, store = {}, lsh_forest.stored
+
+    def noting(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(lsh_forest, "stored", noting)
+    counted, shingles = [], lsh_forest._shingles
+
+    def counting(bodies, size):
+        counted.append(bodies._jdf.queryExecution().executedPlan().toString())
+        return shingles(bodies, size)
+
+    monkeypatch.setattr(lsh_forest, "_shingles", counting)
+    texts = form_pages(12, 200, 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64KB")
+    try:
+        got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == dict(enumerate(components_by_hand(texts)))
+    assert counted and len(plans["texts"]) > 1
+    assert not any("SortMergeJoin" in plan for plan in counted + plans["texts"])
+
+
+def test_a_few_crowded_shingles_are_not_counted(spark, monkeypatch):
+    """A passage of few pages makes few rows in cells; counting all their shingles would move far more."""
+    monkeypatch.setattr(lsh_forest, "CELL", 4)
+    monkeypatch.setattr(lsh_forest, "common_shingles", lambda *_: np.zeros(0, np.uint64))
+    counted, by_frequency = [], lsh_forest.by_frequency
+    monkeypatch.setattr(lsh_forest, "by_frequency", lambda *args: counted.append(args) or by_frequency(*args))
+    r = random.Random(3)
+    texts = [" ".join(["one", "form", "of", "five", "words"] + [f"p{k}w{r.randrange(99)}" for _ in range(9)]) for k in range(40)]
+    for k in range(300):  # pairs of pages that differ in two words of sixty
+        words = [f"q{k // 2}w{j}" for j in range(60)]
+        words[(k % 2) * 30 + 5] = f"x{k}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(components_by_hand(texts)))
+    assert not counted
