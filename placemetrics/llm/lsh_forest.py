@@ -184,6 +184,7 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
     region = ["tree", "prefix"]
     rows = rows.withColumn("prefix", F.substring("key", 1, 2 * LEAST_DEPTH))
     crowded = rows.groupBy(*region).agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select(*region)
+    crowded = stored(crowded, "regions")
     inside = stored(rows.join(crowded, region), "crowded")
     keys = inside.groupBy(*region, "key").agg(F.count("*").alias("n"))
     commonest = keys.groupBy(*region).agg(F.max(F.struct("n", "key")).alias("top")).select(*region, F.col("top.key").alias("key"))
@@ -446,10 +447,12 @@ def missed(docs: DataFrame, nodes: DataFrame, labels: DataFrame, common: np.ndar
 def _texts_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, body) of the wanted nodes.
 
-    Their names are stored first: Spark sees how few they are and leaves the texts where they are.
+    Their ids are stored first, in order, so a few bytes each: Spark sees how few they are and
+    leaves the texts of all others where they are.
     """
-    names = stored(nodes.join(wanted, "node").select("node", "name"), "wanted")
-    bodies = docs.select(F.col("doc_id").alias("node"), text_bytes().alias("body")).join(names, "node")
+    ids = stored(wanted.orderBy("node"), "wanted")
+    names = stored(nodes.join(ids, "node").select("node", "name"), "named")
+    bodies = docs.select(F.col("doc_id").alias("node"), text_bytes().alias("body")).join(ids, "node").join(names, "node")
     return stored(bodies.select("node", "name", "body").mapInArrow(_of_class(size), "node bigint, body binary").distinct(), "texts")
 
 
@@ -457,6 +460,40 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
+def _reachable(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that parity bitmaps as wide as the sets do not rule out; far smaller than the texts."""
+
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            counts, bits = [], []
+            for data in batch.column(1).to_pylist():
+                shingles = shingle_set(data, size)
+                width = max(64, 1 << (len(shingles) - 1).bit_length())
+                counts.append(len(shingles))
+                bits.append(np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % width, minlength=width) % 2 == 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(bits, pa.binary())], ["node", "n", "bits"])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            good = []
+            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+                while len(y) > len(x):  # halves laid over each other: the bitmap of half the width
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                apart = int(np.bitwise_count(x ^ y).sum(dtype=np.int64))  # at most what the sets do not share
+                good.append(apart * (100 + percent) <= (100 - percent) * (n + m))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    sets = stored(texts.mapInArrow(bitmaps, "node bigint, n bigint, bits binary"), "bitmaps")
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_bits", "b_bits")
+    return stored(both.mapInArrow(bounded, "a bigint, b bigint").distinct(), "reachable")
+
+
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -479,7 +516,9 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         labels = stored(components(links), "labels")
     left = missed(docs, nodes, labels, common_shingles(docs, sketches.count(), size), size, percent)
     if not left.isEmpty():
-        links = links.union(stored(confirmed(left, _texts_of(docs, _ends(left), nodes, size), size, percent), "confirmed"))
+        texts = _texts_of(docs, _ends(left), nodes, size)
+        left = _reachable(left, texts, size, percent)
+        links = links.union(stored(confirmed(left, texts, size, percent), "confirmed"))
         labels = stored(components(links), "labels")
     found = classes.join(labels, "node", "left").select("name", F.coalesce("component", "node").alias("component"))
     member = sketches.join(found, "name", "left")

@@ -125,3 +125,23 @@ def test_a_few_crowded_shingles_are_not_counted(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(docs).collect()}
     assert got == dict(enumerate(components_by_hand(texts)))
     assert not counted
+
+
+def test_bitmaps_rule_out_texts_that_differ_and_no_others(spark):
+    """Bitmaps of unlike width are folded; of pairs beyond the limit few are left to be compared in full."""
+    r = random.Random(11)
+    texts, pairs = [], []
+    for k in range(60):
+        words = [f"a{k}w{j}" for j in range(r.choice([5, 70, 125, 140, 3000]))]
+        other = list(words)
+        for j in range(r.randrange(3)):
+            other[r.randrange(len(other))] = f"b{k}w{j}"
+        other += [f"c{k}w{j}" for j in range(r.randrange(max(1, len(words) // 9)))]
+        texts += [" ".join(words), " ".join(other)]
+        pairs += [(2 * k, 2 * k + 1)] + ([(2 * j, 2 * k) for j in range(k) if len(texts[2 * j].split()) == len(words)])
+    bodies = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "node bigint, body binary")
+    left = {tuple(row) for row in lsh_forest._reachable(spark.createDataFrame(pairs, "a bigint, b bigint"), bodies, 5, 85).collect()}
+    sets = [shingle_set(t.encode()) for t in texts]
+    linked = {(a, b) for a, b in pairs if lsh_forest._alike(sets[a], sets[b], 85)}
+    assert len(linked) > 10 and linked <= left <= set(pairs)
+    assert len(left - linked) < len(set(pairs) - linked) / 10
